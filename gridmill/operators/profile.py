@@ -179,9 +179,8 @@ def dataset_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     else:
         out = out.select("*", F.lit(None).cast("bigint").alias("unique_values"),
                          F.lit(None).cast("string").alias("mode"), F.lit(None).cast("bigint").alias("mode_count"))
-    quality = stats.agg(100.0 - F.coalesce(
-        F.try_divide(F.sum("missing_count") * 100.0, F.sum("total")), F.lit(0.0)).alias("q"))
-    quality = quality.toDF("q").scalar()
+    share = F.coalesce(F.try_divide(F.sum("missing_count") * 100.0, F.sum("total")), F.lit(0.0))
+    quality = stats.agg((100.0 - share).alias("q")).scalar()
     return out.select(
         "position", "column", "category", "total", "missing_count",
         percent(F.col("missing_count"), F.col("total")).alias("missing_percentage"), "mean", "median", "std", "min",
