@@ -104,10 +104,14 @@ def generate_insights(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def by_type(insights: DataFrame) -> DataFrame:
-    """``type, total, titles, mean confidence`` of each insight type."""
-    return insights.groupBy("type").agg(
-        F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list("title")).alias("titles"),
-        F.avg("confidence").alias("mean_confidence"))
+    """``type, total, mean_confidence`` of each insight type."""
+    return insights.groupBy("type").agg(F.count(F.lit(1)).alias("total"),
+                                        F.avg("confidence").alias("mean_confidence"))
+
+
+def grouped_by_type(insights: DataFrame) -> DataFrame:
+    """Insight rows with the total of their type."""
+    return insights.join(by_type(insights).select("type", "total"), "type")
 
 
 def list_insights(insights: DataFrame, kind: str | None = None, min_confidence: float | None = None,

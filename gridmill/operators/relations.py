@@ -63,20 +63,23 @@ def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, take: dict
     return df.join(side, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
-def bridge(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, right_key: str,
-           take: list[str]) -> DataFrame:
-    """Many-to-many relation, ``left columns..., items`` with the linked rows in order.
+def bridge(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Many-to-many relation as rows, with the number of linked items of each left row.
 
-    The link table is joined before grouping, so only linked columns travel.
+    Counts are folded per key before the shuffle, so a key with most of the links costs no more than others.
     """
-    linked = links.join(right.select(right_key, *take), right_key)
-    items = linked.groupBy(left_key).agg(F.array_sort(F.collect_list(F.struct(*take))).alias("items"))
-    return left.join(items, left_key, "left")
-
-
-def bridge_rows(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """The same relation as plain rows, for groups of any size."""
-    return left.join(links, left_key).join(right, right_key)
+    counts = links.join(right.select(right_key), right_key, "left_semi").groupBy(left_key).agg(
+        F.count(F.lit(1)).alias("item_count"))
+    rows = left.join(links, left_key).join(right, right_key)
+    return rows.join(counts, left_key)
+
+
+def bridge_pages(links: DataFrame, right: DataFrame, left_key: str, right_key: str, take: list[str],
+                 page_size: int = 1000) -> DataFrame:
+    """``left_key, page, items``: linked rows nested in pages of at most ``page_size`` right keys."""
+    page = F.call_function("div", F.col(right_key), F.lit(page_size)).alias("page")
+    linked = links.select(left_key, right_key).distinct().join(right.select(right_key, *take), right_key)
+    return linked.groupBy(left_key, page).agg(F.array_sort(F.collect_list(F.struct(*take))).alias("items"))
 
 
 def seen(df: DataFrame, known: DataFrame, keys: list[str], new: bool = False) -> DataFrame:
