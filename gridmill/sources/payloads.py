@@ -11,11 +11,13 @@ def payload_rows(df: DataFrame, payload: str, keep: list[str]) -> tuple[DataFram
     The ``data`` field counts if the payload has one, else the payload itself;
     an object is one row, an array one row per element.
     """
-    text = F.trim(F.col(payload))
-    valid = F.try_parse_json(text).isNotNull()
-    data = F.when(valid, F.when(text.startswith("{"), F.coalesce(F.get_json_object(text, "$.data"), text))
-                  .otherwise(text))
-    tagged = df.select(*keep, F.trim(data).alias("_data"), valid.alias("_valid"))
+    parsed = F.try_parse_json(F.col(payload))
+    # back to text through the variant, so that a quoted text never looks like an object
+    inner = F.to_json(F.try_variant_get(F.col("_doc"), "$.data", "variant"))
+    whole = F.to_json(F.col("_doc"))
+    tagged = df.withColumn("_doc", parsed).select(
+        *keep, F.col("_doc").isNotNull().alias("_valid"),
+        F.when(inner.isNull() | (inner == "null"), whole).otherwise(inner).alias("_data"))
     d = F.col("_data")
     items = F.when(d.startswith("{"), F.array(d)).when(d.startswith("["), F.from_json(d, "array<string>"))
     judged = tagged.withColumn("_items", items).withColumn(
