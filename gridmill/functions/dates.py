@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # fixed values: formats tried in turn, first match wins
@@ -34,12 +36,50 @@ def java_pattern(strftime: str) -> str:
     return "".join(out)
 
 
-def parse_timestamp(c: Column, formats: list[str] | None = None) -> Column:
-    """First format that fits, as timestamp without zone; null when none does."""
-    # a non-strict parser would take '2024-01-01x'; try_to_timestamp needs the whole text
-    return F.coalesce(*[
-        F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in (formats or DATE_FORMATS)
-    ])
+def shape_of(pattern: str) -> str:
+    """A regular expression for the texts that can fit a Java date pattern at all."""
+    out = []
+    for part in re.finditer(r"'(?P<quoted>[^']*)'|(?P<run>(?P<letter>[A-Za-z])(?P=letter)*)|(?P<other>.)", pattern):
+        run = part["run"]
+        if run is None:
+            out.append(re.escape(part["quoted"] if part["quoted"] is not None else part["other"]))
+        elif run[0] in "Ea" or (run[0] == "M" and len(run) > 2):
+            out.append(r"[\p{L}.]+")
+        else:
+            out.append(r"[0-9]{1,2}" if len(run) == 1 else f"[0-9]{{{len(run)}}}")
+    return "^" + "".join(out) + "$"
+
+
+def _first_fit(text: str, formats: list[str]) -> str:
+    """SQL for the first format that reads the text."""
+    def quote(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    tries = ", ".join(
+        f"CASE WHEN {text} RLIKE {quote(shape_of(f))} THEN CAST(try_to_timestamp({text}, {quote(f)}) AS TIMESTAMP_NTZ) END"
+        for f in formats)
+    any_shape = "|".join(f"(?:{shape_of(f)})" for f in formats)
+    return f"CASE WHEN {text} RLIKE {quote(any_shape)} THEN coalesce({tries}, NULL) END"
+
+
+def parse_timestamp(c: Column | str, formats: list[str] | None = None) -> Column:
+    """First format that fits, as timestamp without zone; null when none does.
+
+    A failing parse raises inside the JVM, which is slow, so a format only sees
+    texts of its shape, and most texts are told apart by one look at all shapes.
+    Pass the name of a column that holds the finished text where there is one;
+    an expression is bound by a lambda, so that it is evaluated once.
+    """
+    formats = formats or DATE_FORMATS
+    if isinstance(c, str):
+        return F.expr(_first_fit(f"`{c}`", formats))
+    return F.get(F.transform(F.array(c), lambda text: _reading(text, formats)), F.lit(0))
+
+
+def _reading(text: Column, formats: list[str]) -> Column:
+    any_shape = "|".join(f"(?:{shape_of(f)})" for f in formats)
+    return F.when(text.rlike(any_shape), F.coalesce(*[
+        F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")) for f in formats]))
 
 
 def has_time(c: Column) -> Column:

@@ -29,43 +29,53 @@ PHYSICAL_SQL_TYPES = {"tinyint": "SMALLINT", "smallint": "SMALLINT", "int": "INT
                       "float": "REAL", "double": "DOUBLE PRECISION"}
 
 
-def _share(test: Column, c: Column) -> Column:
-    return F.avg(F.when(c.isNotNull(), F.coalesce(test, F.lit(False)).cast("double")))
+def _share(test: Column, present: Column) -> Column:
+    return F.avg(F.when(present, F.coalesce(test, F.lit(False)).cast("double")))
 
 
-def _metrics(df: DataFrame, name: str) -> list[Column]:
-    """What the decision needs about one column, as aggregates of one pass."""
-    dtype, c = df.schema[name].dataType, F.col(name)
-    value = F.when(~missing(df, name), c)
-    text = value.cast("string")
-    whole = time = shapes = None
-    if isinstance(dtype, T.StringType):
-        body = strip(text)
-        number = F.when(text.rlike(NUMBER_LITERAL), text.try_cast("double"))
-        stamp = parse_timestamp(body)
-        shares = {"boolean": F.lower(text).isin(TRUE_WORDS + FALSE_WORDS), "datetime": stamp.isNotNull(),
-                  "number": number.isNotNull(), **{n: body.rlike(p) for n, p in SHAPES}}
-        whole, time = F.bool_and(number == F.floor(number)), F.bool_or(has_time(stamp))
+def _readings(df: DataFrame, names: list[str]) -> DataFrame:
+    """Per column its text, number and time reading, each parsed once.
+
+    Flat columns, not structs: Catalyst would inline a struct's fields and parse per aggregate.
+    """
+    values, parsed = [], []
+    for i, name in enumerate(names):
+        dtype, null = df.schema[name].dataType, F.lit(None)
+        value = F.when(~missing(df, name), F.col(name))
+        values += [value.alias(f"value{i}"), value.cast("string").alias(f"text{i}")]
+        text, number, stamp = F.col(f"text{i}"), null.cast("double"), null.cast("timestamp_ntz")
+        if isinstance(dtype, T.StringType):
+            values.append(strip(value).alias(f"body{i}"))
+            number, stamp = F.when(text.rlike(NUMBER_LITERAL), text.try_cast("double")), parse_timestamp(f"body{i}")
+        elif isinstance(dtype, T.NumericType):
+            number = F.col(f"value{i}").cast("double")
+        elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            stamp = F.col(f"value{i}").cast("timestamp_ntz")
+        parsed += [number.alias(f"number{i}"), stamp.alias(f"stamp{i}")]
+    return df.select(*values).select("*", *parsed)
+
+
+def _metrics(i: int, dtype: T.DataType) -> list[Column]:
+    """What the decision needs about one column, as aggregates over its readings."""
+    text, number, stamp = F.col(f"text{i}"), F.col(f"number{i}"), F.col(f"stamp{i}")
+    present = text.isNotNull()
+    timed = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+    shares = {"datetime": stamp.isNotNull(), "number": number.isNotNull()}
+    if isinstance(dtype, (T.StringType, T.BooleanType)):
+        shares["boolean"] = F.lower(text).isin(TRUE_WORDS + FALSE_WORDS)
     elif isinstance(dtype, T.NumericType):
         # 0/1 columns read as booleans, any other number is a number
-        shares = {"boolean": text.isin("0", "1"), "number": F.lit(True)}
-        whole = F.lit(True) if isinstance(dtype, T.IntegralType) else F.bool_and(value == F.floor(value))
-    elif isinstance(dtype, T.BooleanType):
-        shares = {"boolean": F.lit(True)}
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        shares, time = {"datetime": F.lit(True)}, F.lit(True)
-    elif isinstance(dtype, T.DateType):
-        shares, time = {"datetime": F.lit(True)}, F.lit(False)
-    else:
-        shares = {}
+        shares["boolean"] = number.isin(0.0, 1.0)
+    if isinstance(dtype, T.StringType):
+        shares.update({n: F.col(f"body{i}").rlike(p) for n, p in SHAPES})
     every = ["boolean", "datetime", "number", *[n for n, _ in SHAPES]]
     return [
-        F.count(F.lit(1)).alias("total"), F.count(value).alias("non_null"),
+        F.count(F.lit(1)).alias("total"), F.count(text).alias("non_null"),
         F.coalesce(F.max(F.length(text)), F.lit(0)).alias("max_length"),
-        *[(F.coalesce(_share(shares[n], value), F.lit(0.0)) if n in shares else F.lit(0.0)).alias(f"share_{n}")
+        *[(F.coalesce(_share(shares[n], present), F.lit(0.0)) if n in shares else F.lit(0.0)).alias(f"share_{n}")
           for n in every],
-        F.coalesce(whole if whole is not None else F.lit(False), F.lit(False)).alias("all_whole"),
-        F.coalesce(time if time is not None else F.lit(False), F.lit(False)).alias("any_time"),
+        F.coalesce(F.bool_and(number == F.floor(number)), F.lit(False)).alias("all_whole"),
+        (F.lit(True) if timed else F.coalesce(F.bool_or(has_time(stamp)), F.lit(False))).alias("any_time"),
         F.lit(dtype.simpleString()).alias("physical_type"),
     ]
 
@@ -77,7 +87,8 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: in
     boolean, date, number, shapes, string.  ``sample_rows`` bounds the pass.
     """
     names = columns or df.columns
-    facts = long_stats(df.limit(sample_rows) if sample_rows else df, names, lambda c: _metrics(df, c))
+    rows = df.limit(sample_rows) if sample_rows else df
+    facts = long_stats(_readings(rows, names), names, lambda c: _metrics(names.index(c), df.schema[c].dataType))
     dated = F.when(F.col("any_time"), "datetime").otherwise("date")
     number = F.when(F.col("all_whole"), "integer").otherwise("float")
     kind = F.when(F.col("non_null") == 0, "null")

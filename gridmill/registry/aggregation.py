@@ -122,8 +122,8 @@ def _(t):
 
 
 @query("usage_reset", "AGG34", """
-    SELECT user_id, event_type, strftime(ts, '%Y-%m') AS month,
-           CASE WHEN event_type = 'view' THEN 0 ELSE round(sum(value), 2) END AS usage FROM events GROUP BY ALL""")
+    SELECT user_id, event_type, month, CASE WHEN event_type = 'view' THEN 0 ELSE u END AS usage
+    FROM (SELECT user_id, event_type, strftime(ts, '%Y-%m') AS month, round(sum(value), 2) AS u FROM events GROUP BY ALL)""")
 def _(t):
     usage = A.usage_totals(t.events, "user_id", "event_type", "value", "ts")
     return rounded(A.reset_metric(usage, "view", metric_column="event_type"), 2, "usage")
@@ -198,7 +198,7 @@ def _(t):
 
 
 @query("corr_constant", "AGG13", """
-    SELECT 'user_id' AS column1, 'one' AS column2, 0.0 AS correlation, count(*) AS sample_size, 'weak' AS strength,
+    SELECT 'user_id' AS column1, 'one' AS column2, CAST(0 AS DOUBLE) AS correlation, count(*) AS sample_size, 'weak' AS strength,
            'none' AS direction FROM events""")
 def _(t):
     return S.correlation(t.events.withColumn("one", F.lit(1.0)), "user_id", "one")
