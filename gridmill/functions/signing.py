@@ -6,7 +6,7 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _BLOCK = 64
 
@@ -25,7 +25,7 @@ def sign(payload: Column, secret: str | bytes) -> Column:
     return F.sha2(F.concat(outer_pad, inner), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sign_each(payload: pd.Series, secret: pd.Series) -> pd.Series:
     """HMAC-SHA256 where every row brings its own secret."""
     return pd.Series([

@@ -97,18 +97,31 @@ def _field_count(line: Column, delimiter: str) -> Column:
     return F.length(quoted) - F.length(F.replace(quoted, F.lit(delimiter), F.lit(""))) + 1
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
-             header: bool = True) -> tuple[DataFrame, DataFrame]:
+def _parse(spark: SparkSession, path: str, names: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD]])
+    # with pruning the parser sees only the wanted fields and cannot tell that a line has too many
+    options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "columnPruning": "false"}
+    raw = spark.read.options(**options).schema(schema).csv(path)
+    # Spark refuses plans that read nothing but the corrupt-record column, hence the first field
+    first = F.coalesce(F.length(names[0]), F.lit(0)) >= 0
+    broken = F.col(BAD).isNotNull() & (_field_count(F.col(BAD), options["sep"]) > len(names)) & first
+    return raw.filter(~broken).drop(BAD), raw.filter(broken).select(F.col(BAD).alias("line"))
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",",
+             encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
     """String columns of the well-formed lines, and ``line`` of the lines with too many fields.
 
-    Short lines are padded with nulls.
+    The header gives the names; short lines are padded with nulls.
     """
-    options = {"header": str(header).lower(), "sep": delimiter, "encoding": encoding}
-    names = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD]])
-    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD).schema(schema).csv(path)
-    broken = F.col(BAD).isNotNull() & (_field_count(F.col(BAD), delimiter) > len(names))
-    return raw.filter(~broken).drop(BAD), raw.filter(broken).select(F.col(BAD).alias("line"))
+    options = {"header": "true", "sep": delimiter, "encoding": encoding}
+    return _parse(spark, path, spark.read.options(**options).csv(path).columns, options)
+
+
+def parse_lines(spark: SparkSession, path: str, names: list[str], delimiter: str = ",",
+                encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
+    """The same for files without a header, whose names are given."""
+    return _parse(spark, path, names, {"header": "false", "sep": delimiter, "encoding": encoding})
 
 
 READERS = {
