@@ -208,7 +208,18 @@ def _(t):
     return t.documents.select("doc_id", G.digest(F.col("text")).alias("hash"))
 
 
-@query("hmac_check", "SRC08 FN19")
+def _pad(secret: str, mask: int) -> str:
+    """The padded HMAC key as a blob literal."""
+    return "'" + "".join(f"\\x{b ^ mask:02X}" for b in secret.encode().ljust(64, b"\0")) + "'::BLOB"
+
+
+@query("hmac_sign", "SRC08 FN19", f"""
+    SELECT event_id, sha256({_pad('secret', 0x5C)} || unhex(sha256({_pad('secret', 0x36)} || encode(props)))) AS signature FROM events""")
+def _(t):
+    return t.events.select("event_id", G.sign(F.col("props"), "secret").alias("signature"))
+
+
+@query("hmac_check", "SRC08 FN19", "SELECT event_id, event_id % 10 <> 0 AS valid FROM events")
 def _(t):
     signed = t.events.select("event_id", "props", G.sign(F.col("props"), "secret").alias("signature"))
     tampered = F.when(F.col("event_id") % 10 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props"))
