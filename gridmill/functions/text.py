@@ -19,7 +19,10 @@ def title(c: Column) -> Column:
 
 
 def capitalize(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
+    # a letter may have a longer capital form: sharp s starts a word as "Ss", not "SS"
+    first = F.upper(F.substring(c, 1, 1))
+    return F.concat(F.substring(first, 1, 1), F.lower(first.substr(F.lit(2), F.length(first))),
+                    F.lower(c.substr(F.lit(2), F.length(c))))
 
 
 CASES = {"lower": F.lower, "upper": F.upper, "title": title, "capitalize": capitalize}

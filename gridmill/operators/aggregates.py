@@ -59,9 +59,9 @@ def aggregate(df: DataFrame, config: dict) -> DataFrame:
 def _medians(rows: DataFrame, columns: list[str], keys: list[Column]) -> DataFrame:
     label = keys or [F.lit("").alias("label")]
     narrow = rows.select(*label, *[as_number(rows, c).alias(c) for c in columns])
-    long = narrow.unpivot(["label"], columns, "_c", "_v")
-    medians = percentile_table(long, "_v", [0.5], ["label", "_c"])
-    picked = [F.max(F.when(F.col("_c") == c, F.col("value"))).alias(c) for c in columns]
+    long = narrow.unpivot(["label"], columns, "_col", "_v")
+    medians = percentile_table(long, "_v", [0.5], ["label", "_col"])
+    picked = [F.max(F.when(F.col("_col") == c, F.col("value"))).alias(c) for c in columns]
     # groups without any readable value must stay, so labels come from the rows
     out = medians.groupBy("label").agg(*picked)
     return narrow.select("label").distinct().join(out, "label", "left") if keys else out.drop("label")

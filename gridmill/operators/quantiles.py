@@ -115,10 +115,10 @@ def percentile_columns(df: DataFrame, wanted: dict[str, tuple[Column, float]], s
         return narrow.agg(*[
             F.percentile(F.when(~F.isnan(n), F.col(n)), F.lit(float(p))).alias(a)
             for n, (_, items) in zip(names, by_expr.values()) for a, p in items])
-    long = narrow.unpivot([], names, "_c", "_v") if len(names) > 1 else narrow.select(
-        F.lit(names[0]).alias("_c"), F.col(names[0]).alias("_v"))
+    long = narrow.unpivot([], names, "_col", "_v") if len(names) > 1 else narrow.select(
+        F.lit(names[0]).alias("_col"), F.col(names[0]).alias("_v"))
     probs = sorted({p for _, items in by_expr.values() for _, p in items})
-    table = percentile_table(long, "_v", probs, ["_c"], small=False)
+    table = percentile_table(long, "_v", probs, ["_col"], small=False)
     return table.agg(*[
-        F.max(F.when((F.col("_c") == n) & (F.col("p") == float(p)), F.col("value"))).alias(a)
+        F.max(F.when((F.col("_col") == n) & (F.col("p") == float(p)), F.col("value"))).alias(a)
         for n, (_, items) in zip(names, by_expr.values()) for a, p in items])

@@ -189,12 +189,17 @@ def _(t):
     return rounded(S.correlations(t.lineitem, LINE_NUMBERS).drop("pair"), 6, "correlation")
 
 
+CUBES = "(SELECT user_id, value, value * value * value AS cube, -value AS minus FROM events)"
+CUBE_COLUMNS = ["user_id", "value", "cube", "minus"]
+
+
 @query("corr_significant", "AGG14", f"""
-    SELECT * FROM ({_corr_sql("part", [("p_partkey", "p_size"), ("p_partkey", "p_retailprice"), ("p_size", "p_retailprice")])})
+    SELECT * FROM ({_corr_sql(CUBES, [(a, b) for i, a in enumerate(CUBE_COLUMNS) for b in CUBE_COLUMNS[i + 1:]])})
     WHERE abs(correlation) > 0.5""")
 def _(t):
-    out = S.significant_correlations(t.part, ["p_partkey", "p_size", "p_retailprice"])
-    return rounded(out.drop("pair"), 6, "correlation")
+    v = F.col("value")
+    df = t.events.select("user_id", "value", (v * v * v).alias("cube"), (-v).alias("minus"))
+    return rounded(S.significant_correlations(df, CUBE_COLUMNS).drop("pair"), 6, "correlation")
 
 
 @query("corr_constant", "AGG13", """

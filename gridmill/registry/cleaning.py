@@ -152,7 +152,7 @@ def _(t):
 
 @query("case_title_text", "CLN11", """
     SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+'),
-        lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '') AS text FROM documents""")
+        lambda w: replace(upper(substr(w, 1, 1)), 'ẞ', 'Ss') || lower(substr(w, 2))), '') AS text FROM documents""")
 def _(t):
     return K.standardize_case(t.documents.select("doc_id", "text"), ["text"], "title")
 

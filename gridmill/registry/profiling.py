@@ -142,15 +142,15 @@ NUMBER_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
 
 @query("col_stats_num", "AGG27", _union([f"""
     SELECT '{c}' AS "column", count(*) AS total_count, count(*) - count({c}) AS null_count, CAST(min({c}) AS DOUBLE) AS min,
-           CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median,
+           CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 8) AS mean, round(median({c}), 6) AS median,
            round(stddev_samp({c}), 6) AS std, round(CAST(sum({c}) AS DOUBLE), 2) AS sum,
            round(quantile_cont({c}, 0.25), 6) AS percentile_25, round(quantile_cont({c}, 0.75), 6) AS percentile_75,
            round(quantile_cont({c}, 0.9), 6) AS percentile_90, round(quantile_cont({c}, 0.95), 6) AS percentile_95,
            count(DISTINCT {c}) AS unique_count FROM lineitem""" for c in NUMBER_COLUMNS]))
 def _(t):
     out = P.numeric_column_stats(t.lineitem, NUMBER_COLUMNS)
-    out = rounded(out, 6, "mean", "median", "std", *[f"percentile_{p}" for p in (25, 75, 90, 95)])
-    return rounded(out, 2, "sum")
+    out = rounded(out, 6, "median", "std", *[f"percentile_{p}" for p in (25, 75, 90, 95)])
+    return rounded(rounded(out, 2, "sum"), 8, "mean")
 
 
 TEXTS = ["text", "lang", "source"]
