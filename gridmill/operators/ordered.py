@@ -78,17 +78,14 @@ def _carried(df: DataFrame, values: dict[str, Column], position: str, keys: list
     edges = tagged.groupBy("_g").agg(F.first(_RUN).alias(_RUN), *[F.first(k).alias(k) for k in keys], *[
         pick(F.col(f"_v_{a}"), F.when(F.col(f"_v_{a}").isNotNull(), F.col(position))).alias(f"_e_{a}") for a in values
     ])
-    runs = Window.partitionBy(*keys).orderBy(_RUN)
-    rows = Window.partitionBy("_g").orderBy(position)
-    if forward:
-        near, runs, rows = F.last, runs.rowsBetween(Window.unboundedPreceding, -1), \
-            rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    else:
-        near, runs, rows = F.first, runs.rowsBetween(1, Window.unboundedFollowing), \
-            rows.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    edges = edges.select("_g", *[near(f"_e_{a}", ignorenulls=True).over(runs).alias(f"_c_{a}") for a in values])
+    # Backward is forward in descending order: a frame that grows from the start is
+    # linear, while Spark evaluates one that ends at the last row anew for every row.
+    toward = F.asc if forward else F.desc
+    runs = Window.partitionBy(*keys).orderBy(toward(_RUN)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = Window.partitionBy("_g").orderBy(toward(position)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = edges.select("_g", *[F.last(f"_e_{a}", ignorenulls=True).over(runs).alias(f"_c_{a}") for a in values])
     for a in values:
-        tagged = tagged.withColumn(f"_l_{a}", near(f"_v_{a}", ignorenulls=True).over(rows))
+        tagged = tagged.withColumn(f"_l_{a}", F.last(f"_v_{a}", ignorenulls=True).over(rows))
     out = tagged.join(edges, "_g", "left")
     for a in values:
         out = out.withColumn(a, F.coalesce(f"_l_{a}", f"_c_{a}"))
@@ -166,19 +163,28 @@ def rate_window(df: DataFrame, key: str, micros: str, window_seconds: int, limit
                 span_seconds: int = 86_400) -> DataFrame:
     """Requests of the same key in the open window before each row, and whether the row is allowed.
 
-    A key is split into time spans; rows in the last window of a span are read
-    once more as context of the next span.
+    Each row enters at its time and leaves one window later, so the count is a
+    running sum that costs the same for any number of rows in the window.  A key
+    is split into time spans; rows in the last window of a span enter the next
+    span too, without their other columns.
     """
     width = window_seconds * 1_000_000
     span = max(span_seconds * 1_000_000, width)
-    slot = F.floor(F.col(micros) / F.lit(span))
-    here = F.struct(slot.alias("slot"), F.lit(False).alias("context"))
-    ahead = F.struct((slot + 1).alias("slot"), F.lit(True).alias("context"))
-    in_tail = F.col(micros) > (slot + 1) * span - width
-    spread = df.withColumn("_s", F.explode(F.when(in_tail, F.array(here, ahead)).otherwise(F.array(here))))
-    spread = spread.withColumn("_slot", F.col("_s.slot")).withColumn("_context", F.col("_s.context"))
-    recent = Window.partitionBy(key, "_slot").orderBy(micros).rangeBetween(-(width - 1), -1)
-    counted = spread.withColumn("current_count", F.count(F.lit(1)).over(recent)).filter(~F.col("_context"))
+    t = F.col(micros)
+    slot = F.floor(t / F.lit(span))
+
+    def moves(where: Column, is_row: bool) -> list[Column]:
+        # at equal times leaving (even) comes before entering (odd)
+        return [F.struct(where.alias("_slot"), at.alias("_at"), F.lit(step).alias("_step"), F.lit(kept).alias("_row"))
+                for at, step, kept in ((t * 2 + 1, 1, is_row), ((t + width) * 2, -1, False))]
+
+    own, ahead = moves(slot, True), moves(slot + 1, False)
+    in_tail = t > (slot + 1) * span - width
+    spread = df.withColumn("_m", F.explode(F.when(in_tail, F.array(*own, *ahead)).otherwise(F.array(*own))))
+    spread = spread.select(F.col(key).alias("_key"), "_m.*", *[
+        F.when(F.col("_m._row"), F.col(c)).alias(c) for c in df.columns])
+    earlier = Window.partitionBy("_key", "_slot").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    counted = spread.withColumn("current_count", F.coalesce(F.sum("_step").over(earlier), F.lit(0))).filter("_row")
     return counted.select(
         *df.columns, "current_count", (F.col("current_count") < limit).alias("is_allowed"),
         F.greatest(F.lit(0), limit - F.col("current_count") - 1).cast("bigint").alias("remaining"),
