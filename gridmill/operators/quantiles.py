@@ -112,9 +112,12 @@ def percentile_columns(df: DataFrame, wanted: dict[str, tuple[Column, float]], s
     names = [f"_x{i}" for i in range(len(by_expr))]
     narrow = df.select(*[e.cast("double").alias(n) for n, (e, _) in zip(names, by_expr.values())])
     if is_small(df) if small is None else small:
-        return narrow.agg(*[
-            F.percentile(F.when(~F.isnan(n), F.col(n)), F.lit(float(p))).alias(a)
-            for n, (_, items) in zip(names, by_expr.values()) for a, p in items])
+        # one buffer per expression serves all its percentiles
+        arrays = narrow.agg(*[
+            F.percentile(F.when(~F.isnan(n), F.col(n)), F.array(*[F.lit(float(p)) for _, p in items])).alias(n)
+            for n, (_, items) in zip(names, by_expr.values())])
+        return arrays.select(*[F.col(n)[i].alias(a) for n, (_, items) in zip(names, by_expr.values())
+                               for i, (a, _) in enumerate(items)])
     long = narrow.unpivot([], names, "_col", "_v") if len(names) > 1 else narrow.select(
         F.lit(names[0]).alias("_col"), F.col(names[0]).alias("_v"))
     probs = sorted({p for _, items in by_expr.values() for _, p in items})
