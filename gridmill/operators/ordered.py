@@ -1,8 +1,10 @@
 """Operators that follow row order, split so that no task sees a whole key or table.
 
-The order column is a unique integer position (gaps are fine).  Rows are cut
-into runs of ``chunk`` positions, which bounds the rows of every window.  What
-a run needs from earlier runs (a last value, an open streak, a row count) is one
+The order column is a unique integer position.  Gaps are fine, but the numbers
+should roughly fill their range, as the table of runs has one row per ``chunk``
+positions; ``assign_positions`` makes such a column from any order.  Rows are cut
+into runs of ``chunk`` positions, which bounds the rows of every window.  What a
+run needs from earlier runs (a last value, an open streak, a row count) is one
 row per run, carried across runs by a window over that small table.
 """
 

@@ -11,13 +11,13 @@ def payload_rows(df: DataFrame, payload: str, keep: list[str]) -> tuple[DataFram
     The ``data`` field counts if the payload has one, else the payload itself;
     an object is one row, an array one row per element.
     """
-    parsed = F.try_parse_json(F.col(payload))
+    # steps of their own: Catalyst keeps a column that is read twice and computes it once;
     # back to text through the variant, so that a quoted text never looks like an object
-    inner = F.to_json(F.try_variant_get(F.col("_doc"), "$.data", "variant"))
-    whole = F.to_json(F.col("_doc"))
-    tagged = df.withColumn("_doc", parsed).select(
-        *keep, F.col("_doc").isNotNull().alias("_valid"),
-        F.when(inner.isNull() | (inner == "null"), whole).otherwise(inner).alias("_data"))
+    staged = df.withColumn("_doc", F.try_parse_json(F.col(payload))).withColumn(
+        "_inner", F.to_json(F.try_variant_get(F.col("_doc"), "$.data", "variant")))
+    own = F.col("_inner").isNotNull() & (F.col("_inner") != "null")
+    tagged = staged.select(*keep, F.col("_doc").isNotNull().alias("_valid"),
+                           F.when(own, F.col("_inner")).otherwise(F.to_json(F.col("_doc"))).alias("_data"))
     d = F.col("_data")
     items = F.when(d.startswith("{"), F.array(d)).when(d.startswith("["), F.from_json(d, "array<string>"))
     judged = tagged.withColumn("_items", items).withColumn(
