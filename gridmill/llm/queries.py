@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import mixing, repetition
+from gridmill.llm import mixing, repetition, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,9 @@ def source_mixing(spark, folder):
 @query("op5_repetition_rules")
 def repetition_rules(spark, folder):
     return repetition.repetition_rules(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_simhash_groups")
+def simhash_groups(spark, folder):
+    rows = simhash.simhash_groups(table(spark, folder, "documents"))
+    return rows.selectExpr("id AS doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component AS component_id")
