@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import mixing, repetition, simhash
+from gridmill.llm import mixing, repetition, simhash, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,8 @@ def repetition_rules(spark, folder):
 def simhash_groups(spark, folder):
     rows = simhash.simhash_groups(table(spark, folder, "documents"))
     return rows.selectExpr("id AS doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component AS component_id")
+
+
+@query("op7_warc_round_trip")
+def warc_round_trip(spark, folder):
+    return warc.archive_round_trip(spark, table(spark, folder, "pages"))
