@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import mixing, repetition, simhash, warc
+from gridmill.llm import mixing, pq, repetition, simhash, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,9 @@ def simhash_groups(spark, folder):
 @query("op7_warc_round_trip")
 def warc_round_trip(spark, folder):
     return warc.archive_round_trip(spark, table(spark, folder, "pages"))
+
+
+@query("op6_near_vectors")
+def near_vectors(spark, folder):
+    rows = pq.near_vectors(table(spark, folder, "embeddings"))
+    return rows.selectExpr("id AS vec_id", "n_links", "component AS component_id", "kept")
