@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import mixing, pq, repetition, simhash, warc
+from gridmill.llm import bigru, mixing, pq, repetition, simhash, warc
+from gridmill.llm.common import held_out
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,3 +80,11 @@ def warc_round_trip(spark, folder):
 def near_vectors(spark, folder):
     rows = pq.near_vectors(table(spark, folder, "embeddings"))
     return rows.selectExpr("id AS vec_id", "n_links", "component AS component_id", "kept")
+
+
+@query("op10_byte_language")
+def byte_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    network = bigru.fit_languages(docs, ~held_out(F.col("doc_id")))
+    rows = bigru.predict_languages(docs, network)
+    return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
