@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bigru, mixing, pq, repetition, simhash, warc
+from gridmill.llm import bigru, crf, mixing, pq, repetition, simhash, warc
 from gridmill.llm.common import held_out
 
 QUERIES: dict = {}
@@ -88,3 +88,11 @@ def byte_language(spark, folder):
     network = bigru.fit_languages(docs, ~held_out(F.col("doc_id")))
     rows = bigru.predict_languages(docs, network)
     return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxic_spans")
+def toxic_spans(spark, folder):
+    docs = table(spark, folder, "documents")
+    tagger = crf.fit_tagger(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
+    rows = crf.tag_toxic(docs, tagger)
+    return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
