@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bigru, crf, mixing, pq, repetition, simhash, warc
+from gridmill.llm import bigru, crf, licences, mixing, pq, repetition, simhash, warc
 from gridmill.llm.common import held_out
 
 QUERIES: dict = {}
@@ -96,3 +96,36 @@ def toxic_spans(spark, folder):
     tagger = crf.fit_tagger(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")))
     rows = crf.tag_toxic(docs, tagger)
     return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def _licence_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    bags = [(name, licences.template_bigrams(text)) for name, text in licences.TEMPLATES.items()]
+    listed = ", ".join(f"({quoted(name)}, {quoted(x)}, {n})" for name, bag in bags for x, n in bag)
+    return rf"""
+WITH bigrams(licence, bigram, times) AS (VALUES {listed}),
+templates AS (SELECT licence, sum(times)::INT AS template_size FROM bigrams GROUP BY licence),
+clean AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g') AS t FROM documents WHERE length(text) > 0),
+units AS (
+    SELECT doc_id, generate_subscripts(u, 1) AS unit, unnest(u) AS line
+    FROM (SELECT doc_id, list_concat([replace(t, chr(10), ' ')], string_split(t, chr(10))) AS u FROM clean)),
+words AS (SELECT doc_id, unit, regexp_extract_all(line, '[a-z0-9]+') AS w FROM units),
+singles AS (
+    SELECT doc_id, unit, len(w) - 1 AS n, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS bigram
+    FROM words WHERE len(w) BETWEEN 2 AND 400),
+counted AS (SELECT doc_id, unit, n, bigram, count(*) AS here FROM singles GROUP BY ALL),
+hits AS (
+    SELECT doc_id, unit, licence, 2 * sum(least(here, times)) / any_value(n + template_size) AS dice
+    FROM counted JOIN bigrams USING (bigram) JOIN templates USING (licence) GROUP BY doc_id, unit, licence),
+best AS (
+    SELECT doc_id, count(DISTINCT unit) AS n_units, max(dice) AS dice FROM hits WHERE dice >= 0.8 GROUP BY doc_id),
+named AS (
+    SELECT b.doc_id, any_value(b.n_units) AS n_units, any_value(b.dice) AS dice, min(h.licence) AS licence
+    FROM best b JOIN hits h ON h.doc_id = b.doc_id AND h.dice = b.dice GROUP BY b.doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, licence, dice FROM documents d LEFT JOIN named n ON d.doc_id = n.doc_id
+"""
+
+
+@query("op1_licence_scan", _licence_sql())
+def licence_scan(spark, folder):
+    return licences.licence_scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
