@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bigru, crf, licences, mixing, pq, repetition, simhash, warc
+from gridmill.llm import bigru, crf, licences, mixing, pq, repetition, runindex, simhash, warc
 from gridmill.llm.common import held_out
 
 QUERIES: dict = {}
@@ -129,3 +129,9 @@ SELECT d.doc_id, coalesce(n_units, 0) AS n_units, licence, dice FROM documents d
 @query("op1_licence_scan", _licence_sql())
 def licence_scan(spark, folder):
     return licences.licence_scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_run_index_dedup")
+def run_index_dedup(spark, folder):
+    rows = runindex.remove_repeats(table(spark, folder, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
