@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bigru, crf, licences, mixing, pq, repetition, runindex, simhash, warc
+from gridmill.llm import bigru, crf, licences, mixing, pieces, pq, repetition, runindex, simhash, warc
 from gridmill.llm.common import held_out
 
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -135,3 +139,10 @@ def licence_scan(spark, folder):
 def run_index_dedup(spark, folder):
     rows = runindex.remove_repeats(table(spark, folder, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op3_piece_ids")
+def piece_ids(spark, folder):
+    rows = pieces.decode(pieces.encode(table(spark, folder, "documents"), PIECE_MODEL, keep=("text",)), PIECE_MODEL)
+    same = F.col("decoded").eqNullSafe(F.replace(F.col("text"), F.lit(pieces.MARK), F.lit(" ")))
+    return rows.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
