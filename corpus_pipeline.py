@@ -1,8 +1,66 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, near duplicates, repeated passages, mixing, pieces.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes the documents that the stage before kept and calls one operator of ``gridmill.llm`` on all of them.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridmill.llm import bigru, mixing, pieces, runindex, simhash
+from gridmill.llm.common import held_out, staged
+from gridmill.llm.queries import PIECE_MODEL
+
+LEAST_SURE = 0.4  # pooled probability below which a text has no language
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The id and the text, and the whole row beside them, so that no column of the documents can clash with one of an operator."""
+    return docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those that no language is likely for."""
+    network = bigru.fit_languages(docs, ~held_out(F.col("doc_id")))
+    found = bigru.predict_languages(_packed(docs), network, keep=("_row",))
+    return found.where((F.col("lang_pred") != bigru.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of near duplicates."""
+    return simhash.one_of_each(docs, words=3, radius=2)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out every 50-byte string that an earlier document has; documents of which nothing is left go, null texts stay null."""
+    cut = runindex.remove_repeats(_packed(docs), length=50, keep=("_row",))
+    text = F.when(F.col("_row.text").isNotNull(), F.col("kept_text"))
+    row = F.col("_row").withField("text", text).withField("n_chars", F.length(text).cast("long"))
+    return cut.where((F.col("n_removed") == 0) | (F.col("kept_text") != "")).select(row.alias("_row")).select("_row.*")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emit each document as often as the mix of sources takes it."""
+    mixed = mixing.mix(_packed(docs), carry=("_row",))
+    return mixed.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document."""
+    rows = pieces.encode(_packed(docs), PIECE_MODEL, keep=("_row",))
+    return rows.select(F.col("id").alias("doc_id"), F.col("_row.lang").alias("lang"), F.col("_row.source").alias("source"),
+                       F.size("ids").alias("n_pieces"), "ids")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture),
+          ("tokens", tokens)]
+
+ORACLE_SQL = None  # the network, the fingerprints and the piece lattice have no SQL form
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what a stage returns is written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridmill.llm.common import byte_view, text_slices
 
@@ -213,5 +213,5 @@ def predict_languages(docs: DataFrame, network: Network, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(names[best].tolist(), pa.string()), pa.array(score)],
                                              ["kept", "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double")
+    out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return out.select(F.col(f"kept.{id_col}").alias("id"), "lang_pred", "score", *(F.col(f"kept.{c}").alias(c) for c in keep))

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridmill.llm.common import byte_view, span_hashes, text_slices
 from gridmill.llm.runindex import gathered, suffix_order
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             lists = pc.if_else(empty, pa.scalar(None, lists.type), lists) if empty.true_count else lists
             yield pa.RecordBatch.from_arrays([batch.column("kept"), lists], ["kept", "ids"])
 
-    out = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, ids array<int>")
+    out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.select(F.col(f"kept.{id_col}").alias("id"), "ids", *(F.col(f"kept.{c}").alias(c) for c in keep))
 
 
@@ -342,5 +342,5 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
             texts = decode_ids(shared.value, flat, np.concatenate(([0], np.cumsum(sizes))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))], ["row", "text"])
 
-    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, text string")
+    out = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("text", T.StringType())]))
     return out.select("row.*", F.col("text").alias(out_col))

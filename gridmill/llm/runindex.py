@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridmill.llm.common import BASE, INVERSE, byte_view, mixed, powers, span_hashes, staged, text_slices
 
@@ -497,9 +497,10 @@ def marks_in(rows: list[dict], length: int) -> list[tuple[str, np.ndarray]]:
     return [(r["chunk"], np.stack((docs[place[a:b]], first[a:b], last[a:b]))) for r, a, b in zip(rows, cuts, cuts[1:]) if b > a]
 
 
-def cut_marks(chunks: DataFrame, marks: DataFrame, keep: dict[str, str]) -> DataFrame:
-    """Cut the marked bytes out of the texts."""
-    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
+def cut_marks(chunks: DataFrame, marks: DataFrame, keep: list[T.StructField]) -> DataFrame:
+    """Cut the marked bytes out of the texts; characters that lose a byte lose all."""
+    counts = ["id", "n_bytes", "n_removed", "n_spans"]
+    columns = [*counts, "kept_bytes", "kept_text", *(f.name for f in keep)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -518,13 +519,14 @@ def cut_marks(chunks: DataFrame, marks: DataFrame, keep: dict[str, str]) -> Data
         at = np.concatenate(([0], np.cumsum(size - removed))).tolist()
         ids = pa.array(chunk.ids, mask=chunk.ids == NO_ID)
         kept = pa.ipc.open_stream(row["rest"]).read_all()["kept"].combine_chunks()
-        out = [ids, pa.array(size), pa.array(removed), pa.array(within(begins)),
-               pa.array([left_over[a:b] for a, b in zip(at, at[1:])], pa.binary())]
-        return pa.table(out + [kept.field(c) for c in keep], names=columns + list(keep))
+        texts = [left_over[a:b] for a, b in zip(at, at[1:])]
+        out = [ids, pa.array(size), pa.array(removed), pa.array(within(begins)), pa.array(texts, pa.binary()),
+               pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())]
+        return pa.table(out + [kept.field(f.name) for f in keep], names=columns)
 
-    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary"
-    return chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(
-        run, ", ".join([kind, *(f"`{c}` {t}" for c, t in keep.items())]))
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in counts), T.StructField("kept_bytes", T.BinaryType()),
+                           T.StructField("kept_text", T.StringType()), *keep])
+    return chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: tuple[str, ...] = (),
@@ -532,7 +534,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove every byte of a text that lies in a string of ``length`` bytes that also starts in a text with a smaller id.
 
     Texts are their UTF-8 bytes, matches never cross texts, and all strings are judged on the input.  One row per row of ``docs``: id,
-    n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes, and the columns in ``keep``.  Null texts are empty, and texts
+    n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes, kept_text, and the columns in ``keep``.  Null texts are empty, and texts
     shorter than ``length`` stay.  Rows that share an id don't remove from each other; a null id counts as larger than all others.
     No rows in, no rows out.  ``anchor`` has to be smaller than ``length``.
     """
@@ -543,4 +545,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = shared_anchors(send_anchors(chunks.select("chunk", "ids", "bounds", "blob"), buckets, length, anchor), hot)
     sent = send_contexts(chunks.select("chunk", "ids", "bounds", "blob"), flags, buckets, length, anchor)
     marks = match_contexts(sent, length)
-    return cut_marks(chunks, marks, {c: docs.schema[c].dataType.simpleString() for c in keep})
+    return cut_marks(chunks, marks, [docs.schema[c] for c in keep])

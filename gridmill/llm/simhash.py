@@ -35,16 +35,16 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of ``docs``: id and fp (the 64 bits as a signed long).  Null, empty and blank texts have fingerprint 0."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """One row per row of ``docs``: id, text_hash and fp (the 64 bits as a signed long).  Null, empty and blank texts have fingerprint 0."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def run(batches):
         for batch in text_slices(batches, "text"):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             found = np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(found)], ["id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 class Forest:
@@ -166,7 +166,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     meet in one shard and no tree needs to be sent to all tasks; a shard follows only edges within the radius and
     returns links that span its groups.
 
-    Returns one row per row of ``docs``: id, fp (signed long) and component (smallest id of the group).  Null and blank texts share
+    Returns one row per row of ``docs``: id, text_hash, fp (signed long), component (smallest id of the group) and root (a fingerprint that
+    names the group).  Null and blank texts share
     fingerprint 0.  Rows with a null id get the component of their group, null if no row of it has an id; repeated rows repeat.
     """
     rows = staged(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
@@ -175,5 +176,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = staged(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("first").alias("component"))
-    named = staged(placed.join(least, "root").select("fp", "component"), "named")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    named = staged(placed.join(least, "root").select("fp", "root", "component"), "named")
+    return rows.join(named, "fp").select("id", "text_hash", "fp", "component", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stand for their group: the smallest id (then text) of each; ids before null ids."""
+    groups = simhash_groups(docs, id_col, text_col, words, radius)
+    key = F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")
+    first = groups.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.id").alias("_first_id"), F.col("k.text_hash").alias("_first_text"))
+    rows = docs.withColumn("_text", F.xxhash64(text_col))
+    kept = rows.join(first, rows[id_col].eqNullSafe(F.col("_first_id")) & (rows["_text"] == F.col("_first_text")), "left_semi")
+    return kept.dropDuplicates([id_col, "_text"]).select(*docs.columns)
