@@ -9,8 +9,6 @@ from gridmill.functions.numbers import as_number
 from gridmill.operators.predicates import AGGREGATE_OPERATORS, apply_filters
 from gridmill.operators.quantiles import percentile_table
 
-DEFAULT_LIMIT = 1000
-
 FUNCTIONS = {
     "sum": F.sum, "avg": F.avg, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max,
 }
@@ -29,7 +27,7 @@ def validate_config(config: dict) -> None:
         raise ValueError("config needs columns")
     if config.get("aggregation", "sum") not in AGGREGATIONS:
         raise ValueError(f"unknown aggregation {config['aggregation']!r}; use one of {AGGREGATIONS}")
-    if int(config.get("limit", DEFAULT_LIMIT)) < 1:
+    if config.get("limit") is not None and int(config["limit"]) < 1:
         raise ValueError("limit must be positive")
     for f in config.get("filters") or []:
         if f.get("operator") not in AGGREGATE_OPERATORS:
@@ -39,7 +37,7 @@ def validate_config(config: dict) -> None:
 def aggregate(df: DataFrame, config: dict) -> DataFrame:
     """``{columns, aggregation, grouping?, filters?, limit?}`` to ``label, <column>...``.
 
-    Null labels read "null", null measures 0; rows come in label order.  Without
+    Null labels read "null", null measures 0; rows come in label order, all of them unless the config names a limit.  Without
     grouping there is one row and no label.
     """
     validate_config(config)
@@ -53,7 +51,9 @@ def aggregate(df: DataFrame, config: dict) -> DataFrame:
         out = rows.groupBy(*keys).agg(*[measure(rows, c, fn).alias(c) for c in columns])
     out = out.select(*[k for k in ("label",) if grouping],
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    return out.orderBy("label").limit(int(config.get("limit", DEFAULT_LIMIT))) if grouping else out
+    if not grouping:
+        return out
+    return out.orderBy("label") if config.get("limit") is None else out.orderBy("label").limit(int(config["limit"]))
 
 
 def _medians(rows: DataFrame, columns: list[str], keys: list[Column]) -> DataFrame:

@@ -18,7 +18,7 @@ PHONE = r"^[\+]?[(]?[0-9]{1,4}[)]?[-\s\.]?[(]?[0-9]{1,4}[)]?[-\s\.]?[0-9]{1,9}$"
 SHAPES = [("email", EMAIL), ("url", URL), ("uuid", UUID), ("phone", PHONE)]
 # fixed values: shares of matching values that decide a type
 VALUE_SHARE, SHAPE_SHARE, CONVERSION_SHARE = 0.9, 0.8, 0.95
-SAMPLE_ROWS, SAMPLE_VALUES = 1000, 5
+SAMPLE_VALUES = 5
 # fixed values: semantic type -> SQL type
 SQL_TYPES = {
     "integer": "INTEGER", "float": "DOUBLE PRECISION", "boolean": "BOOLEAN", "date": "DATE",
@@ -80,14 +80,14 @@ def _metrics(i: int, dtype: T.DataType) -> list[Column]:
     ]
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None) -> DataFrame:
+def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, inferred_type, confidence, nullable, null_count`` from one pass over all columns.
 
     Typed columns keep their physical reading; text runs down the ladder
-    boolean, date, number, shapes, string.  ``sample_rows`` bounds the pass.
+    boolean, date, number, shapes, string.
     """
     names = columns or df.columns
-    rows = df.limit(sample_rows) if sample_rows else df
+    rows = df
     facts = long_stats(_readings(rows, names), names, lambda c: _metrics(names.index(c), df.schema[c].dataType))
     dated = F.when(F.col("any_time"), "datetime").otherwise("date")
     number = F.when(F.col("all_whole"), "integer").otherwise("float")

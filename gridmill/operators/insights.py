@@ -15,7 +15,6 @@ from gridmill.operators.stats import iqr_outlier_counts, significant_correlation
 QUALITY_LIMIT = 80
 HIGH, MEDIUM = 0.75, 0.5
 CONFIDENCE = {"summary": 0.9, "anomaly": 0.8, "correlation_cap": 0.95}
-TREND_METRICS, ANOMALY_COLUMNS, SHOWN_CORRELATIONS = 3, 5, 2
 
 
 def trend_series(df: DataFrame, date_column: str, columns: list[str], interval: str = "month") -> DataFrame:
@@ -26,11 +25,10 @@ def trend_series(df: DataFrame, date_column: str, columns: list[str], interval:
 
 
 def trends(df: DataFrame, date_column: str, columns: list[str], interval: str = "month") -> DataFrame:
-    """``time_column, metric_column, data_points`` for the first metrics."""
-    names = columns[:TREND_METRICS]
-    series = trend_series(df, date_column, names, interval)
+    """``time_column, metric_column, data_points`` per metric."""
+    series = trend_series(df, date_column, columns, interval)
     rows = [F.struct(F.lit(date_column).alias("time_column"), F.lit(c).alias("metric_column"),
-                     F.count(F.lit(1)).alias("data_points")) for c in names]
+                     F.count(F.lit(1)).alias("data_points")) for c in columns]
     return series.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
@@ -53,7 +51,7 @@ def trend_evidence(df: DataFrame, date_column: str, columns: list[str], interval
 
 
 def anomalies(df: DataFrame, columns: list[str]) -> DataFrame:
-    return iqr_outlier_counts(df, columns[:ANOMALY_COLUMNS]).filter(F.col("outlier_count") > 0)
+    return iqr_outlier_counts(df, columns).filter(F.col("outlier_count") > 0)
 
 
 def confidence_level(c: Column) -> Column:
@@ -72,15 +70,14 @@ def rule_insights(quality: DataFrame, correlated: DataFrame, found: DataFrame) -
     score = F.col("quality_score")
     shown = F.format_string("%.2f", score)
     low = _insight(
-        quality.filter(score < QUALITY_LIMIT), "summary", F.lit("Data Quality Needs Attention"),
+        quality.filter(score < QUALITY_LIMIT), "summary", F.lit("Low quality score"),
         F.concat(F.lit("Quality score "), shown, F.lit(" of 100: check missing and inconsistent values.")),
         F.lit(CONFIDENCE["summary"]), F.create_map(F.lit("quality_score"), shown),
         F.lit("Review missing values and clean the data."))
     r = F.col("correlation")
-    pairs = correlated.orderBy("pair").limit(SHOWN_CORRELATIONS)
     names = F.concat(F.col("column1"), F.lit(" and "), F.col("column2"))
     linked = _insight(
-        pairs, "correlation", F.concat(F.lit("Strong Correlation: "), names),
+        correlated, "correlation", F.concat(names, F.lit(" move together")),
         F.concat(names, F.lit(" show a "), F.col("strength"), F.lit(" "), F.col("direction"),
                  F.lit(" correlation (r="), F.format_string("%.3f", r), F.lit(").")),
         F.least(F.abs(r), F.lit(CONFIDENCE["correlation_cap"])),
@@ -90,7 +87,7 @@ def rule_insights(quality: DataFrame, correlated: DataFrame, found: DataFrame) -
     counted = found.agg(F.count(F.lit(1)).alias("n"), F.sum("outlier_count").alias("total")).filter("n > 0")
     n, total = F.col("n").cast("string"), F.col("total").cast("string")
     odd = _insight(
-        counted, "anomaly", F.concat(F.lit("Outliers Detected in "), n, F.lit(" Columns")),
+        counted, "anomaly", F.concat(n, F.lit(" columns hold outliers")),
         F.concat(F.lit("Found "), total, F.lit(" outliers in all: errors or notable values.")),
         F.lit(CONFIDENCE["anomaly"]), F.create_map(F.lit("columns"), n, F.lit("outliers"), total),
         F.lit("Check whether the outliers are errors or real extremes."))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,22 +17,40 @@ RECORD_OPERATORS = (
     "in", "not_in", "is_null", "is_not_null",
 )
 AGGREGATE_OPERATORS = ("eq", "ne", "gt", "lt", "gte", "lte", "contains", "in")
-# longer value lists become a join instead of a literal list
-LIST_JOIN_SIZE = 10_000
 
 _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_MIRROR = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
+
+
+def _number(value) -> Decimal | None:
+    """The exact number a value stands for, infinities included; None for anything else."""
+    try:
+        number = Decimal(int(value)) if isinstance(value, bool) else Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    return None if number.is_nan() else number
+
+
+def _known(name: str, outcome: bool) -> Column:
+    """The same answer for every row that has a value; nulls stay unknown."""
+    return F.when(F.col(name).isNotNull(), F.lit(outcome))
 
 
 def _literal(dtype: T.DataType, value) -> Column | None:
-    """The value as a literal of the column's own type, so the comparison reaches the scan."""
+    """The value as a literal of the column's own type, so the comparison reaches the scan; None where the type cannot hold it."""
     if is_numeric(dtype):
-        try:
-            number = float(value)
-        except (TypeError, ValueError):
+        number = _number(value)
+        if number is None:
             return None
         if isinstance(dtype, T.IntegralType):
-            return F.lit(int(number)) if number == int(number) else None
-        return F.lit(number)
+            top = 1 << (_BITS[type(dtype)] - 1)
+            if not number.is_finite() or number != number.to_integral_value() or not -top <= number < top:
+                return None
+            return F.lit(int(number)).cast(dtype)
+        if isinstance(dtype, T.DecimalType):
+            return F.lit(number) if number.is_finite() and _fits_decimal(number) else None
+        return F.lit(float(number)) if Decimal(float(number)) == number or not _whole(value) else None
     if isinstance(dtype, T.BooleanType):
         return {"true": F.lit(True), "false": F.lit(False)}.get(str(value).lower())
     if isinstance(dtype, _TIME):
@@ -38,27 +58,51 @@ def _literal(dtype: T.DataType, value) -> Column | None:
     return F.lit(str(value))
 
 
+def _whole(value) -> bool:
+    """Whole numbers have to be met exactly; decimal fractions are read as the nearest double, as a column's texts were."""
+    number = _number(value)
+    return number.is_finite() and number == number.to_integral_value()
+
+
+def _fits_decimal(number: Decimal) -> bool:
+    _, digits, exponent = number.as_tuple()
+    return max(len(digits) + max(exponent, 0), -exponent) <= 38
+
+
 def _equals(df: DataFrame, name: str, value) -> Column:
     literal = _literal(column_type(df, name), value)
     # text that the column's type cannot hold never equals it; nulls stay unknown
-    return F.col(name) == literal if literal is not None else F.when(F.col(name).isNotNull(), F.lit(False))
+    return F.col(name) == literal if literal is not None else _known(name, False)
 
 
-def _ordered(df: DataFrame, name: str, value) -> tuple[Column, Column]:
+def _ordered(df: DataFrame, name: str, op: str, value) -> Column:
+    """gt, gte, lt, lte.  Bounds of integer columns become integers, so that the bare column is compared."""
     dtype = column_type(df, name)
     if isinstance(dtype, _TIME):
-        return F.col(name), F.lit(str(value)).try_cast(dtype)
+        return getattr(F.col(name), _MIRROR[op])(F.lit(str(value)).try_cast(dtype))
+    number = _number(value)
+    if number is None:
+        raise ValueError(f"operator {op!r} needs a number, not {value!r}")
+    if isinstance(dtype, T.IntegralType):
+        top = 1 << (_BITS[type(dtype)] - 1)
+        if number >= top or number < -top:
+            return _known(name, (number > 0) == (op in ("lt", "lte")))
+        down = op in ("gt", "lte")  # col > 2.5 is col > 2, col >= 2.5 is col >= 3
+        return getattr(F.col(name), _MIRROR[op])(F.lit(math.floor(number) if down else math.ceil(number)))
+    if isinstance(dtype, T.DecimalType) and number.is_finite() and _fits_decimal(number):
+        return getattr(F.col(name), _MIRROR[op])(F.lit(number))
     left = F.col(name) if is_numeric(dtype) else F.col(name).try_cast("double")
-    return left, F.lit(float(value))
+    bound = float(number)
+    if _whole(value) and Decimal(bound) != number:  # no double is the bound: the nearest one lies on one side of it
+        op = {"gt": "gt", "gte": "gt", "lt": "lte", "lte": "lte"}[op] if bound < number else {"gt": "gte", "gte": "gte", "lt": "lt", "lte": "lt"}[op]
+    return getattr(left, _MIRROR[op])(F.lit(bound))
 
 
 def _values(df: DataFrame, name: str, value) -> Column:
     if not isinstance(value, (list, tuple, set)):
         raise ValueError("'in' and 'not_in' take a list of values")
     literals = [x for x in (_literal(column_type(df, name), v) for v in value) if x is not None]
-    if not literals:
-        return F.when(F.col(name).isNotNull(), F.lit(False))
-    return F.col(name).isin(*literals)
+    return F.col(name).isin(*literals) if literals else _known(name, False)
 
 
 def compile_filter(df: DataFrame, spec: dict, allowed=RECORD_OPERATORS) -> Column:
@@ -76,8 +120,7 @@ def compile_filter(df: DataFrame, spec: dict, allowed=RECORD_OPERATORS) -> Colum
     if op == "ne":
         return ~_equals(df, name, value)
     if op in ("gt", "gte", "lt", "lte"):
-        left, right = _ordered(df, name, value)
-        return {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op]
+        return _ordered(df, name, op, value)
     if op == "contains":
         return text.ilike(f"%{pattern}%")
     if op == "starts_with":
@@ -97,18 +140,8 @@ def compile_filters(df: DataFrame, specs: list[dict], allowed=RECORD_OPERATORS)
 
 
 def apply_filters(df: DataFrame, specs: list[dict] | None, allowed=RECORD_OPERATORS) -> DataFrame:
-    """AND of all specs.  Long value lists are joined, the rest is one predicate."""
-    short = []
-    for s in specs or []:
-        if s["operator"] in ("in", "not_in") and len(s.get("value") or ()) > LIST_JOIN_SIZE:
-            validate_filters(df, [s], allowed)
-            keys = df.sparkSession.createDataFrame([(str(v),) for v in s["value"]], "k string").distinct()
-            how = "left_semi" if s["operator"] == "in" else "left_anti"
-            df = df.filter(F.col(s["column"]).isNotNull()).join(
-                keys, F.col(s["column"]).cast("string") == keys["k"], how)
-        else:
-            short.append(s)
-    return df.filter(compile_filters(df, short, allowed)) if short else df
+    """AND of all specs as one predicate, whatever the length of a value list."""
+    return df.filter(compile_filters(df, specs, allowed)) if specs else df
 
 
 def validate_filters(df: DataFrame, specs: list[dict], allowed=RECORD_OPERATORS) -> None:

@@ -9,7 +9,7 @@ from gridmill.operators.quantiles import percentile_table
 from gridmill.operators.stats import with_scalar
 
 # fixed values
-BINS, FREQUENT, TOP_VALUES = 10, 50, 10
+BINS = 10
 # a text column is categorical up to this many values or this share of distinct values
 CATEGORICAL_VALUES, CATEGORICAL_SHARE = 50, 0.05
 # columns per aggregate: keeps generated code small on wide tables
@@ -74,13 +74,14 @@ def histogram(df: DataFrame, column: str, bins: int = BINS, clamp: bool = True)
     return out.withColumn("label", F.concat_ws("-", F.format_string("%.2f", "low"), F.format_string("%.2f", "high")))
 
 
-def frequency_table(df: DataFrame, column: str, limit: int = FREQUENT) -> DataFrame:
-    """Most frequent values with their share of all non-null rows."""
+def frequency_table(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Values by frequency with their share of all non-null rows; all, or the first ``limit``."""
     rows = df.filter(F.col(column).isNotNull())
     counts = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
     # the total is a scalar: a window over all groups would put them into one task
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    top = counts.orderBy(F.col("count").desc(), F.col("value")).limit(limit)
+    top = counts.orderBy(F.col("count").desc(), F.col("value"))
+    top = top if limit is None else top.limit(limit)
     return top.withColumn("percentage", percent(F.col("count"), total))
 
 
@@ -229,7 +230,7 @@ def text_column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         F.try_divide(F.col("unique_count"), F.col("non_null_count")).alias("cardinality_ratio"))
 
 
-def top_values(df: DataFrame, columns: list[str], limit: int = TOP_VALUES) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """``column, rank, value, count``; the rank limit is applied before the shuffle."""
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
     ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

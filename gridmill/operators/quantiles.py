@@ -4,124 +4,88 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridmill.session import cut_lineage, is_small
-
-SKETCH_SIZE = 4096
-SKETCH_SHARDS = 256
+BINS_PER_OCTAVE = 64
 FINE_BINS = 4096
-BROADCAST_GROUPS = 20_000  # rows of the bracket table, each under 1 KB
 
 
-def percentile_table(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None,
-                     small: bool | None = None) -> DataFrame:
-    """``keys..., p, value`` for each probability; null values are ignored.
+def percentile_table(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None) -> DataFrame:
+    """``keys..., p, value`` for each probability; null values and NaN are ignored.
 
-    Small inputs use the built-in ``percentile``, whose buffer holds every
-    distinct value of a group in one task.  Larger inputs take three scans and
-    never shuffle more than a thin slice of the values:
+    Values are counted first, so equal ones are one row from there on.  Then a rank is narrowed down in three steps, each a count per bin and a
+    running sum over the bins of one group:
 
-    1. per-key sketches (merged in two levels) give rough brackets;
-    2. rows are counted per bracket and per equal-width bin inside it, which
-       fixes exactly in which bin each wanted rank lies;
-    3. only rows of those bins are grouped by value and ranked.
+    1. bins by magnitude, a fixed number per doubling;
+    2. equal-width bins between the least and the largest value of the bin that holds the rank;
+    3. the values of that narrow bin.
 
-    The sketch decides where the cuts lie, not what the answer is.
+    The bins only decide where a value is looked for, not what the answer is.  No buffer holds the values of a group, and building the
+    plan runs no job.
     """
     keys = keys or []
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if is_small(df) if small is None else small:
-        probs_array = F.array(*[F.lit(float(p)) for p in probs])
-        got = rows.groupBy(*keys).agg(F.percentile("_v", probs_array).alias("_a"))
-        pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col("_a")[i].alias("value"))
-                          for i, p in enumerate(probs)])
-        return got.select(*keys, F.inline(pairs))
-    return _spread(rows, probs, keys)
-
-
-def _match(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner",
-           broadcast: bool = False) -> DataFrame:
-    """Join on keys that may be null; a struct of them is never null itself."""
-    right = right.select(F.struct(*names).alias("_right"), *[c for c in right.columns if c not in names])
-    right = F.broadcast(right) if broadcast else right
-    return left.join(right, F.struct(*names) == F.col("_right"), how).drop("_right")
-
-
-def _spread(rows: DataFrame, probs: list[float], keys: list[str]) -> DataFrame:
-    # a key that is always present lets keyed and global percentiles share one plan
-    group = [*keys, "_all"]
-    rows = rows.withColumn("_all", F.lit(0))
-    margin = 4.0 / SKETCH_SIZE
-    ranks = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
-
-    shard = F.pmod(F.spark_partition_id(), F.lit(SKETCH_SHARDS))
-    sketched = rows.withColumn("_shard", shard).groupBy(*group, "_shard").agg(
-        F.kll_sketch_agg_double("_v", SKETCH_SIZE).alias("_k"), F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    merged = sketched.groupBy(*group).agg(
-        F.kll_merge_agg_double("_k", SKETCH_SIZE).alias("_k"), F.sum("_n").alias("_n"),
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    cuts = F.array_sort(F.array_distinct(F.array(
-        "_lo", *[F.kll_sketch_get_quantile_double("_k", F.lit(r)) for r in ranks], "_hi")))
-    # a small table, read three times below; its row count decides how it is joined
-    brackets = cut_lineage(merged.select(*group, "_n", cuts.alias("_cuts")))
-    few = brackets.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-
-    def binned(frame: DataFrame) -> DataFrame:
-        """Add ``_b``, a bin number that grows with the value."""
-        # number of cuts at or below the value; at most two cuts per probability
-        at = [F.when(F.try_element_at("_cuts", F.lit(i + 1)) <= F.col("_v"), 1).otherwise(0)
-              for i in range(len(ranks) + 2)]
-        frame = frame.withColumn("_slot", sum(at[1:], at[0]))
-        low = F.try_element_at("_cuts", F.greatest(F.col("_slot"), F.lit(1)))
-        high = F.try_element_at("_cuts", F.col("_slot") + 1)
-        share = F.try_divide(F.col("_v") - low, high - low)
-        fine = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * FINE_BINS), F.lit(FINE_BINS - 1))
-        return frame.withColumn("_b", F.col("_slot").cast("bigint") * FINE_BINS + fine)
-
-    counts = binned(_match(rows, brackets, group, broadcast=few)).groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
-
-    # the two neighbours of each wanted position, as 0-based ranks
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p")) for p in probs]))
-    targets = brackets.select(*group, "_n", wanted.alias("_w")).select(*group, "_n", F.col("_w.p").alias("p"))
-    spot = F.col("p") * (F.col("_n") - 1)
-    targets = targets.withColumn("_spot", spot).withColumn("_rank", F.explode(
-        F.array_distinct(F.array(F.floor(spot), F.ceil(spot)))))
-    hits = _match(targets, ladder, group).filter(
-        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-    hits = cut_lineage(hits.select(*group, "p", "_spot", "_rank", "_b", "_start"))
-
-    slices = hits.select(*group, "_b").distinct()
-    inside = _match(binned(_match(rows, brackets, group, broadcast=few)), slices, [*group, "_b"], "left_semi", few)
-    values = inside.groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("_last", F.sum("_c").over(order)).withColumn("_first", F.col("_last") - F.col("_c"))
-    found = _match(hits, values, [*group, "_b"]).filter(
-        (F.col("_rank") - F.col("_start") >= F.col("_first")) & (F.col("_rank") - F.col("_start") < F.col("_last")))
+    group = [*keys, "_all"]  # a key that is always present lets keyed and global percentiles share one plan
+    rows = df.select(*keys, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    size = F.abs("_v")
+    # clamped where the logarithm has no value (0) or is infinite; it never falls as the value grows
+    octave = F.floor(F.log2(F.greatest(F.least(size, F.lit(1.7e308)), F.lit(1e-300))) * BINS_PER_OCTAVE) + 1_000_000
+    counted = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_b", F.when(F.col("_v") > 0, octave).when(F.col("_v") < 0, -octave).otherwise(F.lit(0)).cast("bigint"))
+
+    spot = F.col("_w.p") * (F.col("_n") - 1)
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p")) for p in dict.fromkeys(probs)]))
+    coarse = counted.groupBy(*group, "_b").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    hits = (_running(coarse, group, "_b").withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
+            .select("*", wanted.alias("_w")).withColumn("_spot", spot)
+            .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_spot"), F.ceil("_spot")))))
+            .filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
+            .select(*group, "_b", "_lo", "_hi", F.col("_w.p").alias("p"), "_spot", (F.col("_rank") - F.col("_start")).alias("_rank")))
+
+    bins = hits.select(*group, "_b", "_lo", "_hi").distinct()
+    fine = _match(counted, bins, [*group, "_b"]).withColumn("_f", _fine_bin())
+    ladder = _running(fine.groupBy(*group, "_b", "_f").agg(F.sum("_c").alias("_c")), [*group, "_b"], "_f")
+    hits = _within(hits, ladder, [*group, "_b"])
+
+    slices = hits.select(*group, "_b", "_lo", "_hi", F.col("_f").alias("_g")).distinct()
+    inside = _match(counted, slices, [*group, "_b"]).filter(_fine_bin() == F.col("_g")).select(*group, "_b", F.col("_g").alias("_f"), "_v", "_c")
+    found = _within(hits, _running(inside, [*group, "_b", "_f"], "_v"), [*group, "_b", "_f"])
     low, high = F.min("_v"), F.max("_v")
     share = F.max("_spot") - F.floor(F.max("_spot"))
     return found.groupBy(*group, "p").agg((low + (high - low) * share).alias("value")).drop("_all")
 
 
-def percentile_columns(df: DataFrame, wanted: dict[str, tuple[Column, float]], small: bool | None = None) -> DataFrame:
+def _fine_bin() -> Column:
+    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * FINE_BINS), F.lit(FINE_BINS - 1))
+
+
+def _running(counts: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Ranks that each row covers in its group: from ``_start``, before ``_end``."""
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+
+
+def _within(hits: DataFrame, ladder: DataFrame, group: list[str]) -> DataFrame:
+    """The row of the ladder that covers each hit's rank, which becomes a rank inside that row."""
+    found = _match(hits, ladder.drop("_c"), group).filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
+    return found.withColumn("_rank", F.col("_rank") - F.col("_start")).drop("_start", "_end")
+
+
+def _match(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Join on keys that may be null; a struct of them is never null itself."""
+    right = right.select(F.struct(*names).alias("_right"), *[c for c in right.columns if c not in names])
+    return left.join(right, F.struct(*names) == F.col("_right")).drop("_right")
+
+
+def percentile_columns(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """One row with each alias holding the percentile of a numeric expression."""
     by_expr: dict[str, tuple[Column, list]] = {}
     for alias, (expr, p) in wanted.items():
         by_expr.setdefault(str(expr), (expr, []))[1].append((alias, p))
     names = [f"_x{i}" for i in range(len(by_expr))]
     narrow = df.select(*[e.cast("double").alias(n) for n, (e, _) in zip(names, by_expr.values())])
-    if is_small(df) if small is None else small:
-        # one buffer per expression serves all its percentiles
-        arrays = narrow.agg(*[
-            F.percentile(F.when(~F.isnan(n), F.col(n)), F.array(*[F.lit(float(p)) for _, p in items])).alias(n)
-            for n, (_, items) in zip(names, by_expr.values())])
-        return arrays.select(*[F.col(n)[i].alias(a) for n, (_, items) in zip(names, by_expr.values())
-                               for i, (a, _) in enumerate(items)])
     long = narrow.unpivot([], names, "_col", "_v") if len(names) > 1 else narrow.select(
         F.lit(names[0]).alias("_col"), F.col(names[0]).alias("_v"))
     probs = sorted({p for _, items in by_expr.values() for _, p in items})
-    table = percentile_table(long, "_v", probs, ["_col"], small=False)
+    table = percentile_table(long, "_v", probs, ["_col"])
     return table.agg(*[
         F.max(F.when((F.col("_col") == n) & (F.col("p") == float(p)), F.col("value"))).alias(a)
         for n, (_, items) in zip(names, by_expr.values()) for a, p in items])

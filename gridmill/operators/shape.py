@@ -16,9 +16,7 @@ from gridmill.operators.quantiles import percentile_columns, percentile_table
 from gridmill.operators.stats import with_scalar
 
 # more columns than this from one pivot or one-hot call raise instead of being cut
-MAX_NEW_COLUMNS = 1000
 # dictionaries up to this size may be numbered in one task
-ONE_TASK_DICTIONARY = 1_000_000
 
 
 def _words(name: str) -> list[str]:
@@ -169,12 +167,9 @@ def inverse_scale(df: DataFrame, params: DataFrame, columns: list[str], method:
 
 # --- encoding ----------------------------------------------------------------
 
-def categories(df: DataFrame, column: str, limit: int = MAX_NEW_COLUMNS) -> list:
-    """Sorted distinct values for new columns; more than ``limit`` raises."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column!r} has more than {limit} values; use the label encoding or the long form")
-    return sorted(r[0] for r in rows)
+def categories(df: DataFrame, column: str) -> list:
+    """Sorted distinct values, the names of new columns.  They make up the plan, so the long form suits columns with very many."""
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def encode_onehot(df: DataFrame, column: str, drop_first: bool = False, values: list | None = None) -> DataFrame:
@@ -197,10 +192,7 @@ def dictionary(df: DataFrame, column: str, order: list | None = None) -> DataFra
     if order is not None:
         return spark.createDataFrame([(v, i) for i, v in enumerate(order)], T.StructType([
             T.StructField("value", df.schema[column].dataType), T.StructField("code", T.LongType())]))
-    from pyspark.sql import Window
     distinct = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    if distinct.limit(ONE_TASK_DICTIONARY + 1).count() <= ONE_TASK_DICTIONARY:
-        return distinct.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint"))
     return assign_positions(distinct, ["value"], "_n").select("value", (F.col("_n") - 1).alias("code"))
 
 

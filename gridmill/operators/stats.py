@@ -13,7 +13,6 @@ from gridmill.operators.quantiles import percentile_columns
 WEAK, MODERATE = 0.3, 0.7
 SIGNIFICANT = 0.5
 IQR_FACTOR, Z_LIMIT, MODIFIED_Z_LIMIT, MAD_SCALE = 1.5, 3.0, 3.5, 0.6745
-LISTED_OUTLIERS = 100
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
@@ -72,9 +71,12 @@ def correlation(df: DataFrame, column1: str, column2: str) -> DataFrame:
     return correlations(df, [column1, column2]).drop("pair")
 
 
-def significant_correlations(df: DataFrame, columns: list[str], limit: int = 5) -> DataFrame:
-    """|r| > 0.5, the first pairs in column order."""
-    return correlations(df, columns).filter(F.abs("correlation") > SIGNIFICANT).orderBy("pair").limit(limit)
+def significant_correlations(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Pairs with |r| > 0.5 in column order; with a limit, the strongest of them."""
+    found = correlations(df, columns).filter(F.abs("correlation") > SIGNIFICANT)
+    if limit is not None:
+        found = found.orderBy(F.abs("correlation").desc(), "pair").limit(limit)
+    return found.orderBy("pair")
 
 
 def iqr_bounds(df: DataFrame, x: Column, factor: float = IQR_FACTOR) -> DataFrame:
@@ -115,12 +117,13 @@ def score_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: f
 
 
 def detect_outliers(df: DataFrame, column: str, method: str = "iqr", row_number: str = "row_number",
-                    threshold: float | None = None, listed: int = LISTED_OUTLIERS) -> DataFrame:
-    """The most extreme rows: ``row_number, value, score, lower, upper``."""
+                    threshold: float | None = None, listed: int | None = None) -> DataFrame:
+    """Outlying rows, the most extreme first: ``row_number, value, score, lower, upper``; all, or the first ``listed``."""
     scored = score_outliers(df, column, method, threshold).filter("_is_outlier")
     rows = scored.select(row_number, F.col("_x").alias("value"), F.col("_score").alias("score"),
                          F.col("_lower").alias("lower"), F.col("_upper").alias("upper"))
-    return rows.orderBy(F.col("score").desc(), F.col(row_number)).limit(listed)
+    ranked = rows.orderBy(F.col("score").desc(), F.col(row_number))
+    return ranked if listed is None else ranked.limit(listed)
 
 
 def outlier_summary(df: DataFrame, column: str, method: str = "iqr", threshold: float | None = None) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridmill.functions.numbers import as_number, missing, percent
 from gridmill.operators.infer import readable
 
-SAMPLES = 10
 ROW_RULES = ("data_types", "range_checks", "pattern_checks", "not_null")
 TYPES = ("integer", "float", "boolean", "date", "datetime", "string")
 
@@ -103,7 +102,7 @@ def duplicate_values(df: DataFrame, columns: list[str]) -> DataFrame:
                       F.count(F.lit(1)).alias("duplicate_values"), F.coalesce(F.max("count"), F.lit(0)).alias("largest"))
 
 
-def top_duplicates(df: DataFrame, columns: list[str], limit: int = SAMPLES) -> DataFrame:
+def top_duplicates(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
     return duplicate_groups(df, columns).orderBy(F.col("count").desc(), *columns).limit(limit)
 
 
@@ -161,7 +160,7 @@ def summary(results: DataFrame) -> DataFrame:
         "*", (F.col("errors") == 0).alias("passed"))
 
 
-def invalid_samples(df: DataFrame, rules: dict, row_number: str = "row_number", limit: int = SAMPLES) -> DataFrame:
+def invalid_samples(df: DataFrame, rules: dict, limit: int, row_number: str = "row_number") -> DataFrame:
     """The first offending rows of every row rule: ``rule, column, rank, row_number, value``."""
     found = [F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("column"),
                                   F.col(name).cast("string").alias("value")))

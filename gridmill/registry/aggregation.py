@@ -15,7 +15,7 @@ FLAGSHIP = {
 
 @query("agg_group_sum", "AGG01 AGG03 AGG05", """
     SELECT o_orderpriority AS label, round(sum(o_totalprice), 2) AS o_totalprice FROM orders
-    WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 1 LIMIT 1000""")
+    WHERE o_orderstatus = 'F' GROUP BY 1""")
 def flagship(t):
     return rounded(A.aggregate(t.orders, FLAGSHIP), 2, "o_totalprice")
 
@@ -46,12 +46,25 @@ def _(t):
 
 @query("agg_multi", "AGG01", """
     SELECT p_brand AS label, round(avg(p_size), 6) AS p_size, round(avg(p_retailprice), 6) AS p_retailprice
-    FROM part GROUP BY 1 ORDER BY 1 LIMIT 1000""")
+    FROM part GROUP BY 1""")
 def _(t):
     config = {"columns": ["p_size", "p_retailprice"], "aggregation": "avg", "grouping": "p_brand"}
     return rounded(A.aggregate(t.part, config), 6, "p_size", "p_retailprice")
 
 
+@query("agg_many_groups", "AGG01 AGG03", """
+    SELECT CAST(l_orderkey AS VARCHAR) AS label, round(sum(l_quantity), 4) AS l_quantity FROM lineitem GROUP BY 1""")
+def _(t):
+    return rounded(A.aggregate(t.lineitem, {"columns": ["l_quantity"], "aggregation": "sum", "grouping": "l_orderkey"}), 4, "l_quantity")
+
+
+@query("agg_limited", "AGG05", """
+    SELECT CAST(l_orderkey AS VARCHAR) AS label, round(sum(l_quantity), 4) AS l_quantity FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 20""")
+def _(t):
+    config = {"columns": ["l_quantity"], "aggregation": "sum", "grouping": "l_orderkey", "limit": 20}
+    return rounded(A.aggregate(t.lineitem, config), 4, "l_quantity")
+
+
 @query("agg_null_label", "AGG05", f"""
     SELECT coalesce(kind, 'null') AS label, round(coalesce(sum(v), 0), 2) AS v,
            (SELECT count(*) FROM events) AS total_records,
@@ -161,7 +174,7 @@ def _(t):
     FROM (SELECT l_returnflag, unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS p, unnest(a) AS v FROM q)""")
 def _(t):
     # the spread plan, which large tables take by themselves
-    out = Q.percentile_table(t.lineitem, "l_extendedprice", [0.05, 0.25, 0.5, 0.75, 0.95], ["l_returnflag"], small=False)
+    out = Q.percentile_table(t.lineitem, "l_extendedprice", [0.05, 0.25, 0.5, 0.75, 0.95], ["l_returnflag"])
     return rounded(out, 4, "value")
 
 
@@ -235,7 +248,7 @@ def _outliers(name, method, ctes, covers):
         SELECT event_id, round(x, 3) AS value FROM e, s WHERE x < lower OR x > upper
         ORDER BY abs(x - center) DESC, event_id LIMIT 100""")
     def rows(t):
-        return rounded(S.detect_outliers(_skewed(t), "x", method, "event_id").select("event_id", "value"), 3, "value")
+        return rounded(S.detect_outliers(_skewed(t), "x", method, "event_id", listed=100).select("event_id", "value"), 3, "value")
 
     @query(f"outlier_summary_{name}", "AGG18 JOI05", f"""{ctes}
         SELECT '{method}' AS method, round(max(lower), 3) AS lower, round(max(upper), 3) AS upper, count(x) AS total,

@@ -254,7 +254,7 @@ def _(t):
     SELECT source AS value, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percentage
     FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
 def _(t):
-    return rounded(P.frequency_table(t.documents, "source"), 6, "percentage")
+    return rounded(P.frequency_table(t.documents, "source", 50), 6, "percentage")
 
 
 @query("cleaning_ops", "CLN18", f"""

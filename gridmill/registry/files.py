@@ -51,16 +51,15 @@ def _(t):
     return S.parse_lines(t.spark, _ragged(t), ["_c0", "_c1", "_c2"])[1]
 
 
-DELIMITED = {",": "BUILDING", ";": "MACHINERY", "\t": "AUTOMOBILE", "|": "HOUSEHOLD"}
+DELIMITED = {"BUILDING": ",", "FURNITURE": ",", "MACHINERY": ";", "AUTOMOBILE": "\t", "HOUSEHOLD": "|"}
 
 
 @query("file_delimiters", "SRC02", """
-    SELECT DISTINCT c_mktsegment AS folder, CASE c_mktsegment WHEN 'BUILDING' THEN ',' WHEN 'MACHINERY' THEN ';'
-        WHEN 'AUTOMOBILE' THEN chr(9) ELSE '|' END AS delimiter FROM customer
-    WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE', 'HOUSEHOLD')""")
+    SELECT DISTINCT c_mktsegment AS folder, CASE c_mktsegment WHEN 'BUILDING' THEN ',' WHEN 'FURNITURE' THEN ',' WHEN 'MACHINERY' THEN ';'
+        WHEN 'AUTOMOBILE' THEN chr(9) ELSE '|' END AS delimiter FROM customer""")
 def _(t):
     root = scratch_path(t.spark, "delimited")
-    for sep, segment in DELIMITED.items():
+    for segment, sep in DELIMITED.items():
         rows = t.customer.filter(F.col("c_mktsegment") == segment)
         rows.write.option("header", "true").option("sep", sep).csv(f"{root}/segment={segment}")
     found = S.infer_delimiters(t.spark, root, "*.csv")

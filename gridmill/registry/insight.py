@@ -10,7 +10,7 @@ from gridmill.registry.base import EVENTS_NULL, events_null, query, rounded
 METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("trend_month", "INS01", "SELECT 'l_shipdate' AS time_column, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS metric_column, n AS data_points "
+@query("trend_month", "INS01", "SELECT 'l_shipdate' AS time_column, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS metric_column, n AS data_points "
        "FROM (SELECT count(DISTINCT date_trunc('month', l_shipdate)) AS n FROM lineitem)")
 def _(t):
     return N.trends(t.lineitem, "l_shipdate", METRICS)
@@ -67,10 +67,11 @@ def _(t):
 
 @query("insights_rule", "INS04 INS05", f"""
     WITH e AS ({CUBED}), a AS (SELECT count(*) AS n, sum(outlier_count)::BIGINT AS total FROM ({ANOMALIES}))
-    SELECT 'correlation' AS type, 'Strong Correlation: value and x' AS title, round(least(abs(corr(value, x)), 0.95), 6) AS confidence,
+    SELECT 'correlation' AS type, 'value and x move together' AS title, round(least(abs(corr(value, x)), 0.95), 6) AS confidence,
            printf('%.3f', corr(value, x)) AS evidence FROM e
-    UNION ALL SELECT 'correlation', 'Strong Correlation: value and y', round(least(abs(corr(value, y)), 0.95), 6), printf('%.3f', corr(value, y)) FROM e
-    UNION ALL SELECT 'anomaly', 'Outliers Detected in ' || n || ' Columns', 0.8, CAST(total AS VARCHAR) FROM a WHERE n > 0""")
+    UNION ALL SELECT 'correlation', 'value and y move together', round(least(abs(corr(value, y)), 0.95), 6), printf('%.3f', corr(value, y)) FROM e
+    UNION ALL SELECT 'correlation', 'x and y move together', round(least(abs(corr(x, y)), 0.95), 6), printf('%.3f', corr(x, y)) FROM e
+    UNION ALL SELECT 'anomaly', n || ' columns hold outliers', 0.8, CAST(total AS VARCHAR) FROM a WHERE n > 0""")
 def _(t):
     out = N.generate_insights(_cubed(t), ANOMALY_COLUMNS)
     evidence = F.coalesce(F.try_element_at("supporting_data", F.lit("correlation")),
@@ -97,7 +98,7 @@ def _(t):
 
 
 @query("insight_quality", "INS04", f"""
-    SELECT 'summary' AS type, 'Data Quality Needs Attention' AS title, CAST(0.9 AS DOUBLE) AS confidence, printf('%.2f', q) AS score
+    SELECT 'summary' AS type, 'Low quality score' AS title, CAST(0.9 AS DOUBLE) AS confidence, printf('%.2f', q) AS score
     FROM ({QUALITY}) WHERE q < 80""")
 def _(t):
     gaps = _gaps(t)

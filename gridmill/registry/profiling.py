@@ -28,7 +28,7 @@ def _(t):
     SELECT p_name AS value, count(*) AS count, round(count(*) * 100.0 / (SELECT count(p_name) FROM part), 6) AS percentage
     FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
 def _(t):
-    return rounded(P.frequency_table(t.part, "p_name"), 6, "percentage")
+    return rounded(P.frequency_table(t.part, "p_name", 50), 6, "percentage")
 
 
 def _mode_sql(table, columns):
@@ -170,7 +170,7 @@ def _(t):
                           {c} AS value, count(*) AS count FROM part GROUP BY {c}) WHERE rank <= 10"""
     for c in ["p_name", "p_brand", "p_type"]]))
 def _(t):
-    return P.top_values(t.part, ["p_name", "p_brand", "p_type"])
+    return P.top_values(t.part, ["p_name", "p_brand", "p_type"], 10)
 
 
 @query("col_stats_date", "AGG29 FN14", _union([f"""
@@ -404,7 +404,7 @@ def _(t):
     SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1
     ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def _(t):
-    return V.top_duplicates(t.lineitem, ["l_orderkey", "l_linenumber"])
+    return V.top_duplicates(t.lineitem, ["l_orderkey", "l_linenumber"], 10)
 
 
 @query("val_unique_values", "VAL03", """
@@ -517,7 +517,7 @@ def _(t):
 def _(t):
     rules = {"range_checks": [{"column": "o_totalprice", "min": 10000}],
              "pattern_checks": [{"column": "o_orderpriority", "pattern": "[1-4]-"}]}
-    return V.invalid_samples(t.orders, rules, "o_orderkey").drop("value")
+    return V.invalid_samples(t.orders, rules, 10, "o_orderkey").drop("value")
 
 
 @query("val_quarantine", "VAL08", """

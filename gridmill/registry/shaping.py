@@ -200,20 +200,21 @@ def _(t):
     return S.pivot(t.events, ["user_id"], "event_type", "value", "count", 0)
 
 
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
 @query("pivot_first", "AGG31", "SELECT user_id, " + ", ".join(
-    f"""arg_min(value, event_id) FILTER (event_type = '{k}') AS "value_{k}\"""" for k in ["click", "view"]) + """
-    FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+    f"""arg_min(value, event_id) FILTER (event_type = '{k}') AS "value_{k}\"""" for k in KINDS) + """
+    FROM events GROUP BY 1""")
 def _(t):
-    df = t.events.filter(F.col("event_type").isin("click", "view"))
-    return S.pivot(df, ["user_id"], "event_type", "value", "first", row_number="event_id")
+    return S.pivot(t.events, ["user_id"], "event_type", "value", "first", row_number="event_id")
 
 
 @query("pivot_last", "AGG31", "SELECT user_id, " + ", ".join(
-    f"""arg_max(value, event_id) FILTER (event_type = '{k}') AS "value_{k}\"""" for k in ["click", "view"]) + """
-    FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+    f"""arg_max(value, event_id) FILTER (event_type = '{k}') AS "value_{k}\"""" for k in KINDS) + """
+    FROM events GROUP BY 1""")
 def _(t):
-    df = t.events.filter(F.col("event_type").isin("click", "view"))
-    return S.pivot(df, ["user_id"], "event_type", "value", "last", row_number="event_id", pivot_values=["click", "view"])
+    return S.pivot(t.events, ["user_id"], "event_type", "value", "last", row_number="event_id", pivot_values=KINDS)
 
 
 @query("unpivot", "NRM15", """

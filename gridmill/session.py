@@ -1,4 +1,4 @@
-"""Session settings, shared scratch storage and plan-size checks."""
+"""Session settings and shared scratch storage."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs whose optimised plan is estimated below this may use one-task aggregates.
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
-
-
 def build_session(app: str = "gridmill", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators assume: UTC, AQE with skew handling."""
     builder = (
@@ -52,12 +48,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return plan_bytes(df) <= (SMALL_PLAN_BYTES if limit is None else limit)
