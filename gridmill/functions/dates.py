@@ -9,9 +9,11 @@ from pyspark.sql import Column, functions as F
 # fixed values: formats tried in turn, first match wins
 DATE_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy",
-    "MMM d, yyyy", "d MMM yyyy",
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
+    "d-M-yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy",
 ]
+# ISO dates and times with short parts, any fraction of a second and a zone: read by the engine's own cast
+ISO = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]{1,9})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 # fixed values: strftime directive -> Java pattern letter
 STRFTIME = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss",
@@ -50,8 +52,8 @@ def shape_of(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-def _first_fit(text: str, formats: list[str]) -> str:
-    """SQL for the first format that reads the text."""
+def _first_fit(text: str, formats: list[str], iso: bool) -> str:
+    """SQL for the first format that reads the text, ISO texts first where asked for."""
     def quote(x: str) -> str:
         return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -59,27 +61,33 @@ def _first_fit(text: str, formats: list[str]) -> str:
         f"CASE WHEN {text} RLIKE {quote(shape_of(f))} THEN CAST(try_to_timestamp({text}, {quote(f)}) AS TIMESTAMP_NTZ) END"
         for f in formats)
     any_shape = "|".join(f"(?:{shape_of(f)})" for f in formats)
-    return f"CASE WHEN {text} RLIKE {quote(any_shape)} THEN coalesce({tries}, NULL) END"
+    listed = f"CASE WHEN {text} RLIKE {quote(any_shape)} THEN coalesce({tries}, NULL) END"
+    if not iso:
+        return listed
+    return f"CASE WHEN {text} RLIKE {quote(ISO)} THEN CAST(TRY_CAST({text} AS TIMESTAMP) AS TIMESTAMP_NTZ) ELSE {listed} END"
 
 
 def parse_timestamp(c: Column | str, formats: list[str] | None = None) -> Column:
     """First format that fits, as timestamp without zone; null when none does.
 
+    Without given formats, ISO texts of any precision are read too; times with a zone are moved to the session's.
+
     A failing parse raises inside the JVM, which is slow, so a format only sees
     texts of its shape, and most texts are told apart by one look at all shapes.
     Pass the name of a column that holds the finished text where there is one;
     an expression is bound by a lambda, so that it is evaluated once.
     """
-    formats = formats or DATE_FORMATS
+    iso, formats = not formats, formats or DATE_FORMATS
     if isinstance(c, str):
-        return F.expr(_first_fit(f"`{c}`", formats))
-    return F.get(F.transform(F.array(c), lambda text: _reading(text, formats)), F.lit(0))
+        return F.expr(_first_fit(f"`{c}`", formats, iso))
+    return F.get(F.transform(F.array(c), lambda text: _reading(text, formats, iso)), F.lit(0))
 
 
-def _reading(text: Column, formats: list[str]) -> Column:
+def _reading(text: Column, formats: list[str], iso: bool) -> Column:
     any_shape = "|".join(f"(?:{shape_of(f)})" for f in formats)
-    return F.when(text.rlike(any_shape), F.coalesce(*[
+    listed = F.when(text.rlike(any_shape), F.coalesce(*[
         F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")) for f in formats]))
+    return F.when(text.rlike(ISO), text.try_cast("timestamp").cast("timestamp_ntz")).otherwise(listed) if iso else listed
 
 
 def has_time(c: Column) -> Column:

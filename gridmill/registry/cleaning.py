@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridmill.functions import text as X
+from gridmill.functions import dates as D, text as X
 from gridmill.operators import clean as K, ordered as O, profile as P
 from gridmill.registry.base import EVENTS_NULL, events_null, query, rounded
 
@@ -189,6 +189,23 @@ def _dates(t):
                            .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("day"))
 
 
+# One text per format of day and time, and the microseconds after midnight that it means.
+DATE_TEXTS = {
+    "yyyy-MM-dd'T10:00:00Z'": 36_000_000_000, "yyyy-MM-dd'T10:00:00.123Z'": 36_000_123_000, "yyyy-MM-dd'T10:00:00+02:00'": 28_800_000_000,
+    "yyyy-MM-dd'T10:00:00.123'": 36_000_123_000, "yyyy-MM-dd'T10:00:00.5'": 36_000_500_000, "M/d/yyyy": 0, "yyyy-M-d": 0,
+    "MM/dd/yyyy' 10:00'": 36_000_000_000, "yyyyMMdd": 0, "MMMM d, yyyy": 0, "d MMM yyyy": 0,
+}
+
+
+@query("date_texts", "FN10 CLN16 INF02", f"""
+    SELECT o_orderkey, epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) + {list(DATE_TEXTS.values())}[(o_orderkey % {len(DATE_TEXTS)} + 1)::INT] AS at
+    FROM orders""")
+def _(t):
+    texts = F.array(*[F.date_format("o_orderdate", pattern) for pattern in DATE_TEXTS])
+    text = F.element_at(texts, (F.col("o_orderkey") % len(DATE_TEXTS) + 1).cast("int"))
+    return t.orders.select("o_orderkey", F.unix_micros(D.parse_timestamp(text).cast("timestamp")).alias("at"))
+
+
 @query("normalize_dates", "CLN16 FN10", f"""
     SELECT o_orderkey, CASE WHEN NOT broken THEN strftime(o_orderdate, '%d.%m.%Y') END AS day FROM ({DATES})""")
 def _(t):

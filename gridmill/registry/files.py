@@ -25,6 +25,34 @@ def _(t):
     return S.read_csv(t.spark, path, ";")[0]
 
 
+@query("csv_round_trip", "SRC01 SNK03", """
+    SELECT 'd' || doc_id AS key, nullif(text, '') AS body, source AS label FROM documents
+    UNION ALL SELECT 'p' || page_id, nullif(html, ''), url FROM pages""")
+def _(t):
+    path = scratch_path(t.spark, "texts")
+    d = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("key"), F.col("text").alias("body"), F.col("source").alias("label"))
+    K.export_csv(d.unionAll(t.pages.select(F.concat(F.lit("p"), "page_id"), "html", "url")), path)
+    return S.read_csv(t.spark, path)[0]
+
+
+@query("csv_header_orders", "SRC01 SRC04", """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def _(t):
+    root = scratch_path(t.spark, "orders")
+    even = F.col("c_custkey") % 2 == 0
+    K.export_csv(t.customer.filter(even).select("c_custkey", "c_name"), f"{root}/a")
+    K.export_csv(t.customer.filter(~even).select("c_mktsegment", "c_name", "c_custkey"), f"{root}/b")
+    return S.read_csv(t.spark, f"{root}/*")[0].select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("csv_trailing_delimiter", "SRC01", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand FROM part")
+def _(t):
+    path = scratch_path(t.spark, "trailing")
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(";"), F.col("p_brand"), F.lit(";")).alias("value")
+    t.part.select(line).write.text(path)
+    return S.parse_lines(t.spark, path, ["p_partkey", "p_brand"], ";")[0]
+
+
 RAGGED = """CASE event_id % 10 WHEN 0 THEN event_id || ',' || event_type || ',1,extra' WHEN 1 THEN CAST(event_id AS VARCHAR)
             ELSE event_id || ',"' || event_type || ',x",1' END"""
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridmill.functions import filemeta as fm
@@ -91,37 +95,57 @@ def detect_encodings(spark: SparkSession, path: str, glob: str | None = None) ->
                         .when(F.col("c1"), "cp1252").otherwise("latin-1").alias("encoding"))
 
 
-def _field_count(line: Column, delimiter: str) -> Column:
-    """Fields of a CSV line; delimiters inside quotes do not count."""
-    quoted = F.regexp_replace(line, '"[^"]*"', "")
-    return F.length(quoted) - F.length(F.replace(quoted, F.lit(delimiter), F.lit(""))) + 1
+def _field_count(record: Column, delimiter: str) -> Column:
+    """Fields of a CSV record: quoted ones, with doubled quotes inside, or plain ones, each after a delimiter."""
+    sep = re.escape(delimiter)
+    return F.regexp_count(F.concat(F.lit(delimiter), record), F.lit(f'{sep}(?:"[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'))
 
 
-def _parse(spark: SparkSession, path: str, names: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
+def _parse(spark: SparkSession, paths: list[str], names: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD]])
     # with pruning the parser sees only the wanted fields and cannot tell that a line has too many
-    options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "columnPruning": "false"}
-    raw = spark.read.options(**options).schema(schema).csv(path)
+    options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "columnPruning": "false", "escape": '"'}
+    raw = spark.read.options(**options).schema(schema).csv(paths)
     # Spark refuses plans that read nothing but the corrupt-record column, hence the first field
     first = F.coalesce(F.length(names[0]), F.lit(0)) >= 0
-    broken = F.col(BAD).isNotNull() & (_field_count(F.col(BAD), options["sep"]) > len(names)) & first
+    # an empty field after a trailing delimiter is none
+    fields = _field_count(F.col(BAD), options["sep"]) - F.col(BAD).endswith(options["sep"]).cast("int")
+    broken = F.col(BAD).isNotNull() & (fields > len(names)) & first
     return raw.filter(~broken).drop(BAD), raw.filter(broken).select(F.col(BAD).alias("line"))
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",",
-             encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
-    """String columns of the well-formed lines, and ``line`` of the lines with too many fields.
+def headers(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> dict[tuple[str, ...], list[str]]:
+    """The files under a path by their header, read from the first line of each file's first split."""
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "place").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file, line in sorted(tuple(r) for r in first.collect()):  # one row per file
+        names = next(csv.reader([line.removeprefix("\ufeff")], delimiter=delimiter), [])
+        names = names[:-1] if len(names) > 1 and names[-1] == "" else names
+        found.setdefault(tuple(n or f"_c{i}" for i, n in enumerate(names)), []).append(file)
+    return found
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
+             multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """String columns of the well-formed records, and ``line`` of the records with too many fields.
 
-    The header gives the names; short lines are padded with nulls.
+    Quotes inside quoted fields are doubled.  Every file's own header names its fields, so files may order or lack columns; short
+    records are padded with nulls.  ``multiline=False`` lets big files be split, for texts without line breaks in fields.
     """
-    options = {"header": "true", "sep": delimiter, "encoding": encoding}
-    return _parse(spark, path, spark.read.options(**options).csv(path).columns, options)
+    options = {"header": "true", "sep": delimiter, "encoding": encoding, "multiLine": str(multiline).lower()}
+    parts = [_parse(spark, files, list(names), options) for names, files in headers(spark, path, delimiter, encoding).items()]
+    if not parts:
+        return _parse(spark, [path], spark.read.options(**options).csv(path).columns or ["_c0"], options)
+    return reduce(lambda a, b: (a[0].unionByName(b[0], allowMissingColumns=True), a[1].unionByName(b[1])), parts)
 
 
-def parse_lines(spark: SparkSession, path: str, names: list[str], delimiter: str = ",",
-                encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
+def parse_lines(spark: SparkSession, path: str, names: list[str], delimiter: str = ",", encoding: str = "utf-8",
+                multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """The same for files without a header, whose names are given."""
-    return _parse(spark, path, names, {"header": "false", "sep": delimiter, "encoding": encoding})
+    return _parse(spark, [path], names, {"header": "false", "sep": delimiter, "encoding": encoding, "multiLine": str(multiline).lower()})
 
 
 READERS = {

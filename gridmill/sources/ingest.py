@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridmill.operators import infer, profile, validate
 from gridmill.operators.ordered import number_partitions
-from gridmill.operators.shape import convert_types, normalize_names
+from gridmill.operators.shape import conversion_counts, convert_types, normalize_names
 from gridmill.plans.presets import standard_cleaning
+from gridmill.session import scratch_path
 from gridmill.sources import files, sinks
 
 
@@ -30,10 +31,13 @@ def ingest_csv(spark: SparkSession, source: str, target: str, organization_id: s
                typed: bool = True) -> Ingested:
     """Parse, infer, check, clean, rename, type and store.
 
-    The text is scanned once for the types and once for the write; cleaning
-    shuffles rows only to find duplicates.
+    The parsed rows are written first, so that row numbers stay the same in every later read of them.  A column gets its inferred type
+    only where all its values have it; otherwise it stays text, and no value is lost.
     """
-    raw, rejected = files.read_csv(spark, source, delimiter, encoding)
+    parsed, rejected = files.read_csv(spark, source, delimiter, encoding)
+    path = scratch_path(spark, "parsed")
+    parsed.write.parquet(path)
+    raw = spark.read.schema(parsed.schema).parquet(path)
     files.require_shape(raw)
     types = infer.infer_types(raw)
     numbered = number_partitions(raw, "row_number")
@@ -42,6 +46,9 @@ def ingest_csv(spark: SparkSession, source: str, target: str, organization_id: s
     if typed:
         # bounded metadata: one row per column
         found = {r["column"]: _STORED[r["inferred_type"]] for r in types.collect() if r["inferred_type"] in _STORED}
+        if found:
+            failed = {r["column"]: r["failed"] for r in conversion_counts(cleaned, found).collect()}
+            found = {c: kind for c, kind in found.items() if failed[c] == 0}
         cleaned = convert_types(cleaned, found, "coerce")
     renamed = normalize_names(cleaned)
     sinks.replace_dataset(sinks.envelope(renamed, organization_id, dataset_id), target)

@@ -40,5 +40,7 @@ def read_records(spark: SparkSession, path: str, organization_id: str | None = N
 
 
 def export_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
+    """CSV with a header; quotes are doubled, blanks at the ends of texts stay, null is empty."""
     df.write.option("header", "true").option("sep", delimiter).option("nullValue", "").option(
-        "emptyValue", "").mode("overwrite").csv(path)
+        "emptyValue", "").option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").mode("overwrite").csv(path)

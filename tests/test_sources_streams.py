@@ -50,6 +50,22 @@ def test_bad_lines_are_kept_aside(spark, folder):
     assert good.count() == 3 and [r["line"] for r in bad.collect()] == ["4,d,5,6"]
 
 
+def test_quotes_breaks_and_header_orders(spark, folder):
+    put(folder, "a.csv", b'id,name,v\n1,"a ""q"", b",5\n2,"two\nlines",6\n3,"x,y",7,\n4,"p",8,"9,10"\n')
+    put(folder, "b.csv", b'v,id\n50,10\n')
+    good, bad = files.read_csv(spark, folder)
+    assert {tuple(r) for r in good.select("id", "name", "v").collect()} == {
+        ("1", 'a "q", b', "5"), ("2", "two\nlines", "6"), ("3", "x,y", "7"), ("10", None, "50")}
+    assert [r["line"] for r in bad.collect()] == ['4,"p",8,"9,10"']
+
+
+def test_export_reads_back(spark, folder):
+    rows_in = [("1", 'say "a, b"'), ("2", "two\nlines"), ("3", "  blanks  "), ("4", None), ("5", "a;b\\")]
+    target = os.path.join(folder, "out")
+    sinks.export_csv(spark.createDataFrame(rows_in, "k string, v string"), target)
+    assert sorted(tuple(r) for r in files.read_csv(spark, target)[0].collect()) == rows_in
+
+
 def test_router_and_guards(spark, folder):
     put(folder, "t.csv", b"a,b\n1,2\n")
     df = files.read_table(spark, os.path.join(folder, "t.csv"))
