@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridmill.functions.dates import java_pattern, parse_timestamp
 from gridmill.functions.numbers import CURRENCY_MARKS, as_number, clean_number, is_numeric, missing, percent
@@ -79,11 +79,11 @@ def handle_missing(df: DataFrame, strategy: str, columns: list[str] | None = Non
         return _fill(df, percentile_columns(df, {c: (as_number(df, c), 0.5) for c in numeric}), numeric) \
             if numeric else df
     if strategy == "fill_mode":
-        for c in names:
+        def mode(c: str) -> Column:
             counts = df.filter(~missing(df, c)).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-            best = counts.agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias(c))
-            df = _fill(df, best, [c])
-        return df
+            return counts.agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias(c)).scalar()
+        # every mode is read from the input, one column at a time, so the plan grows with the columns and not with their product
+        return df.withColumns({c: F.when(missing(df, c), mode(c)).otherwise(F.col(c)) for c in names})
     if strategy == "fill_value":
         if value is None:
             raise ValueError("fill_value needs a value")

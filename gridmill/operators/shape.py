@@ -204,6 +204,14 @@ def encode_label(df: DataFrame, column: str, mapping: DataFrame | None = None) -
     return joined.withColumn(column, F.col("_code")).drop("_value", "_code")
 
 
+def encode_labels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Label codes for many columns; every dictionary comes from the input."""
+    out = df
+    for c, mapping in [(c, dictionary(df, c)) for c in columns]:
+        out = encode_label(out, c, mapping)
+    return out
+
+
 def encode_ordinal(df: DataFrame, column: str, order: list | None = None) -> DataFrame:
     return encode_label(df, column, dictionary(df, column, order))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridmill.functions.numbers import as_number
@@ -12,6 +14,8 @@ from gridmill.operators.quantiles import percentile_columns
 # fixed values
 WEAK, MODERATE = 0.3, 0.7
 SIGNIFICANT = 0.5
+MOMENTS = ["pair", "n", "sx", "sy", "sxx", "syy", "sxy"]
+MOMENT_ROWS = 4096
 IQR_FACTOR, Z_LIMIT, MODIFIED_Z_LIMIT, MAD_SCALE = 1.5, 3.0, 3.5, 0.6745
 
 
@@ -37,13 +41,6 @@ def describe(df: DataFrame, column: str) -> DataFrame:
         "count", "mean", "median", "std", "min", "max", "q25", "q75", "sum", "variance")
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation over complete pairs; 0 when undefined (``corr`` raises on a constant column)."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
-
-
 def strength(r: Column) -> Column:
     return F.when(F.abs(r) < WEAK, "weak").when(F.abs(r) < MODERATE, "moderate").otherwise("strong")
 
@@ -53,17 +50,48 @@ def direction(r: Column) -> Column:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All column pairs in one pass: ``pair, column1, column2, correlation, sample_size, strength, direction``."""
-    numbers = {c: as_number(df, c) for c in columns}
-    narrow = df.select(*[e.alias(c) for c, e in numbers.items()])
-    pairs = [
-        F.struct(F.lit(i).alias("pair"), F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-                 pearson(F.col(a), F.col(b)).alias("correlation"),
-                 F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("sample_size"))
-        for i, (a, b) in enumerate(combinations(columns, 2))
-    ]
+    """All column pairs: ``pair, column1, column2, correlation, sample_size, strength, direction``.
+
+    Pairs use the rows that have both values; an undefined correlation is 0.  Every batch of rows gives the sums of all pairs as matrix products,
+    after the column means (one row, from a first pass) are taken off; the sums are added per pair.  The plan has the same size for any
+    number of columns, and a task holds one batch and a few matrices of columns by columns.
+    """
+    n = len(columns)
+    numbers = [as_number(df, c) for c in columns]
+    means = df.agg(F.array(*[F.coalesce(F.avg(x), F.lit(0.0)) for x in numbers]).alias("m"))
+    rows = df.select(F.array(*numbers).alias("x")).withColumn("m", means.scalar())
+    places = list(combinations(range(n), 2))
+    first, second = np.array([a for a, _ in places], int), np.array([b for _, b in places], int)
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, MOMENT_ROWS):
+                part = batch.slice(lo, MOMENT_ROWS)
+                wide = [part.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) for c in ("x", "m")]
+                here = ~np.isnan(wide[0])
+                off = wide[0] - wide[1]
+                off[np.abs(off) <= 1e-12 * np.abs(wide[1])] = 0.0  # a constant column stays one
+                x, there = np.where(here, off, 0.0), here.astype(float)
+                left, square = x.T @ there, (x * x).T @ there
+                new = np.stack([(there.T @ there)[first, second], left[first, second], left[second, first],
+                                square[first, second], square[second, first], (x.T @ x)[first, second]])
+                total = new if total is None else total + new
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(places), dtype=np.int32)), *(pa.array(t) for t in total)], MOMENTS)
+
+    found = rows.mapInArrow(sums, "pair int, " + ", ".join(f"{m} double" for m in MOMENTS[1:])).groupBy("pair").agg(
+        *[F.sum(m).alias(m) for m in MOMENTS[1:]])
+    names = df.sparkSession.createDataFrame([(i, columns[a], columns[b]) for i, (a, b) in enumerate(places)],
+                                            "pair int, column1 string, column2 string")
+    spread = lambda s, q: F.greatest(F.col(q) - F.col(s) * F.try_divide(F.col(s), F.col("n")), F.lit(0.0))
+    together = F.col("sxy") - F.col("sx") * F.try_divide(F.col("sy"), F.col("n"))
     r = F.col("correlation")
-    return (narrow.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+    return (names.join(found, "pair", "left").select(
+        "pair", "column1", "column2",
+        F.greatest(F.least(F.coalesce(F.try_divide(together, F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy"))), F.lit(0.0)),
+                           F.lit(1.0)), F.lit(-1.0)).alias("correlation"),
+        F.coalesce(F.col("n").cast("bigint"), F.lit(0)).alias("sample_size"))
             .withColumn("strength", strength(r)).withColumn("direction", direction(r)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from gridmill.operators import clean, shape, stats
 from gridmill.plans.chain import StepChain
+from gridmill.session import written
 
 # fixed values: operation names of the declarative form [{operation, params}]
 OPERATIONS = {
@@ -47,10 +48,16 @@ def standard_cleaning(row_number: str = "row_number") -> StepChain:
             .add(_drop_empty, "drop empty rows", row_number=row_number))
 
 
+def _remove_outliers(df: DataFrame, column: str, method: str, write: bool) -> DataFrame:
+    out = stats.remove_outliers(df, column, method)
+    return written(out, "step") if write else out
+
+
 def numeric_preprocessing(columns: list[str], outliers: str = "iqr", scaling: str = "minmax") -> StepChain:
+    """Outliers go column by column, each judged on the rows that are left; every such step reads its input twice, so it is written."""
     chain = StepChain("numeric preprocessing").add(clean.clean_numeric, "clean numbers", columns=columns)
-    for c in columns:
-        chain.add(stats.remove_outliers, f"outliers {c}", column=c, method=outliers)
+    for i, c in enumerate(columns):
+        chain.add(_remove_outliers, f"outliers {c}", column=c, method=outliers, write=i + 1 < len(columns))
     return chain.add(shape.scale_numeric, "scale", columns=columns, method=scaling)
 
 
@@ -74,8 +81,8 @@ def full_preprocessing(numeric: list[str] = (), text: list[str] = (), categorica
         chain.add(clean.clean_numeric, "clean numbers", columns=list(numeric))
     if text:
         chain.add(clean.standardize_case, "lower case", columns=list(text), case="lower")
-    for c in categorical:
-        chain.add(shape.encode_label, f"encode {c}", column=c)
+    if categorical:
+        chain.add(shape.encode_labels, "encode", columns=list(categorical))
     return chain.add(_drop_empty, "drop empty rows", row_number=row_number)
 
 
@@ -86,6 +93,8 @@ def normalize(df: DataFrame, rename: bool = True, types: dict | None = None, sca
     out = shape.normalize_names(df) if rename else df
     out = shape.convert_types(out, types, errors) if types else out
     out = shape.scale_numeric(out, scale, scaling) if scale else out
+    if encode and encoding in ("label", "ordinal"):
+        return shape.encode_labels(out, encode)
     for c in encode or []:
-        out = {"label": shape.encode_label, "ordinal": shape.encode_ordinal, "onehot": shape.encode_onehot}[encoding](out, c)
+        out = {"onehot": shape.encode_onehot}[encoding](out, c)
     return out

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def build_session(app: str = "gridmill", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators assume: UTC, AQE with skew handling."""
     builder = (
@@ -42,6 +43,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/gridmill/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write the frame as a table in the shared folder and continue from it; later steps plan from the files."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder and continue from the files."""
     spark = df.sparkSession

@@ -406,3 +406,34 @@ def test_quota_runs_across_slots(spark):
 def test_confidence_levels(spark):
     df = spark.createDataFrame([(0.75,), (0.5,), (0.49,)], "c double")
     assert [r[0] for r in df.select(insights.confidence_level(F.col("c"))).collect()] == ["high", "medium", "low"]
+
+
+def wide_frame(spark, n):
+    return spark.range(300).select("id", *[F.when(F.col("id") % (i + 3) != 0, (F.col("id") * (i + 7)) % 11).cast("double").alias(f"c{i}")
+                                           for i in range(n)])
+
+
+def plan_lines(df):
+    return len(df._jdf.queryExecution().analyzed().toString().splitlines())
+
+
+@pytest.mark.parametrize("build", [
+    lambda df, cols: clean.handle_missing(df, "fill_mode", cols),
+    lambda df, cols: presets.normalize(df, rename=False, encode=cols),
+    lambda df, cols: presets.numeric_preprocessing(cols).run(df)[0]])
+def test_plans_grow_linearly(spark, build):
+    sizes = [plan_lines(build(wide_frame(spark, n), [f"c{i}" for i in range(n)])) for n in (2, 4, 6)]
+    assert sizes[2] - sizes[1] <= 1.5 * (sizes[1] - sizes[0]) + 30
+
+
+def test_correlations_of_many_columns(spark):
+    import numpy as np
+    names = [f"c{i}" for i in range(60)]
+    df = wide_frame(spark, 60)
+    data = df.toPandas()
+    got = {(r["column1"], r["column2"]): (r["correlation"], r["sample_size"]) for r in stats.correlations(df, names).collect()}
+    assert len(got) == 60 * 59 // 2
+    for (a, b), (r, n) in list(got.items())[::97]:
+        both = data[[a, b]].dropna()
+        want = both.corr().iloc[0, 1]
+        assert n == len(both) and abs(r - (0.0 if np.isnan(want) else want)) < 1e-9
