@@ -65,16 +65,19 @@ def licence_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bags = {name: template_bigrams(text) for name, text in (TEMPLATES if templates is None else templates).items()}
     sizes = {name: sum(n for _, n in bag) for name, bag in bags.items()}
     rows = [(name, sizes[name], *size_bounds(sizes[name], bound), x, n) for name, bag in sorted(bags.items()) for x, n in bag]
-    known = spark.createDataFrame(rows, "licence string, template_size int, least int, most int, bigram string, times int")
+    known = spark.createDataFrame(rows, "licence string, template_size int, least int, most int, bigram string, times int").withColumn(
+        "bigram", F.xxhash64(F.split_part("bigram", F.lit(" "), F.lit(1)), F.split_part("bigram", F.lit(" "), F.lit(2))))
     smallest, largest = min((r[2] for r in rows), default=1), max((r[3] for r in rows), default=0)
     text = F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9\n]+", " ")
     units = docs.where(F.length(text_col) > 0).select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_text"), text.alias("t")).select(
         "id", "_text", F.posexplode(F.concat(F.array(F.regexp_replace("t", "[ \n]+", " ")), F.split("t", "\n"))).alias("unit", "line"))
-    words = F.split(F.trim("line"), " ")
-    following = F.zip_with(words, F.slice(words, 2, largest + 1), lambda a, b: F.concat(a, F.lit(" "), b))  # null after the last word
-    single = units.where((F.size(words) - 1).between(smallest, largest)).select(
-        "id", "_text", "unit", (F.size(words) - 1).alias("n"), F.posexplode(following).alias("place", "bigram"))
+    # Spaces are counted before anything is cut; a bigram is the 64-bit hash of its two words.
+    sized = units.select("id", "_text", "unit", F.trim("line").alias("line")).withColumn(
+        "n", F.length("line") - F.length(F.replace("line", F.lit(" ")))).where(F.col("n").between(smallest, largest))
+    words = sized.select("id", "_text", "unit", "n", F.split("line", " ").alias("w"))
+    hashes = F.zip_with(F.slice("w", F.lit(1), F.col("n")), F.slice("w", F.lit(2), F.col("n")), lambda a, b: F.xxhash64(a, b))
+    single = words.select("id", "_text", "unit", "n", F.posexplode(hashes).alias("place", "bigram"))
     shared = single.join(F.broadcast(known), "bigram").where("n BETWEEN least AND most")
     unit = ["id", "_text", "unit", "n", "licence", "template_size"]
     places = shared.groupBy(*unit, "bigram", "times", "place").agg(F.lit(1).alias("_"))  # one place of repeated rows
