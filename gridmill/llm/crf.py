@@ -13,7 +13,7 @@ from gridmill.llm.common import BASE, INVERSE, byte_view, mixed, powers, text_sl
 TABLE_BITS = 20
 PREFIXES, SUFFIXES = (4, 5, 6, 7, 8, 9), (4,)   # bytes of a word that are features beside the whole word
 SEQUENCE = 64                # words of a chain at most; a chain stays inside one line
-DOCS_PER_CLASS = {1: 1500, 0: 3000}  # training bound, and the characters read of each document
+DOCS_PER_CLASS = {1: 400, 0: 2000}  # training bound, and the characters read of each document
 SAMPLE_CHARS = 20_000
 # A feature marks toxic words if it stands in so many toxic training documents, and that much more often than in clean ones.
 SUPPORT, SUPPORT_SHARE, LIFT = 3, 0.01, 5.0
@@ -60,7 +60,7 @@ def words_in(data: np.ndarray, bounds: np.ndarray) -> Words:
     shift = np.uint64(64 - TABLE_BITS)
 
     def rows(lo, hi, kind: int):
-        return (mixed((sums[hi] - sums[lo]) * unit[lo] + np.uint64(kind * 0x51ED27)) >> shift).astype(np.int64)
+        return (mixed((sums[hi] - sums[lo]) * unit[lo] + np.uint64(kind * 0x51ED27)) >> shift).astype(np.int32)
 
     spans = [(starts, ends, 1)] + [(starts, np.minimum(starts + k, ends), 2) for k in PREFIXES]
     spans += [(np.maximum(ends - k, starts), ends, 3) for k in SUFFIXES]
@@ -112,10 +112,12 @@ def marked_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     A feature marks if it stands in enough toxic documents and LIFT times as often there as in clean ones.
     """
     rows = 1 << TABLE_BITS
-    seen = np.unique((words.owner * np.int64(rows) + words.features).ravel())
-    document, feature = seen // rows, seen % rows
-    bad = toxic[document] == 1
-    in_bad, in_clean = np.bincount(feature[bad], minlength=rows), np.bincount(feature[~bad], minlength=rows)
+    in_bad, in_clean = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for kind in words.features:  # documents that hold each feature, one kind of features at a time
+        seen = np.unique(words.owner * np.int64(rows) + kind)
+        bad = toxic[seen // rows] == 1
+        in_bad += np.bincount(seen[bad] % rows, minlength=rows)
+        in_clean += np.bincount(seen[~bad] % rows, minlength=rows)
     n_bad, n_clean = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
     lift = (in_bad / n_bad) / ((in_clean + 0.5) / (n_clean + 1))
     marks = (in_bad >= max(SUPPORT, SUPPORT_SHARE * n_bad)) & (lift >= LIFT)
@@ -259,7 +261,7 @@ def tag_toxic(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
             score = model.scores(chance, words.owner, len(bounds) - 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)),
-                 pa.array(np.bincount(words.owner, chance, len(bounds) - 1)), pa.array(spans_of(words, chance, data, bounds), span)],
+                 pa.array(np.bincount(words.owner, chance, len(bounds) - 1).astype(float)), pa.array(spans_of(words, chance, data, bounds), span)],
                 ["id", "score", "predicted", "expected_words", "spans"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, expected_words double, "
