@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain, count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,43 +16,43 @@ from gridmill.operators.ordered import assign_positions
 from gridmill.operators.quantiles import percentile_columns, percentile_table
 from gridmill.operators.stats import with_scalar
 
-# more columns than this from one pivot or one-hot call raise instead of being cut
-# dictionaries up to this size may be numbered in one task
-
-
-def _words(name: str) -> list[str]:
-    return [w for w in re.split(r"[\s_-]+", name)]
-
-
-def _snake(name: str) -> str:
-    name = re.sub(r"[ -]", "_", name)
-    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
-    return re.sub(r"_+", "_", name).strip("_")
-
-
+SEPARATORS = r"\s_-"
+# case -> how a name is cut into tokens, what becomes of the first token and of the others, and what joins them
+_TOKEN = f"[^{SEPARATORS}]+"
+_HUMP = rf"(?:(?![a-z0-9][A-Z])[^{SEPARATORS}])*[^{SEPARATORS}]"
 NAME_CASES = {
-    "snake": _snake,
-    "camel": lambda n: _words(n)[0].lower() + "".join(w.capitalize() for w in _words(n)[1:]),
-    "pascal": lambda n: "".join(w.capitalize() for w in _words(n)),
-    "lower": lambda n: n.lower().replace(" ", "_"),
-    "upper": lambda n: n.upper().replace(" ", "_"),
+    "snake": (_HUMP, str.lower, str.lower, "_"),
+    "camel": (_TOKEN, str.lower, str.capitalize, ""),
+    "pascal": (_TOKEN, str.capitalize, str.capitalize, ""),
+    "lower": ("[^ ]*", str.lower, str.lower, "_"),
+    "upper": ("[^ ]*", str.upper, str.upper, "_"),
 }
 
 
+def _in_case(name: str, case: str) -> str:
+    pattern, first, rest, joint = NAME_CASES[case]
+    if pattern == "[^ ]*":
+        tokens = name.split(" ")
+    else:
+        tokens = re.findall(pattern, name)
+        if case == "camel" and re.match(f"[{SEPARATORS}]", name):
+            first = rest  # nothing stands before the separator
+    return joint.join([first(t) for t in tokens[:1]] + [rest(t) for t in tokens[1:]])
+
+
 def normal_names(names: list[str], case: str = "snake", remove_special: bool = True,
                  max_length: int | None = None) -> list[str]:
+    """Names in one case; an empty name gets its position, a name that is taken the next free number."""
     if case not in NAME_CASES:
         raise ValueError(f"unknown case {case!r}; use one of {sorted(NAME_CASES)}")
-    out: list[str] = []
-    for i, name in enumerate(names):
-        kept = re.sub(r"[^a-zA-Z0-9_\s]", "", name) if remove_special else name
-        base = NAME_CASES[case](re.sub(r"\s+", " ", kept))[:max_length] or f"column_{i}"
-        new, n = base, 0
-        while new in out:
-            n += 1
-            new = f"{base}_{n}"
-        out.append(new)
-    return out
+    special = r"[^\w\s]|[^\x00-\x7f]" if remove_special else r"(?!)"
+    bases = [_in_case(" ".join(re.split(r"\s+", re.sub(special, lambda m: m[0] if m[0].isspace() else "", n))), case)[:max_length] or f"column_{i}"
+             for i, n in enumerate(names)]
+    given: dict[str, None] = {}
+    numbers = {base: count(1) for base in bases}
+    for base in bases:
+        given[next(n for n in chain([base], (f"{base}_{k}" for k in numbers[base])) if n not in given)] = None
+    return list(given)
 
 
 def normalize_names(df: DataFrame, case: str = "snake", remove_special: bool = True,
@@ -268,18 +269,25 @@ def flatten_structs(df: DataFrame, separator: str = "_") -> DataFrame:
     return df.select(*[c for f in df.schema for c in walk(f"`{f.name}`", f.name, f.dataType)])
 
 
-def _leaves(node, path: str, sep: str):
-    """Key paths and leaves of one document; a list splits only when all its items are dicts or lists."""
+def _parts(node, of_object: bool):
+    """The members of a container that is opened; None for a leaf, and for an object's list with a plain value in it."""
     if isinstance(node, dict):
-        for key, child in node.items():
-            where = f"{path}{sep}{key}" if path else str(key)
-            keep_whole = isinstance(child, list) and not all(isinstance(x, (dict, list)) for x in child)
-            yield from [(where, child)] if keep_whole else _leaves(child, where, sep)
-    elif isinstance(node, list):
-        for i, child in enumerate(node):
-            yield from _leaves(child, f"{path}{sep}{i}" if path else str(i), sep)
-    else:
-        yield path or "value", node
+        return node.items()
+    if isinstance(node, list) and not (of_object and any(not isinstance(x, (dict, list)) for x in node)):
+        return enumerate(node)
+    return None
+
+
+def _paths(document, sep: str):
+    """Key paths and leaves, in document order."""
+    waiting = [((), document, False)]
+    while waiting:
+        path, node, of_object = waiting.pop()
+        parts = _parts(node, of_object)
+        if parts is None:
+            yield sep.join(path) or "value", node
+        else:
+            waiting += reversed([((*path, str(k)), child, isinstance(node, dict)) for k, child in parts])
 
 
 def _text(leaf) -> str | None:
@@ -292,7 +300,7 @@ def flatten_json(df: DataFrame, document: str, keep: list[str], separator: str =
     def leaves(texts: pd.Series) -> pd.Series:
         def one(text):
             try:
-                return {k: _text(v) for k, v in _leaves(json.loads(text), "", separator)}
+                return {k: _text(v) for k, v in _paths(json.loads(text), separator)}
             except (TypeError, ValueError):
                 return None
         return texts.map(one)
