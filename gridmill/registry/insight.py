@@ -139,16 +139,16 @@ def _(t):
 
 @query("chart_rules", "INS07", """
     WITH n AS (SELECT count(DISTINCT o_orderstatus) AS s FROM orders)
-    SELECT * FROM (VALUES ('line', 'o_orderkey Over Time', 'o_orderdate', 'o_orderkey', 'avg', 0.9::DOUBLE, 1),
-        ('line', 'o_custkey Over Time', 'o_orderdate', 'o_custkey', 'avg', 0.9, 1),
-        ('bar', 'o_orderkey by o_orderstatus', 'o_orderstatus', 'o_orderkey', 'sum', 0.85, 2),
-        ('bar', 'o_custkey by o_orderstatus', 'o_orderstatus', 'o_custkey', 'sum', 0.85, 2),
-        ('bar', 'o_orderkey by o_orderpriority', 'o_orderpriority', 'o_orderkey', 'sum', 0.85, 2),
-        ('bar', 'o_custkey by o_orderpriority', 'o_orderpriority', 'o_custkey', 'sum', 0.85, 2),
-        ('scatter', 'o_orderkey vs o_custkey', 'o_orderkey', 'o_custkey', NULL, 0.8, 3),
-        ('bar', 'Distribution of o_orderkey', 'o_orderkey', 'count', 'count', 0.75, 4),
-        ('pie', 'Composition by o_orderstatus', 'o_orderstatus', NULL, NULL, 0.7, 5),
-        ('area', 'Cumulative o_orderkey', 'o_orderdate', 'o_orderkey', 'sum', 0.75, 6))
+    SELECT * FROM (VALUES ('line', 'o_orderkey along o_orderdate', 'o_orderdate', 'o_orderkey', 'avg', 0.9::DOUBLE, 1),
+        ('line', 'o_custkey along o_orderdate', 'o_orderdate', 'o_custkey', 'avg', 0.9, 1),
+        ('bar', 'o_orderkey per o_orderstatus', 'o_orderstatus', 'o_orderkey', 'sum', 0.85, 2),
+        ('bar', 'o_custkey per o_orderstatus', 'o_orderstatus', 'o_custkey', 'sum', 0.85, 2),
+        ('bar', 'o_orderkey per o_orderpriority', 'o_orderpriority', 'o_orderkey', 'sum', 0.85, 2),
+        ('bar', 'o_custkey per o_orderpriority', 'o_orderpriority', 'o_custkey', 'sum', 0.85, 2),
+        ('scatter', 'o_orderkey against o_custkey', 'o_orderkey', 'o_custkey', NULL, 0.8, 3),
+        ('bar', 'How often each o_orderkey', 'o_orderkey', 'count', 'count', 0.75, 4),
+        ('pie', 'Shares of o_orderstatus', 'o_orderstatus', NULL, NULL, 0.7, 5),
+        ('area', 'Running o_orderkey along o_orderdate', 'o_orderdate', 'o_orderkey', 'sum', 0.75, 6))
         AS v(chart_type, title, x_axis, y_axis, aggregation, confidence, priority), n
     WHERE NOT (chart_type = 'pie' AND NOT s BETWEEN 3 AND 10)""".replace("SELECT * FROM (VALUES", "SELECT v.* FROM (VALUES"))
 def _(t):
