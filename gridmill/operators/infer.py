@@ -172,3 +172,11 @@ def check_conversion(df: DataFrame, column: str, target: str) -> DataFrame:
         F.lit(column).alias("column"), F.lit(target).alias("target_type"), "total", "successful_count",
         (F.col("total") - F.col("successful_count")).alias("failed_count"), rate.alias("conversion_rate"),
         (rate >= CONVERSION_SHARE).alias("can_convert"))
+
+
+def failed_values(df: DataFrame, column: str, target: str, limit: int | None = None) -> DataFrame:
+    """``value, count`` of the values that would not convert, the most frequent first; all, or the first ``limit``."""
+    ok = F.coalesce(readable(df, column, target), F.lit(False))
+    found = df.filter(~missing(df, column) & ~ok).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    ranked = found.orderBy(F.col("count").desc(), "value")
+    return ranked if limit is None else ranked.limit(limit)

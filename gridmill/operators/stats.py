@@ -193,3 +193,11 @@ def removed_report(df: DataFrame, column: str, method: str = "iqr", threshold: f
     gone = F.when(F.col("_is_outlier"), F.col("_x"))
     return scored.agg(F.count(F.lit(1)).alias("rows_before"), F.count(gone).alias("removed"),
                       F.min(gone).alias("min_removed"), F.max(gone).alias("max_removed"))
+
+
+def removed_rows(df: DataFrame, column: str, row_number: str, method: str = "iqr", threshold: float | None = None,
+                 limit: int | None = None) -> DataFrame:
+    """``row_number, value`` of the rows that ``remove_outliers`` drops, in row order; all, or the first ``limit``."""
+    gone = score_outliers(df, column, method, threshold).filter("_is_outlier").select(row_number, F.col("_x").alias("value"))
+    ranked = gone.orderBy(row_number)
+    return ranked if limit is None else ranked.limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from gridmill.operators import clean, shape, stats
 from gridmill.plans.chain import StepChain
@@ -98,3 +98,32 @@ def normalize(df: DataFrame, rename: bool = True, types: dict | None = None, sca
     for c in encode or []:
         out = {"onehot": shape.encode_onehot}[encoding](out, c)
     return out
+
+
+def normalize_report(df: DataFrame, rename: bool = True, types: dict | None = None, scale: list[str] | None = None,
+                     scaling: str = "minmax", encode: list[str] | None = None, errors: str = "coerce") -> DataFrame:
+    """What ``normalize`` does with the same arguments: ``step, column, detail, count``.
+
+    Renamed columns with their new names; per converted column the values that were read and those that were not; per scaled column the
+    shift and scale; per encoded column its codes.
+    """
+    spark, rows, parts = df.sparkSession, [], []
+    named = shape.normalize_names(df) if rename else df
+    rows += [("rename", old, new, None) for old, new in zip(df.columns, named.columns) if old != new]
+    if types:
+        counts = shape.conversion_counts(named, types)
+        parts += [counts.select(F.lit(step).alias("step"), "column", F.col("target").alias("detail"), F.col(step).alias("count"))
+                  for step in ("converted", "failed")]
+        named = shape.convert_types(named, types, errors)
+    if scale:
+        params = shape.scaling_params(named, scale, scaling)
+        pairs = [F.struct(F.lit(step).alias("step"), F.lit(c).alias("column"), F.col(f"{c}_{step}").cast("string").alias("detail"),
+                          F.lit(None).cast("bigint").alias("count")) for c in scale for step in ("shift", "scale")]
+        parts.append(params.select(F.inline(F.array(*pairs))))
+    for c in encode or []:
+        parts.append(named.filter(F.col(c).isNotNull()).agg(F.countDistinct(c).alias("count")).select(
+            F.lit("encode").alias("step"), F.lit(c).alias("column"), F.lit("codes").alias("detail"), "count"))
+    out = spark.createDataFrame(rows, "step string, column string, detail string, count bigint")
+    for part in parts:
+        out = out.unionByName(part)
+    return out

@@ -269,6 +269,11 @@ def _removed(name, ctes, covers):
         return S.remove_outliers(_skewed(t), "x", name).select("event_id", "value")
 
 
+@query("removed_rows", "CLN15", f"{IQR} SELECT event_id, round(x, 3) AS value FROM e, s WHERE x < lower OR x > upper")
+def _(t):
+    return rounded(S.removed_rows(_skewed(t), "x", "event_id"), 3, "value")
+
+
 _removed("iqr", IQR, "CLN13")
 _removed("zscore", ZSCORE, "CLN14")
 

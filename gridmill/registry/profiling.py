@@ -289,6 +289,16 @@ def _(t):
         "*", rows.alias("row_count"), F.lit(len(df.columns)).alias("column_count"))
 
 
+@query("conv_failures", "VAL09", f"WITH x AS ({TYPED}) " + """
+    SELECT 'whole' AS "column", 'n/a' AS value, count(*) AS count FROM x WHERE whole = 'n/a' HAVING count(*) > 0
+    UNION ALL SELECT 'event_type', event_type, count(*) FROM x GROUP BY 2""")
+def _(t):
+    df = _typed(t)
+    parts = [I.failed_values(df, c, kind).select(F.lit(c).alias("column"), "value", "count")
+             for c, kind in (("whole", "integer"), ("event_type", "datetime"), ("flag", "boolean"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("conv_check", "VAL09 FN09", f"WITH x AS ({TYPED}) " + """
     SELECT 'whole' AS "column", 'integer' AS target_type, count(whole) AS total, count(*) FILTER (whole <> 'n/a') AS successful_count,
            count(*) FILTER (whole = 'n/a') AS failed_count, round(count(*) FILTER (whole <> 'n/a') / count(whole), 6) AS conversion_rate,

@@ -262,6 +262,19 @@ def _(t):
     return rounded(out, 6, "balance")
 
 
+@query("normalize_report", "NRM16", """
+    SELECT * FROM (VALUES ('rename', 'Customer Key', 'customer_key'), ('rename', 'Nation', 'nation'), ('rename', 'Balance', 'balance')) AS v(step, "column", detail),
+        (SELECT NULL::BIGINT AS count)
+    UNION ALL SELECT 'converted', 'segment', 'int', 0 UNION ALL SELECT 'failed', 'segment', 'int', count(*) FROM customer
+    UNION ALL SELECT 'converted', 'nation', 'str', count(*) FROM customer UNION ALL SELECT 'failed', 'nation', 'str', 0
+    UNION ALL SELECT 'encode', 'name', 'codes', count(DISTINCT c_name) FROM customer""")
+def _(t):
+    df = t.customer.select(F.col("c_custkey").alias("Customer Key"), F.col("c_nationkey").alias("Nation"), F.col("c_acctbal").alias("Balance"),
+                           F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
+    return Z.normalize_report(df, types={"nation": "str", "segment": "int"}, scale=["balance"], scaling="maxabs", encode=["name"]).filter(
+        "step NOT IN ('shift', 'scale')")
+
+
 # --- mapping -----------------------------------------------------------------
 
 TARGET = {
