@@ -185,6 +185,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = simhash_groups(docs, id_col, text_col, words, radius)
     key = F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")
     first = groups.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.id").alias("_first_id"), F.col("k.text_hash").alias("_first_text"))
-    rows = docs.withColumn("_text", F.xxhash64(text_col))
-    kept = rows.join(first, rows[id_col].eqNullSafe(F.col("_first_id")) & (rows["_text"] == F.col("_first_text")), "left_semi")
-    return kept.dropDuplicates([id_col, "_text"]).select(*docs.columns)
+    # keys without nulls, so that the join and the removal of repeated rows share one shuffle
+    keyed = lambda df, i, text: df.withColumns({
+        "_key_id": F.coalesce(F.col(i), F.lit(0)), "_key_null": F.col(i).isNull(), "_key_text": text})
+    keys = ["_key_id", "_key_null", "_key_text"]
+    winners = keyed(first, "_first_id", F.col("_first_text")).select(*keys)
+    kept = keyed(docs, id_col, F.xxhash64(text_col)).join(winners, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
