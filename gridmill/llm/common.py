@@ -15,6 +15,14 @@ from gridmill.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+TEXT_ROWS = 2_000
+
+
+def short_batches(spark) -> None:
+    """Let Arrow batches hold fewer rows than Spark's default, for tables whose rows are whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to the shared folder and continue from the files: computed once, safe against lost executors."""
     path = scratch_path(df.sparkSession, label)
@@ -22,7 +30,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def kept_as(name: str, results: list[str]) -> str:
+    """The name of a kept column beside an operator's results: with a suffix where it would be one of theirs."""
+    return f"{name}_kept" if name in results else name
+
+
+def text_slices(batches, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about ``limit`` bytes of text; a longer text is a run of its own."""
     for batch in batches:
         if not batch.num_rows:
@@ -75,11 +88,9 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; grown on demand and kept by the worker."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
+    have = _powers.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = _powers[base] = np.concatenate((have, have * np.uint64(pow(base, len(have), 1 << 64))))
     return have[:n]
 
 
@@ -87,7 +98,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit polynomial hash of each byte span, the same wherever the bytes stand."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
+    terms = sums[1:]
+    terms[:] = data
+    terms += np.uint64(1)
+    terms *= powers(BASE, n)
+    np.cumsum(terms, out=terms)
     value = (sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts]
     return mixed(value ^ (ends - starts).astype(np.uint64))
 

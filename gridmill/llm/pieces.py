@@ -15,11 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridmill.llm.common import byte_view, span_hashes, text_slices
+from gridmill.llm.common import byte_view, kept_as, span_hashes, text_slices
 from gridmill.llm.runindex import gathered, suffix_order
 
-BATCH_BYTES = 8 << 20  # text whose distinct words are encoded together
-INDEX_BYTES = 1 << 19  # words that are indexed at once
+BATCH_BYTES = 1 << 20  # text whose distinct words are encoded together
+INDEX_BYTES = 1 << 17  # words that are indexed at once
+DECODE_IDS = 1 << 17   # ids decoded together
 MARK = "▁"  # the model's sign for a space
 SPACE = 32       # stands for it in the index
 NONE, START = -2, -1
@@ -308,7 +309,7 @@ def decode_ids(pieces: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[str]
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Encode every whole text: id, ids (array of int), and the columns in ``keep``; one row per row of ``docs``, nothing is shuffled.
+    """Encode every whole text: id, ids (array of int), and the columns in ``keep`` (``_kept`` is added to names that clash); one row per row of ``docs``, nothing is shuffled.
 
     The ids are those of the model's own encoder.  An empty text has no ids, a null text null.  The mark itself reads as a space.
     """
@@ -326,7 +327,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("kept"), lists], ["kept", "ids"])
 
     out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return out.select(F.col(f"kept.{id_col}").alias("id"), "ids", *(F.col(f"kept.{c}").alias(c) for c in keep))
+    return out.select(F.col(f"kept.{id_col}").alias("id"), "ids", *(F.col(f"kept.{c}").alias(kept_as(c, ["id", "ids"])) for c in keep))
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -339,7 +340,11 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
             lists = batch.column("list")
             flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            texts = decode_ids(shared.value, flat, np.concatenate(([0], np.cumsum(sizes))))
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            cuts = [0, *(np.flatnonzero(np.diff(bounds[1:] // DECODE_IDS)) + 1).tolist(), len(sizes)]
+            texts = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                texts += decode_ids(shared.value, flat[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))], ["row", "text"])
 
     out = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("text", T.StringType())]))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridmill.llm import bigru, crf, licences, mixing, pieces, pq, repetition, runindex, simhash, warc
-from gridmill.llm.common import held_out
+from gridmill.llm.common import held_out, short_batches
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -143,6 +144,7 @@ def run_index_dedup(spark, folder):
 
 @query("op3_piece_ids")
 def piece_ids(spark, folder):
-    rows = pieces.decode(pieces.encode(table(spark, folder, "documents"), PIECE_MODEL, keep=("text",)), PIECE_MODEL)
-    same = F.col("decoded").eqNullSafe(F.replace(F.col("text"), F.lit(pieces.MARK), F.lit(" ")))
+    docs = table(spark, folder, "documents").withColumn("text_hash", F.xxhash64(F.replace(F.col("text"), F.lit(pieces.MARK), F.lit(" "))))
+    rows = pieces.decode(pieces.encode(docs, PIECE_MODEL, keep=("text_hash",)), PIECE_MODEL)
+    same = F.xxhash64("decoded") == F.col("text_hash")
     return rows.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
