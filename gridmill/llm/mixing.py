@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridmill.llm.common import WORD
+from gridmill.llm.common import WORD, kept_as
 
 ROWS_PER_GROUP = 200_000
 
@@ -44,7 +44,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     groups of a bounded size, and those groups' counts are summed per source.  The prefix follows the order, so its length, which
     grows with the row count, changes no result.
 
-    Returns one row per row of ``docs``: id, source, size, source_size, target, copies, taken, and the columns in ``carry``.  Null texts
+    Returns one row per row of ``docs``: id, source, size, source_size, target, copies, taken, and the columns in ``carry`` (``_kept`` is added to names that clash).  Null texts
     have size 0, a null source is a source of its own, a source without words has target 0 and gives no copies.  Rows that share
     an id are ordered by their text, so equal rows can stand in either place.  No rows in, no rows out.
     """
@@ -76,4 +76,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     crossed = F.floor(F.col("_offset") + F.col("_rate") * place) - F.floor(F.col("_offset") + F.col("_rate") * (place - 1))
     out = rows.join(plan, group).withColumn("copies", crossed)
     columns = ["id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
-    return out.select(*columns, *([F.col(f"_carry.{c}").alias(c) for c in carry]))
+    names = ["id", "source", "size", "source_size", "target", "copies", "taken"]
+    return out.select(*columns, *([F.col(f"_carry.{c}").alias(kept_as(c, names)) for c in carry]))
