@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 _BLOCK = 64
 
@@ -25,13 +23,19 @@ def sign(payload: Column, secret: str | bytes) -> Column:
     return F.sha2(F.concat(outer_pad, inner), 256)
 
 
-@F.pandas_udf(T.StringType())
-def sign_each(payload: pd.Series, secret: pd.Series) -> pd.Series:
-    """HMAC-SHA256 where every row brings its own secret."""
-    return pd.Series([
-        None if p is None or s is None else hmac.new(s.encode(), p.encode(), hashlib.sha256).hexdigest()
-        for p, s in zip(payload, secret)
-    ])
+def sign_each(payload: Column | str, secret: Column | str) -> Column:
+    """HMAC-SHA256 where every row brings its own secret, from the built-in digests; null where either is null."""
+    payload, secret = (F.col(c) if isinstance(c, str) else c for c in (payload, secret))
+    raw = secret.cast("binary")
+    digits = F.rpad(F.hex(F.when(F.length(raw) > _BLOCK, F.unhex(F.sha2(raw, 256))).otherwise(raw)), 2 * _BLOCK, "0")
+
+    def pad(mask: int) -> Column:
+        byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        masked = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK - 1)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(mask))), 2, "0"))
+        return F.unhex(F.array_join(masked, ""))
+
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), payload.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
 def verified(payload: Column, signature: Column, secret: str | bytes) -> Column:

@@ -226,7 +226,13 @@ def _(t):
     return signed.select("event_id", G.verified(tampered, F.col("signature"), "secret").alias("valid"))
 
 
-@query("hmac_per_row", "SRC08 FN19")
+def _masked(mask):
+    return f"""list_aggregate([chr(xor(CASE WHEN i <= length(k) THEN ascii(substr(k, i, 1)) ELSE 0 END, {mask})::INT) FOR i IN range(1, 65)], 'string_agg', '')"""
+
+
+@query("hmac_per_row", "SRC08 FN19", f"""
+    WITH s AS (SELECT event_id, props, 'key-' || user_id AS k FROM events)
+    SELECT event_id, sha256(encode({_masked(92)}) || unhex(sha256(encode({_masked(54)} || props)))) AS signature FROM s""")
 def _(t):
     secret = F.concat(F.lit("key-"), F.col("user_id").cast("string"))
     return t.events.select("event_id", G.sign_each("props", secret).alias("signature"))
