@@ -8,22 +8,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridmill.llm import bigru, mixing, pieces, runindex, simhash
-from gridmill.llm.common import held_out, staged
+from gridmill.llm.common import held_out, short_batches, staged
 from gridmill.llm.queries import PIECE_MODEL
 
 LEAST_SURE = 0.4  # pooled probability below which a text has no language
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The id and the text, and the whole row beside them, so that no column of the documents can clash with one of an operator."""
-    return docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    """The columns that operators read, and the other ones in a struct beside them, so that no name can clash with an operator's."""
+    short_batches(docs.sparkSession)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", "source", F.struct(F.lit(1).alias("_"), *rest).alias("_row"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`").alias(c) for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those that no language is likely for."""
     network = bigru.fit_languages(docs, ~held_out(F.col("doc_id")))
-    found = bigru.predict_languages(_packed(docs), network, keep=("_row",))
-    return found.where((F.col("lang_pred") != bigru.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("_row.*")
+    found = bigru.predict_languages(_packed(docs), network, keep=("text", "_row")).withColumnRenamed("id", "doc_id")
+    return _unpacked(found.where((F.col("lang_pred") != bigru.UNKNOWN) & (F.col("score") >= LEAST_SURE)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out every 50-byte string that an earlier document has; documents of which nothing is left go, null texts stay null."""
-    cut = runindex.remove_repeats(_packed(docs), length=50, keep=("_row",))
-    text = F.when(F.col("_row.text").isNotNull(), F.col("kept_text"))
-    row = F.col("_row").withField("text", text).withField("n_chars", F.length(text).cast("long"))
-    return cut.where((F.col("n_removed") == 0) | (F.col("kept_text") != "")).select(row.alias("_row")).select("_row.*")
+    packed = _packed(docs).withColumn("_null", F.col("text").isNull())
+    cut = runindex.remove_repeats(packed, length=50, keep=("_row", "_null")).withColumnRenamed("id", "doc_id")
+    cut = cut.where((F.col("n_removed") == 0) | (F.col("kept_text") != "")).withColumn("text", F.when(~F.col("_null"), F.col("kept_text")))
+    return _unpacked(cut.withColumn("_row", F.col("_row").withField("n_chars", F.length("text").cast("long"))), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emit each document as often as the mix of sources takes it."""
-    mixed = mixing.mix(_packed(docs), carry=("_row",))
-    return mixed.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    mixed = mixing.mix(_packed(docs), carry=("text", "_row")).withColumnRenamed("id", "doc_id").where("copies > 0")
+    return _unpacked(mixed.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

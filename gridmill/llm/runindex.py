@@ -1,6 +1,6 @@
 """Suffix-array dedup with a run-length index: long byte strings that also start in an earlier document are removed.
 
-1. Texts are packed into chunks of bounded size, written once.
+1. Texts are packed into chunks of bounded size, written once.  Whole texts that a smaller id has too are gone at once.
 2. Every string of ``length`` bytes has an anchor: the k-gram in it with the least hash.  Equal strings have equal anchors, so only anchors
    found in two documents matter.  Chunks send the hashes of their anchors to buckets and get back those that are shared.
 3. Around shared anchors, a chunk sends the bytes of all strings with that anchor (a context) to the anchor's bucket.  A bucket
@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridmill.llm.common import BASE, INVERSE, byte_view, mixed, powers, span_hashes, staged, text_slices
+from gridmill.llm.common import BASE, INVERSE, byte_view, kept_as, mixed, powers, span_hashes, staged, text_slices
 
 CHUNK_BYTES = 16 << 20   # text that a chunk holds; a longer text is a chunk of its own
-SLICE_BYTES = 2 << 20    # text whose anchors are found at once
+SLICE_BYTES = 1 << 20    # text whose anchors are found at once
 BUCKET_BYTES = 8 << 20   # text per bucket of anchors
 INDEX_BYTES = 1 << 19    # bytes of contexts indexed at once; the contexts of one anchor stay together
 ANCHOR = 16              # bytes of an anchor
@@ -33,29 +34,37 @@ NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than every other
 
 # ---- anchors ----
 
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes from every place on, from the 8-byte words in them."""
+    n = len(data) - k + 1
+    if k < 8:
+        return span_hashes(data, np.arange(n), np.arange(n) + k)
+    words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+    out = words[k - 8:k - 8 + n] * np.uint64(BASE)
+    for at in range(0, k - 8, 8):
+        out ^= out >> np.uint64(29)
+        out += words[at:at + n]
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed(out)
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int, k: int):
     """Anchor places of all texts: place, hash, first and last start of the strings that it stands for."""
     width = length - k + 1
-    n = len(data)
-    if n < length:
+    inside = np.maximum(np.diff(bounds) - length + 1, 0)
+    if not inside.any():
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n))))
-    best = mixed((sums[k:] - sums[:-k]) * powers(INVERSE, n + 1)[:n - k + 1])
-    place = np.arange(len(best), dtype=np.int32)
-    grams = best
+    grams = gram_hashes(data, k)
+    bits = np.uint64(max(1, int(len(grams)).bit_length()))
+    # the place below the hash: the least is the leftmost of equal ones
+    best = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     have = 1
-    while have < width:  # leftmost least hash of each window, by doubling
+    while have < width:  # least of each window, by doubling
         step = min(have, width - have)
-        right = best[step:] < best[:-step]
-        place = np.where(right, place[step:], place[:-step])
-        best = np.where(right, best[step:], best[:-step])
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    inside = np.diff(bounds) - length + 1
-    inside = np.maximum(inside, 0)
-    starts = np.repeat(bounds[:-1], inside) + np.arange(inside.sum()) - np.repeat(np.cumsum(inside) - inside, inside)
-    if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    place = place[starts].astype(np.int64)
+    starts = np.repeat(bounds[:-1] - (np.cumsum(inside) - inside), inside) + np.arange(inside.sum())
+    place = (best[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.append(True, (place[1:] != place[:-1]) | (np.diff(starts) != 1))
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(starts)) - 1
@@ -64,44 +73,38 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, k: int):
 
 # ---- the run-length index ----
 
+FIRST, FURTHER = 8, 5  # bytes compared in the first round of sorting, and in each further one
+
+
 def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes, each up to the end of its context, ties by place; and how many 8-byte blocks neighbours share."""
+    """Order of all suffixes, each up to the end of its context, ties by place; and bytes that a row is known to share with the one above."""
     n = len(symbols)
-    padded = np.concatenate((symbols, np.zeros(8, np.uint8)))
-    words = np.zeros(n, np.uint64)
-    for j in range(8):
-        words = (words << np.uint64(8)) | padded[j:n + j].astype(np.uint64)
+    words = np.ndarray(n, ">u8", np.concatenate((symbols, np.zeros(8, np.uint8))), strides=(1,)).astype(np.uint64)
 
     def block(at: np.ndarray, depth: int) -> np.ndarray:
         left = ends[at] - at - depth  # symbols of the context that remain
-        value = words[np.minimum(at + depth, n - 1)]
-        cut = (np.clip(8 - left, 0, 8) * 8).astype(np.uint64)
-        return np.where(left <= 0, np.uint64(0), (value >> np.minimum(cut, np.uint64(63))) << np.minimum(cut, np.uint64(63)))
-
-    at = np.arange(n)
-    key = block(at, 0)
-    order = np.argsort(key, kind="stable")
-    shared = np.zeros(n, np.int32)  # blocks that a row shares with the row above
-    tied = np.append(False, key[order][1:] == key[order][:-1])
-    depth = 8
+        cut = (np.clip(8 - left, 0, 7) * 8).astype(np.uint64)
+        return np.where(left > 0, words[np.minimum(at + depth, n - 1)] >> cut << cut, np.uint64(0))
+
+    key = block(np.arange(n), 0)
+    order = np.argsort(key)
+    key = key[order]
+    shared = np.zeros(n, np.int32)
+    tied = np.append(False, key[1:] == key[:-1])
+    depth = FIRST
     while tied.any():
-        shared[tied] += 1
-        member = tied | np.append(tied[1:], False)
-        rows = np.flatnonzero(member)
-        group = np.cumsum(~tied[rows])
+        shared[tied] = depth
+        rows = np.flatnonzero(tied | np.append(tied[1:], False))
         at = order[rows]
-        live = np.flatnonzero(ends[at] - at > depth)
-        if not len(live):
-            break
-        key = block(at, depth)
-        by = np.lexsort((at, key, group))
-        order[rows] = at[by]
-        key, group = key[by], group[by]
-        ended = (ends[order[rows]] - order[rows]) <= depth
-        same = np.append(False, (key[1:] == key[:-1]) & (group[1:] == group[:-1]) & ~ended[1:])
+        group = np.cumsum(~tied[rows]).astype(np.uint64)
+        ended = ends[at] - at <= depth
+        # rows of a group by their next bytes; contexts that have ended come first, by place
+        key = (group << np.uint64(41)) | np.where(ended, at.astype(np.uint64), block(at, depth) >> np.uint64(24) | np.uint64(1 << 40))
+        by = np.argsort(key)
+        order[rows], key, ended = at[by], key[by], ended[by]
         tied = np.zeros(n, bool)
-        tied[rows] = same
-        depth += 8
+        tied[rows] = np.append(False, (key[1:] == key[:-1]) & ~ended[1:])
+        depth += FURTHER
     return order, shared
 
 
@@ -130,9 +133,9 @@ class RunIndex:
         order, shared = suffix_order(symbols, ends)
         previous = np.where(order > 0, symbols[order - 1], 0)
         depth = length - 1
-        same = shared >= depth // 8
-        rows = np.flatnonzero(same)
-        for j in range(depth // 8 * 8, depth):
+        rows = np.flatnonzero(shared > depth - (FIRST if depth < FIRST else FURTHER))
+        rows = rows[rows > 0]
+        for j in range(max(0, depth - FIRST), depth):
             a, b = order[rows] + j, order[rows - 1] + j
             fits = (a < ends[order[rows]]) & (b < ends[order[rows - 1]])
             rows = rows[fits & (symbols[np.minimum(a, n - 1)] == symbols[np.minimum(b, n - 1)])]
@@ -232,7 +235,7 @@ def earliest(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: n
 
 def pack(array: np.ndarray) -> bytes:
     """Compress an array; its bytes are regrouped by significance first."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(array.view(np.uint8).reshape(len(array), -1).T).tobytes())
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T).tobytes())
 
 
 def unpack(packed: bytes, kind) -> np.ndarray:
@@ -242,23 +245,31 @@ def unpack(packed: bytes, kind) -> np.ndarray:
 
 @dataclass
 class Chunk:
+    name: str
     ids: np.ndarray
     bounds: np.ndarray
     data: np.ndarray
+    copies: np.ndarray  # whether a text is a copy of one with a smaller id
 
     @classmethod
-    def of(cls, row: dict) -> Chunk:
+    def of(cls, row: dict, beside: pa.Table) -> Chunk:
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["blob"]), np.uint8)
-        return cls(unpack(row["ids"], np.int64), unpack(row["bounds"], np.int64), data)
+        ids = unpack(row["ids"], np.int64)
+        copies = np.zeros(len(ids), bool)
+        copies[[no for some in beside["copies"].to_pylist() for no in some or ()]] = True
+        return cls(row["chunk"], ids, unpack(row["bounds"], np.int64), data, copies)
 
     def anchors(self, length: int, k: int):
-        """``anchors`` of all texts, a slice of them at a time."""
+        """``anchors`` of all texts but copies, a slice of them at a time."""
         parts, lo = [], 0
         while lo < len(self.ids):
             hi = max(lo + 1, int(np.searchsorted(self.bounds, self.bounds[lo] + SLICE_BYTES, side="right")) - 1)
             at = self.bounds[lo]
             place, gram, first, last = anchors(self.data[at:self.bounds[hi]], self.bounds[lo:hi + 1] - at, length, k)
-            parts.append((place + at, gram >> np.uint64(64 - HASH_BITS), first + at, last + at))
+            own = ~self.copies[np.searchsorted(self.bounds, place + at, side="right") - 1]
+            # anchors have low hashes, so they are hashed once more to fill the buckets evenly
+            key = mixed(gram[own] ^ np.uint64(BASE)) >> np.uint64(64 - HASH_BITS)
+            parts.append((place[own] + at, key, first[own] + at, last[own] + at))
             lo = hi
         if not parts:
             return anchors(self.data, self.bounds, length, k)
@@ -285,12 +296,32 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ..
             with pa.ipc.new_stream(sink, kept.schema) as writer:
                 writer.write_batch(kept)
             ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            raw = data.tobytes()
+            digests = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds.tolist(), bounds[1:].tolist()))
+            squeeze = zstandard.ZstdCompressor(1).compress
             yield pa.RecordBatch.from_pydict({
                 "chunk": [f"{TaskContext.get().partitionId()}-{number}"], "bytes": [len(data)], "ids": [pack(ids)], "bounds": [pack(bounds)],
-                "blob": [zstandard.ZstdCompressor(1).compress(data.tobytes())], "rest": [sink.getvalue().to_pybytes()]})
+                "digests": [digests], "blob": [squeeze(raw)], "rest": [squeeze(sink.getvalue().to_pybytes())]})
             number += 1
 
-    return staged(rows.mapInArrow(run, "chunk string, bytes long, ids binary, bounds binary, blob binary, rest binary"), "chunks")
+    return staged(rows.mapInArrow(run, "chunk string, bytes long, ids binary, bounds binary, digests binary, blob binary, rest binary"), "chunks")
+
+
+def later_copies(chunks: DataFrame, length: int) -> DataFrame:
+    """Per chunk, the numbers of the texts of ``length`` bytes or more that a smaller id holds as a whole."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                size = np.diff(unpack(row["bounds"], np.int64))
+                no = np.flatnonzero(size >= length)
+                digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(size), [None, pa.py_buffer(row["digests"])])
+                yield pa.RecordBatch.from_arrays(
+                    [digests.take(pa.array(no)).cast(pa.binary()), pa.array(unpack(row["ids"], np.int64)[no]), pa.array([row["chunk"]] * len(no), pa.string()),
+                     pa.array(no.astype(np.int32))], ["digest", "id", "chunk", "no"])
+
+    texts = chunks.select("chunk", "ids", "bounds", "digests").mapInArrow(run, "digest binary, id long, chunk string, no int")
+    first = staged(texts.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
+    return staged(texts.join(first, "digest").where("id > first").groupBy("chunk").agg(F.collect_list("no").alias("copies")), "copies")
 
 
 def anchor_counts(chunk: Chunk, length: int, k: int):
@@ -304,23 +335,27 @@ def anchor_counts(chunk: Chunk, length: int, k: int):
     return hashes[head], tail - head + 1, ids[head] != ids[tail]
 
 
-def send_anchors(chunks: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, times, several = anchor_counts(Chunk.of(row), length, k)
-                cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))
-                out = []
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = slice(cuts[b], cuts[b + 1])
-                    out.append({"bucket": b, "chunk": row["chunk"], "hashes": pack(np.diff(hashes[part], prepend=np.uint64(0))),
-                                "times": pack(np.minimum(times[part], 255).astype(np.uint8) * several[part]),
-                                "n": int(cuts[b + 1] - cuts[b])})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                        ("bucket", pa.int32()), ("chunk", pa.string()), ("hashes", pa.binary()), ("times", pa.binary()), ("n", pa.int32())]))
+def beside_chunks(chunks: DataFrame, other: DataFrame, run, schema) -> DataFrame:
+    """Call ``run(chunk row, rows of the other table)`` for every chunk.  The chunks are shuffled alike each time, so Spark does it once."""
+    def call(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(left.to_pylist()[0], right)
+
+    return chunks.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(call, schema)
 
-    return chunks.mapInArrow(run, "bucket int, chunk string, hashes binary, times binary, n int")
+
+def send_anchors(chunks: DataFrame, copies: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
+    def run(row: dict, beside: pa.Table) -> pa.Table:
+        hashes, times, several = anchor_counts(Chunk.of(row, beside), length, k)
+        cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))
+        out = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[b], cuts[b + 1])
+            out.append({"bucket": b, "chunk": row["chunk"], "hashes": pack(np.diff(hashes[part], prepend=np.uint64(0))),
+                        "times": pack(np.minimum(times[part], 255).astype(np.uint8) * several[part]), "n": int(cuts[b + 1] - cuts[b])})
+        return pa.Table.from_pylist(out, schema=pa.schema([
+            ("bucket", pa.int32()), ("chunk", pa.string()), ("hashes", pa.binary()), ("times", pa.binary()), ("n", pa.int32())]))
+
+    return beside_chunks(chunks, copies, run, "bucket int, chunk string, hashes binary, times binary, n int")
 
 
 def shared_anchors(sent: DataFrame, hot: int) -> DataFrame:
@@ -370,9 +405,8 @@ def equal_contexts(keys, texts, ids):
     return order, new, number, i == i[np.flatnonzero(new)][number] if len(order) else new
 
 
-def contexts_of(row: dict, returned: list[dict], buckets: int, length: int, k: int) -> list[dict]:
+def contexts_of(chunk: Chunk, returned: list[dict], buckets: int, length: int, k: int) -> list[dict]:
     """What a chunk sends: its contexts of shared anchors, by bucket; and marks for those that a smaller id holds in the same chunk."""
-    chunk = Chunk.of(row)
     place, hashes, first, last = chunk.anchors(length, k)
     flags = [np.zeros(0, np.uint8), *(unpack(r["flags"], np.uint8) for r in sorted(returned, key=lambda r: r["bucket"]))]
     distinct, back = np.unique(hashes, return_inverse=True)
@@ -401,11 +435,11 @@ def contexts_of(row: dict, returned: list[dict], buckets: int, length: int, k: i
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         at = order[cuts[b]:cuts[b + 1]]
         text = gathered(chunk.data, first[at], sizes[at])
-        out.append({"bucket": b, "chunk": row["chunk"], "keys": pack(keys[at]), "ids": pack(chunk.ids[docs[at]]), "docs": pack(docs[at].astype(np.int32)),
+        out.append({"bucket": b, "chunk": chunk.name, "keys": pack(keys[at]), "ids": pack(chunk.ids[docs[at]]), "docs": pack(docs[at].astype(np.int32)),
                     "starts": pack(starts[at]), "sizes": pack(sizes[at].astype(np.int32)),
                     "bytes": zstandard.ZstdCompressor(1).compress(text.tobytes()), "n": len(at), "marks": None})
     if len(later):
-        out.append({"bucket": int(keys[later[0]] % np.uint64(buckets)), "chunk": row["chunk"], "n": 0, "marks": pack_marks(*marks)})
+        out.append({"bucket": int(keys[later[0]] % np.uint64(buckets)), "chunk": chunk.name, "n": 0, "marks": pack_marks(*marks)})
     return out
 
 
@@ -417,13 +451,14 @@ def unpack_marks(packed: bytes) -> np.ndarray:
     return unpack(packed, np.int64).reshape(3, -1)
 
 
-def send_contexts(chunks: DataFrame, flags: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [x for row in left.to_pylist() for x in contexts_of(row, right.to_pylist(), buckets, length, k)]
-        return pa.Table.from_pylist(found, schema=CONTEXTS)
+def send_contexts(chunks: DataFrame, copies: DataFrame, flags: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
+    def run(row: dict, beside: pa.Table) -> pa.Table:
+        returned = beside.filter(beside["flags"].is_valid()).to_pylist()
+        return pa.Table.from_pylist(contexts_of(Chunk.of(row, beside), returned, buckets, length, k), schema=CONTEXTS)
 
     kinds = {pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
-    return chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in CONTEXTS))
+    other = flags.unionByName(copies, allowMissingColumns=True)
+    return beside_chunks(chunks, other, run, ", ".join(f"{f.name} {kinds[f.type]}" for f in CONTEXTS))
 
 
 def match_contexts(sent: DataFrame, length: int) -> DataFrame:
@@ -497,36 +532,44 @@ def marks_in(rows: list[dict], length: int) -> list[tuple[str, np.ndarray]]:
     return [(r["chunk"], np.stack((docs[place[a:b]], first[a:b], last[a:b]))) for r, a, b in zip(rows, cuts, cuts[1:]) if b > a]
 
 
-def cut_marks(chunks: DataFrame, marks: DataFrame, keep: list[T.StructField]) -> DataFrame:
-    """Cut the marked bytes out of the texts; characters that lose a byte lose all."""
+def joined_spans(docs: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """Marks of the same text that meet or overlap as one."""
+    order = np.lexsort((first, docs))
+    docs, first, last = docs[order], first[order], last[order]
+    reach = np.maximum.accumulate(last)  # places of a later text are larger
+    new = np.append(True, (first[1:] > reach[:-1]) | (docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    return docs[head], first[head], reach[np.append(head[1:], len(docs)) - 1] if len(head) else last
+
+
+def cut_marks(chunks: DataFrame, copies: DataFrame, marks: DataFrame, keep: list[T.StructField]) -> DataFrame:
+    """Cut the marked bytes and the copies out of the texts; in ``kept_text``, characters that lose a byte lose all."""
     counts = ["id", "n_bytes", "n_removed", "n_spans"]
-    columns = [*counts, "kept_bytes", "kept_text", *(f.name for f in keep)]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        chunk = Chunk.of(row)
-        docs, first, last = np.concatenate([np.zeros((3, 0), np.int64), *(unpack_marks(x) for x in right["marks"].to_pylist())], axis=1)
-        n = len(chunk.data)
-        steps = np.bincount(first + chunk.bounds[docs], minlength=n + 1) - np.bincount(last + chunk.bounds[docs], minlength=n + 1)
-        gone = np.cumsum(steps)[:n] > 0
-        begins = gone & np.append(True, ~gone[:-1])[:n]
-        edge = chunk.bounds[:-1][chunk.bounds[:-1] < n]
-        begins[edge] = gone[edge]
-        within = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[chunk.bounds])
-        removed = within(gone)
-        size = np.diff(chunk.bounds)
-        left_over = chunk.data[~gone].tobytes()
+    results = [*counts, "kept_bytes", "kept_text"]
+    names = [kept_as(f.name, results) for f in keep]
+
+    def run(row: dict, beside: pa.Table) -> pa.Table:
+        chunk = Chunk.of(row, beside)
+        n, size = len(chunk.ids), np.diff(chunk.bounds)
+        gone = np.flatnonzero(chunk.copies)
+        parts = [np.stack((gone, gone * 0, size[gone])), *(unpack_marks(x) for x in beside["marks"].to_pylist() if x is not None)]
+        docs, first, last = np.concatenate(parts, axis=1)
+        docs, first, last = joined_spans(docs, first + chunk.bounds[docs], last + chunk.bounds[docs])
+        removed = np.bincount(docs, last - first, n).astype(np.int64)
+        steps = np.zeros(len(chunk.data) + 1, np.int8)
+        steps[first] += 1
+        np.subtract.at(steps, last, 1)
+        left_over = chunk.data[np.cumsum(steps[:-1], dtype=np.int8) == 0].tobytes()
         at = np.concatenate(([0], np.cumsum(size - removed))).tolist()
-        ids = pa.array(chunk.ids, mask=chunk.ids == NO_ID)
-        kept = pa.ipc.open_stream(row["rest"]).read_all()["kept"].combine_chunks()
         texts = [left_over[a:b] for a, b in zip(at, at[1:])]
-        out = [ids, pa.array(size), pa.array(removed), pa.array(within(begins)), pa.array(texts, pa.binary()),
-               pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())]
-        return pa.table(out + [kept.field(f.name) for f in keep], names=columns)
+        kept = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all()["kept"].combine_chunks()
+        out = [pa.array(chunk.ids, mask=chunk.ids == NO_ID), pa.array(size), pa.array(removed), pa.array(np.bincount(docs, minlength=n)),
+               pa.array(texts, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())]
+        return pa.table(out + [kept.field(f.name) for f in keep], names=results + names)
 
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in counts), T.StructField("kept_bytes", T.BinaryType()),
-                           T.StructField("kept_text", T.StringType()), *keep])
-    return chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, schema)
+                           T.StructField("kept_text", T.StringType()), *(T.StructField(n, f.dataType) for n, f in zip(names, keep))])
+    return beside_chunks(chunks, marks.unionByName(copies, allowMissingColumns=True), run, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: tuple[str, ...] = (),
@@ -534,7 +577,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove every byte of a text that lies in a string of ``length`` bytes that also starts in a text with a smaller id.
 
     Texts are their UTF-8 bytes, matches never cross texts, and all strings are judged on the input.  One row per row of ``docs``: id,
-    n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes, kept_text, and the columns in ``keep``.  Null texts are empty, and texts
+    n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes, kept_text, and the columns in ``keep`` (``_kept`` is added to names that clash).  Null texts are empty, and texts
     shorter than ``length`` stay.  Rows that share an id don't remove from each other; a null id counts as larger than all others.
     No rows in, no rows out.  ``anchor`` has to be smaller than ``length``.
     """
@@ -542,7 +585,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     anchor = min(anchor, length)
-    flags = shared_anchors(send_anchors(chunks.select("chunk", "ids", "bounds", "blob"), buckets, length, anchor), hot)
-    sent = send_contexts(chunks.select("chunk", "ids", "bounds", "blob"), flags, buckets, length, anchor)
-    marks = match_contexts(sent, length)
-    return cut_marks(chunks, marks, [docs.schema[c] for c in keep])
+    copies = later_copies(chunks, length)
+    flags = shared_anchors(send_anchors(chunks, copies, buckets, length, anchor), hot)
+    marks = match_contexts(send_contexts(chunks, copies, flags, buckets, length, anchor), length)
+    return cut_marks(chunks, copies, marks, [docs.schema[c] for c in keep])
