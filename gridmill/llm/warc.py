@@ -21,7 +21,8 @@ GZIP_MAGIC = b"\x1f\x8b\x08"
 MARK = b"WARC/1."
 
 RECORD_URN = "urn:x-page:"
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES = 4 << 20
+MOST_TASKS = 100_000
 BATCH_BYTES = 4 << 20
 
 
@@ -183,7 +184,9 @@ def read_archives(files: DataFrame, payload: bool = True, split_bytes: int = SPL
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ranges = files.where("bytes > 0").select("path", "bytes", starts.alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    # a named number of partitions, since a few small rows stand for much work
+    n = ranges.count()
+    ranges = ranges.repartition(max(1, min(n, MOST_TASKS)))
     names = ["record_type", "record_id", "url", "digest", "digest_ok", "refers_to", "payload_bytes", *(["payload"] if payload else [])]
     kinds = ["string"] * 4 + ["boolean", "string", "long", "binary"]
     arrow = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
