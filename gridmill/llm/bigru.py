@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from gridmill.llm.common import byte_view, text_slices
+from gridmill.llm.common import byte_view, kept_as, text_slices
 
 WINDOW = 64            # bytes that a pass reads together; texts are cut into such windows from end to end
 HIDDEN = 8             # state size of each direction
@@ -17,6 +17,7 @@ PAD = 256              # symbol after the end of a text
 DOCS_PER_LANGUAGE = 300  # training bound: one snippet of each of so many documents a language
 SNIPPET = 480          # characters of a snippet
 LANGUAGES = 64         # training bound: the languages with the most documents are learned
+PLACES = 1 << 40       # of the hash that orders the sample
 STEPS, BATCH, RATE = 300, 192, 0.02
 UNKNOWN = "und"
 
@@ -176,22 +177,26 @@ def fit_languages(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_
     The sample is one snippet, at a place set by the id's hash, from ``per_language`` documents (least hash of the id) of each of the
     ``languages`` most frequent languages: less than 20,000 snippets of 480 characters.
     """
-    order = F.xxhash64(id_col, text_col)
+    order = F.pmod(F.xxhash64(id_col, text_col), F.lit(PLACES))
     start = F.pmod(order, F.greatest(F.length(text_col) - snippet, F.lit(1))) + 1
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), order.alias("_order"),
         F.substring(F.col(text_col), start.cast("int"), F.lit(snippet)).alias("snippet"))
-    first = Window.partitionBy("lang").orderBy("_order", "snippet")
-    taken = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).drop("_n")
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not common:
         return Network([], [])
-    sample = sorted(tuple(r) for r in taken.where(F.col("lang").isin(common)).select("lang", "_order", "snippet").collect())
+    # Of a frequent language only hashes low enough for some times the documents wanted go on to be ranked.
+    low = F.lit(False)
+    for r in common:
+        low = low | ((F.col("lang") == r["lang"]) & (F.col("_order") < min(PLACES, PLACES * 8 * per_language // r["count"] + 1)))
+    first = Window.partitionBy("lang").orderBy("_order", "snippet")
+    taken = rows.where(low).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).drop("_n")
+    sample = sorted(tuple(r) for r in taken.select("lang", "_order", "snippet").collect())
     return Network.fit([s.encode() for _, _, s in sample], [lang for lang, _, _ in sample])
 
 
 def predict_languages(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Label every position of every whole text and pool: id, lang_pred, score, and the columns in ``keep``.
+    """Label every position of every whole text and pool: id, lang_pred, score, and the columns in ``keep`` (``_kept`` is added to names that clash).
 
     One row per row of ``docs``, nothing is shuffled.  Null texts, texts without a letter and every text of an untrained network are ``und``
     with score 0.  Equal pools go to the first language by name.
@@ -214,4 +219,5 @@ def predict_languages(docs: DataFrame, network: Network, id_col: str = "doc_id",
                                              ["kept", "lang_pred", "score"])
 
     out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    return out.select(F.col(f"kept.{id_col}").alias("id"), "lang_pred", "score", *(F.col(f"kept.{c}").alias(c) for c in keep))
+    results = ["id", "lang_pred", "score"]
+    return out.select(F.col(f"kept.{id_col}").alias("id"), *results[1:], *(F.col(f"kept.{c}").alias(kept_as(c, results)) for c in keep))
