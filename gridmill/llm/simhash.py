@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
         n = len(tokens) - words + 1
     counts = np.zeros(64, np.int64)
-    for lo in range(0, n, 50_000):
-        digests = b"".join(d for d, _ in zip(map(xxhash.xxh64_digest, shingles, repeat(seed)), range(min(50_000, n - lo))))
+    for _ in range(0, n, 50_000):
+        digests = b"".join(map(xxhash.xxh64_digest, islice(shingles, 50_000), repeat(seed)))
         counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 

@@ -255,6 +255,14 @@ def brute_force_groups(prints, radius):
     return Counter((i, p, least.get(root(p))) for i, p in prints)
 
 
+@pytest.mark.parametrize("n", [50_002, 50_003, 100_003, 200_000])
+def test_fingerprints_of_long_texts(n):
+    draw = random.Random(n)
+    ahead = (n - 2) // 2 + 1  # one shingle more than half of them, all at the end: each decides
+    for text in ("b " * (n - ahead - 2) + "a " * (ahead + 2), " ".join(str(draw.randrange(2_000)) for _ in range(n))):
+        assert len(text.split()) == n and simhash.fingerprint(text.encode()) == brute_force_print(text)
+
+
 def test_simhash_groups_by_brute_force(spark, texts):
     rows = [*((i + 100, t) for i, t in texts.items()), *TEXTS]
     got = simhash.simhash_groups(frame(spark, rows)).collect()
