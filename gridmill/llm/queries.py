@@ -136,6 +136,11 @@ def licence_scan(spark, folder):
     return licences.licence_scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op1_licence_passages")
+def licence_passages(spark, folder):
+    return licences.licence_passage_scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op2_run_index_dedup")
 def run_index_dedup(spark, folder):
     rows = runindex.remove_repeats(table(spark, folder, "documents"))

@@ -64,6 +64,46 @@ def test_size_bounds_admit_every_match():
             assert (2 * min(n, m) / (n + m) >= 0.8 - 1e-12) <= (low <= m <= high)
 
 
+def test_passages_by_brute_force(spark):
+    isc = licences.TEMPLATES["ISC"].split()
+    wrapped = "\n".join(" ".join(isc[i:i + 9]) for i in range(0, len(isc), 9))
+    draw = random.Random(8)
+    near = " ".join(w for w in isc if draw.random() < 0.95)
+    lines = [wrapped + "\n" + "some other text of the work\n" * 20, "Copyright 2024 Example Corp. All rights reserved.", "All\nrights\nreserved",
+             "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0. See LICENSE for details.", "of the and this software " * 40,
+             "more " + near + " and\n" + near, "all rights " * 30 + "reserved. " + "all rights reserved " * 5, "nothing here", "word", " .. ", "", None]
+    templates = {k: licences.TEMPLATES[k] for k in ("ISC", "Apache-2.0-notice", "GPL-3.0-notice", "proprietary-notice")}
+    templates["twice"] = "this software and this software of the other software"
+    words = lambda text: re.findall("[a-z0-9]+", text.lower())
+    want = {}
+    for i, text in enumerate(lines):
+        w = words(text or "")
+        for name, t in templates.items():
+            v = words(t)
+            bag_of = Counter(zip(v, v[1:]))
+            best = (0.8 - 1e-12,)
+            for a in range(len(w)):
+                seen, both = Counter(), 0
+                for b in range(a + 1, min(len(w), a + 2 * len(v))):
+                    seen[w[b - 1], w[b]] += 1
+                    both += seen[w[b - 1], w[b]] <= bag_of[w[b - 1], w[b]]
+                    best = max(best, (2 * both / (b - a + len(v) - 1), -a, a - b))
+            if len(best) > 1:
+                want[i, name] = best[0], -best[1], 1 - best[2]
+    docs = frame(spark, [*enumerate(lines), (0, lines[0])])
+    got = licences.licence_passages(docs, templates=templates).collect()
+    assert len(got) == len(want) and {(r["id"], r["licence"]): (r["dice"], r["first"], r["n_words"]) for r in got} == want
+    assert {(0, "ISC"), (1, "proprietary-notice"), (2, "proprietary-notice"), (3, "Apache-2.0-notice")} <= want.keys()
+    rows = licences.licence_passage_scan(docs).collect()
+    assert len(rows) == len(lines) + 1 and {r["id"]: r["licence"] for r in rows}[0] == "ISC"
+
+
+def test_passages_hold_every_matching_unit(docs):
+    units = {(r["id"], r["licence"]): r["dice"] for r in licences.licence_matches(docs).orderBy("dice").collect()}
+    passages = {(r["id"], r["licence"]): r["dice"] for r in licences.licence_passages(docs).collect()}
+    assert units and all(passages[k] >= d for k, d in units.items())
+
+
 # ---- repeated strings ----
 
 def brute_force_removal(rows, length):
