@@ -29,6 +29,8 @@ INDEX_BYTES = 1 << 19    # bytes of contexts indexed at once; the contexts of on
 ANCHOR = 16              # bytes of an anchor
 HASH_BITS = 48           # an anchor's hash as it is sent; equal hashes of unequal anchors only add candidates
 HOT = 4_096              # an anchor with more occurrences is split by the bytes beside it
+GROUP_BYTES = 3 << 20    # an anchor whose contexts may hold more bytes is not indexed: its strings are sent as hashes, each on its own
+STRINGS = 1 << 20        # strings of such anchors hashed at once
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than every other
 
 
@@ -91,6 +93,8 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     key = key[order]
     shared = np.zeros(n, np.int32)
     tied = np.append(False, key[1:] == key[:-1])
+    if n >= 1 << 23:  # a group's number is packed above 41 bits
+        raise OverflowError(f"{n} symbols in one index")
     depth = FIRST
     while tied.any():
         shared[tied] = depth
@@ -351,22 +355,23 @@ def send_anchors(chunks: DataFrame, copies: DataFrame, buckets: int, length: int
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[b], cuts[b + 1])
             out.append({"bucket": b, "chunk": row["chunk"], "hashes": pack(np.diff(hashes[part], prepend=np.uint64(0))),
-                        "times": pack(np.minimum(times[part], 255).astype(np.uint8) * several[part]), "n": int(cuts[b + 1] - cuts[b])})
+                        "times": pack((times[part] * 2 + several[part]).astype(np.uint32)), "n": int(cuts[b + 1] - cuts[b])})
         return pa.Table.from_pylist(out, schema=pa.schema([
             ("bucket", pa.int32()), ("chunk", pa.string()), ("hashes", pa.binary()), ("times", pa.binary()), ("n", pa.int32())]))
 
     return beside_chunks(chunks, copies, run, "bucket int, chunk string, hashes binary, times binary, n int")
 
 
-def shared_anchors(sent: DataFrame, hot: int) -> DataFrame:
-    """Per chunk and bucket, for the hashes that were sent: bit 0 if two ids hold the anchor, bit 1 if it is a hot one."""
+def shared_anchors(sent: DataFrame, hot: int, most: int) -> DataFrame:
+    """Per chunk and bucket, for the hashes that were sent: bit 0 if two ids hold the anchor, bit 1 if it is a hot one, bit 2 if it stands
+    in more than ``most`` places."""
     def run(table: pa.Table) -> pa.Table:
         hashes = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table["hashes"].to_pylist()])
-        times = np.concatenate([unpack(x, np.uint8) for x in table["times"].to_pylist()]).astype(np.int64)
+        times = np.concatenate([unpack(x, np.uint32) for x in table["times"].to_pylist()]).astype(np.int64)
         _, place, holders = np.unique(hashes, return_inverse=True, return_counts=True)
-        total = np.bincount(place, np.maximum(times, 1))
-        marked = (holders > 1) | (np.bincount(place, times > 0) > 0)
-        flags = (marked + 2 * (total > hot)).astype(np.uint8)[place]
+        total = np.bincount(place, times >> 1)
+        marked = (holders > 1) | (np.bincount(place, times & 1) > 0)
+        flags = (marked + 2 * (total > hot) + 4 * (total > most)).astype(np.uint8)[place]
         parts = np.split(flags, np.cumsum(table["n"].to_numpy())[:-1])
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "flags": pa.array([pack(x) for x in parts], pa.binary())})
 
@@ -374,7 +379,8 @@ def shared_anchors(sent: DataFrame, hot: int) -> DataFrame:
 
 
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("ids", pa.binary()), ("docs", pa.binary()),
-                      ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("n", pa.int32()), ("marks", pa.binary())])
+                      ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("n", pa.int32()), ("marks", pa.binary()),
+                      ("strings", pa.int32())])
 
 
 def sliced_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -412,6 +418,9 @@ def contexts_of(chunk: Chunk, returned: list[dict], buckets: int, length: int, k
     distinct, back = np.unique(hashes, return_inverse=True)
     flag = np.concatenate(flags)[back] if len(distinct) else np.zeros(0, np.uint8)
     chosen = (flag & 1) > 0
+    spread = chosen & ((flag & 4) > 0)
+    out = strings_of(chunk, first[spread], last[spread], buckets, length)
+    chosen &= ~spread
     place, hashes, first, last, hot = place[chosen], hashes[chosen], first[chosen], last[chosen], flag[chosen] > 1
     # A string with a hot anchor holds all of the ``side`` bytes left of it, or right of it: its starts are parted by which.
     side = (length - k) // 2
@@ -431,7 +440,6 @@ def contexts_of(chunk: Chunk, returned: list[dict], buckets: int, length: int, k
     marks = (docs[later], starts[later], starts[later] + sizes[later])
     order = order[least]
     cuts = np.searchsorted(bucket_of(keys[order], buckets), np.arange(buckets + 1, dtype=np.uint64))
-    out = []
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         at = order[cuts[b]:cuts[b + 1]]
         text = gathered(chunk.data, first[at], sizes[at])
@@ -443,6 +451,33 @@ def contexts_of(chunk: Chunk, returned: list[dict], buckets: int, length: int, k
     return out
 
 
+def strings_of(chunk: Chunk, first: np.ndarray, last: np.ndarray, buckets: int, length: int) -> list[dict]:
+    """What a chunk sends for anchors with too many contexts: the hash of every string, by bucket, equal ones for the least id alone; and
+    marks for those that a smaller id holds among the strings that are hashed at once."""
+    out, lo = [], 0
+    number = last - first + 1
+    upto = np.cumsum(number)
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - number[lo] + STRINGS, side="right")))
+        n = number[lo:hi]
+        starts = np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        docs = np.searchsorted(chunk.bounds, starts, side="right") - 1
+        hashes = sliced_hashes(chunk.data, starts, starts + length)
+        order, _, _, least = equal_contexts(hashes, hashes, chunk.ids[docs])
+        later, order = order[~least], order[least]
+        cuts = np.searchsorted(bucket_of(hashes[order] >> np.uint64(64 - HASH_BITS), buckets), np.arange(buckets + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[b]:cuts[b + 1]]
+            out.append({"bucket": b, "chunk": chunk.name, "keys": pack(hashes[at]), "ids": pack(chunk.ids[docs[at]]), "docs": pack(docs[at].astype(np.int32)),
+                        "starts": pack(starts[at] - chunk.bounds[docs[at]]), "n": 0, "marks": None, "strings": len(at)})
+        if len(later):
+            at, begin, end = joined_spans(docs[later], starts[later], starts[later] + length)
+            out.append({"bucket": int(hashes[later[0]] % np.uint64(buckets)), "chunk": chunk.name, "n": 0,
+                        "marks": pack_marks(at, begin - chunk.bounds[at], end - chunk.bounds[at])})
+        lo = hi
+    return out
+
+
 def pack_marks(docs, starts, ends) -> bytes:
     return pack(np.concatenate((docs, starts, ends)).astype(np.int64))
 
@@ -465,11 +500,15 @@ def match_contexts(sent: DataFrame, length: int) -> DataFrame:
     """Marks per chunk: strings that a smaller id holds, found by the index of the bucket's contexts.
 
     Equal contexts are indexed once, for the least id; other ids that hold them are marked whole.  A context whose anchor stands
-    in no other context of the bucket has nothing to match and is left out of the index.
+    in no other context of the bucket has nothing to match and is left out of the index.  Strings that were sent as hashes are compared
+    as such.
     """
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         done = [(r["chunk"], unpack_marks(r["marks"])) for r in rows if r["marks"] is not None]
+        strings = [r for r in rows if r["strings"]]
+        if strings:
+            done += marks_of_strings(strings, length)
         rows = [r for r in rows if r["n"]]
         if rows:
             done += marks_in(rows, length)
@@ -526,10 +565,23 @@ def marks_in(rows: list[dict], length: int) -> list[tuple[str, np.ndarray]]:
             found.append((place, starts[place] + np.repeat(offset[head], times), starts[place] + np.repeat(offset[tail] + length, times)))
         lo = hi
     place, first, last = (np.concatenate(x) for x in zip(*found))
-    by = np.argsort(chunk[place], kind="stable")
-    place, first, last = place[by], first[by], last[by]
-    cuts = np.searchsorted(chunk[place], np.arange(len(rows) + 1))
-    return [(r["chunk"], np.stack((docs[place[a:b]], first[a:b], last[a:b]))) for r, a, b in zip(rows, cuts, cuts[1:]) if b > a]
+    return marks_by_row(rows, chunk[place], docs[place], first, last)
+
+
+def marks_of_strings(rows: list[dict], length: int) -> list[tuple[str, np.ndarray]]:
+    column = lambda name, kind: np.concatenate([unpack(r[name], kind) for r in rows])
+    hashes, docs, starts = column("keys", np.uint64), column("docs", np.int32).astype(np.int64), column("starts", np.int64)
+    order, _, _, least = equal_contexts(hashes, hashes, column("ids", np.int64))
+    later = order[~least]
+    row = np.repeat(np.arange(len(rows)), [r["strings"] for r in rows])
+    return marks_by_row(rows, row[later], docs[later], starts[later], starts[later] + length)
+
+
+def marks_by_row(rows: list[dict], row: np.ndarray, docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    by = np.argsort(row, kind="stable")
+    row, docs, first, last = row[by], docs[by], first[by], last[by]
+    cuts = np.searchsorted(row, np.arange(len(rows) + 1))
+    return [(r["chunk"], np.stack((docs[a:b], first[a:b], last[a:b]))) for r, a, b in zip(rows, cuts, cuts[1:]) if b > a]
 
 
 def joined_spans(docs: np.ndarray, first: np.ndarray, last: np.ndarray):
@@ -573,19 +625,20 @@ def cut_marks(chunks: DataFrame, copies: DataFrame, marks: DataFrame, keep: list
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: tuple[str, ...] = (),
-                   anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+                   anchor: int = ANCHOR, hot: int = HOT, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Remove every byte of a text that lies in a string of ``length`` bytes that also starts in a text with a smaller id.
 
     Texts are their UTF-8 bytes, matches never cross texts, and all strings are judged on the input.  One row per row of ``docs``: id,
     n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes, kept_text, and the columns in ``keep`` (``_kept`` is added to names that clash).  Null texts are empty, and texts
     shorter than ``length`` stay.  Rows that share an id don't remove from each other; a null id counts as larger than all others.
-    No rows in, no rows out.  ``anchor`` has to be smaller than ``length``.
+    No rows in, no rows out.  ``anchor`` has to be smaller than ``length``.  No index holds more than ``group_bytes`` for one anchor.
     """
     chunks = pack_chunks(docs, id_col, text_col, keep)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     anchor = min(anchor, length)
     copies = later_copies(chunks, length)
-    flags = shared_anchors(send_anchors(chunks, copies, buckets, length, anchor), hot)
+    most = group_bytes // (2 * length - anchor + 1)  # contexts with their closing symbols
+    flags = shared_anchors(send_anchors(chunks, copies, buckets, length, anchor), hot, most)
     marks = match_contexts(send_contexts(chunks, copies, flags, buckets, length, anchor), length)
     return cut_marks(chunks, copies, marks, [docs.schema[c] for c in keep])

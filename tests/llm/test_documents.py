@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from edge import LONG, TEXTS, frame
+from edge import LONG, SHARED, TEXTS, frame, words
 from pyspark.sql import functions as F
 
 from gridmill.llm import bigru, crf, licences, mixing, pieces, repetition, runindex, simhash
@@ -135,6 +135,32 @@ def test_removal_by_brute_force(spark, anchor, hot):
     assert got == brute_force_removal(TEXTS, 50) and {r["chunk"] for r in rows} == {"c"}
 
 
+def edges(n):
+    """Texts with one passage in the middle and their own words around it."""
+    return [(i, words(1000 + i, 12) + " " + SHARED + " " + words(5000 + i, 12)) for i in range(n)]
+
+
+@pytest.mark.parametrize("group_bytes", [0, 2_000])
+def test_removal_with_strings_as_hashes(spark, group_bytes):
+    made = [*TEXTS, *((i and i + 100, t) for i, t in edges(80))]
+    rows = runindex.remove_repeats(frame(spark, made).repartition(4), hot=8, group_bytes=group_bytes).collect()
+    got = Counter((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in rows)
+    assert got == brute_force_removal(made, 50)
+
+
+def test_contexts_of_a_common_anchor_are_spread():
+    texts = [t.encode() for _, t in edges(400)]
+    chunk = runindex.Chunk("0-0", np.arange(400), np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8), np.zeros(400, bool))
+    hashes, times, several = runindex.anchor_counts(chunk, 50, 16)
+    flags = (several + 2 * (times > 8) + 4 * (times > 100)).astype(np.uint8)
+    assert times.max() == 400
+    sent = runindex.contexts_of(chunk, [{"bucket": 0, "flags": runindex.pack(flags)}], 16, 50, 16)
+    keys = [runindex.unpack(r["keys"], np.uint64) for r in sent if r["n"]]
+    assert not keys or np.unique(np.concatenate(keys), return_counts=True)[1].max() <= 100
+    strings = np.bincount([r["bucket"] for r in sent if r.get("strings")], [r["strings"] for r in sent if r.get("strings")], 16)
+    assert strings.sum() > 400 and strings.max() < 2 * strings.mean()
+
+
 def test_removal_of_short_strings(spark):
     draw = random.Random(3)
     made = [(i, "".join(draw.choice("ab") for _ in range(draw.randint(0, 60)))) for i in range(60)]
