@@ -13,8 +13,8 @@ from gridmill.llm.common import BASE, INVERSE, byte_view, mixed, powers, text_sl
 TABLE_BITS = 20
 PREFIXES, SUFFIXES = (4, 5, 6, 7, 8, 9), (4,)   # bytes of a word that are features beside the whole word
 SEQUENCE = 64                # words of a chain at most; a chain stays inside one line
-DOCS_PER_CLASS = {1: 400, 0: 2000}  # training bound, and the characters read of each document
-SAMPLE_CHARS = 20_000
+DOCS_PER_CLASS = {1: 400, 0: 2000}  # training bound, and the bytes that a class may hold for each of its documents, on average
+SAMPLE_BYTES = 20_000
 # A feature marks toxic words if it stands in so many toxic training documents, and that much more often than in clean ones.
 SUPPORT, SUPPORT_SHARE, LIFT = 3, 0.01, 5.0
 EPOCHS, CHAINS, RATE, DECAY = 4, 2048, 0.2, 1e-3
@@ -206,19 +206,28 @@ class Tagger:
 
 
 def fit_tagger(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
-               label_col: str = "toxic", per_class: dict[int, int] | None = None, chars: int = SAMPLE_CHARS) -> Tagger:
-    """Train on the driver from a bounded sample: the ``per_class`` labelled, usable ids of least hash, ``chars`` characters of each.
+               label_col: str = "toxic", per_class: dict[int, int] | None = None, mean_bytes: int = SAMPLE_BYTES) -> Tagger:
+    """Train on the driver from a bounded sample: whole texts of the ``per_class`` labelled, usable ids of least hash.
 
-    Rows with a null id, text or label are left out; an id with both labels counts as toxic.
+    Taken in that order, a document that brings its class above ``per_class`` times ``mean_bytes`` is left out as a whole.  Rows with a null id, text or label are left out; an id with both labels counts as toxic.
     """
     bound = DOCS_PER_CLASS if per_class is None else per_class
     marks = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
         F.max(label_col).cast("int").alias("toxic")).withColumn("_order", F.xxhash64("id"))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, chars).alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = []
     for label, n in sorted(bound.items()):
         chosen = marks.where(F.col("toxic") == label).orderBy("_order", "id").limit(n)
-        sample += texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").collect()  # at most n ids are sent
+        found = texts.join(F.broadcast(chosen), "id")  # at most n ids are sent
+        sizes = found.groupBy("_order", "id").agg(F.sum(F.octet_length("text")).alias("size")).orderBy("_order", "id").collect()
+        fitting, left = [], n * mean_bytes
+        for r in sizes:
+            if r["size"] <= left:
+                fitting.append(r["id"])
+                left -= r["size"]
+        if fitting:
+            ids = docs.sparkSession.createDataFrame([(i,) for i in fitting], marks.select("id").schema)
+            sample += texts.join(F.broadcast(ids), "id").select("id", F.lit(label).alias("toxic"), "text").collect()
     rows = sorted({(r["id"], r["toxic"], r["text"]) for r in sample})
     return Tagger.fit([t.encode() for _, _, t in rows], [y for _, y, _ in rows])
 

@@ -416,6 +416,19 @@ def test_toxic_spans_and_scores(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in rows if r["id"] is None or r["id"] >= 1000)
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    made = [(i, "lorem ipsum " * 1_000 * (i + 1) + "blockhead" * (i % 2)) for i in range(12)]
+    seen = []
+    monkeypatch.setattr(crf.Tagger, "fit", lambda texts, toxic: seen.append(sorted(zip(texts, toxic))))
+    crf.fit_tagger(frame(spark, made), labels, F.lit(True), mean_bytes=200_000)
+    assert seen[0] == sorted((t.encode(), i % 2) for i, t in made)
+    crf.fit_tagger(frame(spark, made), labels, F.lit(True), per_class={0: 6, 1: 6}, mean_bytes=20_000)
+    whole = {t.encode() for _, t in made}
+    for label in (0, 1):
+        assert 0 < sum(len(t) for t, y in seen[1] if y == label) <= 120_000 and all(t in whole for t, _ in seen[1])
+
+
 def test_models_without_training_rows(spark):
     docs = frame(spark)
     nothing = bigru.fit_languages(docs, docs["doc_id"] < 0)
