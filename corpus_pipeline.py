@@ -11,8 +11,6 @@ from gridmill.llm import bigru, mixing, pieces, runindex, simhash
 from gridmill.llm.common import held_out, short_batches, staged
 from gridmill.llm.queries import PIECE_MODEL
 
-LEAST_SURE = 0.4  # pooled probability below which a text has no language
-
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The columns that operators read, and the other ones in a struct beside them, so that no name can clash with an operator's."""
@@ -26,10 +24,10 @@ def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those that no language is likely for."""
+    """Drop the documents that the operator finds no language for: those without a letter."""
     network = bigru.fit_languages(docs, ~held_out(F.col("doc_id")))
     found = bigru.predict_languages(_packed(docs), network, keep=("text", "_row")).withColumnRenamed("id", "doc_id")
-    return _unpacked(found.where((F.col("lang_pred") != bigru.UNKNOWN) & (F.col("score") >= LEAST_SURE)), docs.columns)
+    return _unpacked(found.where(F.col("lang_pred") != bigru.UNKNOWN), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from edge import TEXTS, frame
+from pyspark.sql import functions as F
 from test_documents import WORD, brute_force_groups, brute_force_print, brute_force_removal
 
 import corpus_pipeline as pipeline
@@ -37,6 +38,13 @@ def test_stages(stages):
     assert [r.asDict().keys() == source[0].asDict().keys() for part in stages[1:5] for r in part[:1]] == [True] * 4
 
 
+def test_language_keeps_every_lettered_document(spark, monkeypatch):
+    predict = pipeline.bigru.predict_languages
+    monkeypatch.setattr(pipeline.bigru, "predict_languages", lambda *a, **k: predict(*a, **k).withColumn("score", F.lit(0.1)))
+    kept = pipeline.language(spark, frame(spark), FOLDER).collect()
+    assert sorted(r["text"] for r in kept) == sorted(t for _, t in TEXTS if t and any(c.isalpha() for c in t))
+
+
 @pytest.mark.parametrize("rows", [TEXTS, []])
 def test_awkward_documents_pass(spark, rows):
     docs = frame(spark, rows)
