@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bigru, crf, licences, mixing, pieces, pq, repetition, runindex, simhash, warc
+from gridmill.llm import bigru, crf, licences, mixing, pieces, pq, repetition, runindex, simhash, warc, winnow
 from gridmill.llm.common import held_out, short_batches
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -153,3 +153,33 @@ def piece_ids(spark, folder):
     rows = pieces.decode(pieces.encode(docs, PIECE_MODEL, keep=("text_hash",)), PIECE_MODEL)
     same = F.xxhash64("decoded") == F.col("text_hash")
     return rows.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
+WINNOW_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+items AS (
+    SELECT item_id::VARCHAR AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+placed AS (SELECT item, w, least(len(w), 10) AS span, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS pos FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, span, array_to_string(list_slice(w, pos, pos + span - 1), ' ') AS t FROM placed),
+spans AS (SELECT DISTINCT span FROM windows),
+starts AS (SELECT r, w, span, unnest(range(1, len(w) - span + 2)) AS pos FROM docs JOIN spans ON len(w) >= span),
+here AS (SELECT r, span, pos, array_to_string(list_slice(w, pos, pos + span - 1), ' ') AS t FROM starts),
+found AS (SELECT r, span, pos, item FROM here JOIN windows USING (span, t)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(pos, pos + span)) AS p FROM found) GROUP BY r),
+listed AS (
+    SELECT r, count(item) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(listed.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit ON docs.r = hit.r LEFT JOIN listed ON docs.r = listed.r
+"""
+
+
+@query("op12_winnowed_overlap", WINNOW_SQL)
+def winnowed_overlap(spark, folder):
+    rows = winnow.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
