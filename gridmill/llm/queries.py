@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bigru, crf, licences, mixing, pieces, pq, repetition, runindex, simhash, warc, winnow
+from gridmill.llm import bigru, crf, licences, mixing, pieces, pq, repair, repetition, runindex, simhash, warc, winnow
 from gridmill.llm.common import held_out, short_batches
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -183,3 +183,90 @@ FROM docs LEFT JOIN hit ON docs.r = hit.r LEFT JOIN listed ON docs.r = listed.r
 def winnowed_overlap(spark, folder):
     rows = winnow.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS i))),
+given AS (
+    SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations),
+summed AS (
+    SELECT given.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+    FROM given, crc),
+spoilt AS (
+    SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM summed WHERE kind != 0),
+marked AS (
+    SELECT conv, turn, role, text, role[1:1] AS initial,
+           md5(coalesce('c' || conv::VARCHAR, 'n') || ':' || length(role) || ':' || role || ':' || text) AS same
+    FROM spoilt),
+placed AS (
+    SELECT *, row_number() OVER w AS i, lag(initial) OVER w AS before
+    FROM marked WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, same)),
+counting AS (SELECT *, row_number() OVER (PARTITION BY conv, same ORDER BY i) AS nth FROM placed),
+faulty AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+    FROM counting),
+counted AS (
+    SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n,
+           list({'x': initial, 'gone': fault IN ('blank', 'duplicate'), 'cut': CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'role': role, 'text': text}
+                ORDER BY i) AS rows
+    FROM faulty GROUP BY conv),
+parsed AS (
+    SELECT conv, 0 AS i, '0000000000' AS b, NULL::VARCHAR AS s, '0000000002I' AS u, '0000000004II' AS a FROM counted
+    UNION ALL
+    SELECT conv, i, b, s, u, least(a, printf('%010d', u[1:10]::INT + 2) || u[11:] || 'I')
+    FROM (
+        SELECT conv, i, b, s, a, least(u, printf('%010d', b[1:10]::INT + 2) || b[11:] || 'I', printf('%010d', s[1:10]::INT + 2) || s[11:] || 'I',
+                                       printf('%010d', a[1:10]::INT + 2) || a[11:] || 'I') AS u
+        FROM (
+            SELECT conv, i, printf('%010d', b[1:10]::INT + 3) || b[11:] || 'D' AS b,
+                   least(printf('%010d', s[1:10]::INT + 3) || s[11:] || 'D',
+                         CASE WHEN NOT gone AND x = 's' THEN printf('%010d', b[1:10]::INT + cut) || b[11:] || 'K' END) AS s,
+                   least(printf('%010d', u[1:10]::INT + 3) || u[11:] || 'D',
+                         CASE WHEN NOT gone AND x = 'u' THEN least(printf('%010d', b[1:10]::INT + cut) || b[11:] || 'K',
+                             printf('%010d', s[1:10]::INT + cut) || s[11:] || 'K', printf('%010d', a[1:10]::INT + cut) || a[11:] || 'K') END,
+                         CASE WHEN NOT gone THEN least(printf('%010d', b[1:10]::INT + 2 + cut) || b[11:] || 'R',
+                             printf('%010d', s[1:10]::INT + 2 + cut) || s[11:] || 'R', printf('%010d', a[1:10]::INT + 2 + cut) || a[11:] || 'R') END) AS u,
+                   least(printf('%010d', a[1:10]::INT + 3) || a[11:] || 'D',
+                         CASE WHEN NOT gone AND x = 'a' THEN printf('%010d', u[1:10]::INT + cut) || u[11:] || 'K' END,
+                         CASE WHEN NOT gone THEN printf('%010d', u[1:10]::INT + 2 + cut) || u[11:] || 'R' END) AS a
+            FROM (
+                SELECT p.conv, p.i + 1 AS i, b, s, u, a, rows[p.i + 1].x AS x, rows[p.i + 1].gone AS gone, rows[p.i + 1].cut AS cut
+                FROM parsed p JOIN counted c ON p.conv IS NOT DISTINCT FROM c.conv WHERE p.i < c.n)))),
+chosen AS (
+    SELECT c.*, least(b, a)[1:10]::BIGINT AS cost, least(b, a)[11:] AS audit
+    FROM parsed p JOIN counted c ON p.conv IS NOT DISTINCT FROM c.conv WHERE p.i = c.n),
+edited AS (
+    SELECT conv, 0 AS k, 0 AS i, '' AS state, []::VARCHAR[] AS out FROM chosen
+    UNION ALL
+    SELECT conv, k, i, CASE WHEN e = 'D' THEN state ELSE role[1:1] END, CASE WHEN e = 'D' THEN out ELSE list_append(out, role || ':' || text) END
+    FROM (
+        SELECT q.conv, k + 1 AS k, CASE WHEN e = 'I' THEN i ELSE i + 1 END AS i, e, state, out,
+               CASE WHEN e = 'K' THEN rows[i + 1].role WHEN state = 'u' THEN 'assistant' ELSE 'user' END AS role,
+               CASE WHEN e = 'I' THEN '' ELSE rows[i + 1].text END AS text
+        FROM (SELECT d.*, c.rows, c.audit[d.k + 1:d.k + 1] AS e FROM edited d JOIN chosen c ON d.conv IS NOT DISTINCT FROM c.conv WHERE d.k < length(c.audit)) q)),
+done AS (SELECT d.conv, sha256(array_to_string(out, chr(10))) AS h FROM edited d JOIN chosen c ON d.conv IS NOT DISTINCT FROM c.conv WHERE k = length(audit))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN chosen c ON o.conv_id IS NOT DISTINCT FROM c.conv LEFT JOIN done ON o.conv_id IS NOT DISTINCT FROM done.conv
+"""
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
+def conversation_repair(spark, folder):
+    rows = table(spark, folder, "conversations")
+    fixed = repair.repair(repair.damaged(rows), rows.select(F.col("conv_id").alias("conv")))
+    return fixed.withColumnRenamed("id", "conv_id")
