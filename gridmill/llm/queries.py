@@ -6,11 +6,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bigru, crf, licences, mixing, pieces, pq, repair, repetition, runindex, simhash, warc, winnow
+from gridmill.llm import align, bigru, crf, licences, mixing, pieces, pq, repair, repetition, runindex, simhash, warc, winnow
 from gridmill.llm.common import held_out, short_batches
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
+BYTE_MODEL = os.environ.get("BYTE_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -270,3 +272,9 @@ def conversation_repair(spark, folder):
     rows = table(spark, folder, "conversations")
     fixed = repair.repair(repair.damaged(rows), rows.select(F.col("conv_id").alias("conv")))
     return fixed.withColumnRenamed("id", "conv_id")
+
+
+@query("op11_token_alignment")
+def token_alignment(spark, folder):
+    found, _ = align.align(table(spark, folder, "documents"), BYTE_MODEL, PIECE_MODEL)
+    return found.withColumnRenamed("id", "doc_id")
