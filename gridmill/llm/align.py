@@ -31,7 +31,8 @@ KNOWN_UNITS = 1 << 17   # units that a task remembers, and their bytes
 KNOWN_BYTES = 1 << 23
 NEXT = 1 << 16          # above all ids of either side: a pair is a * NEXT + b
 # A single space between two of these is where a token of either side begins, in any context.
-CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ]) (?=[!-~À-ÖØ-öø-ÿ])")
+SOLID = "[!-~À-ÖØ-öø-ÿ]"
+CUT = re.compile(f"(?<={SOLID}) (?={SOLID})")
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,7 +63,7 @@ class Sides:
              else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         self.texts = a, b
         # Texts are cut at spaces only if no token of either side runs over such a place.
-        self.cuts = not any(re.search(r"[^ ] ", t.decode("utf-8", "replace")) for side in self.texts for t in side)
+        self.cuts = not any(re.search(f"{SOLID} ", t.decode("utf-8", "replace")) for side in self.texts for t in side)
 
     def units(self, text: str) -> list[str]:
         """Parts of a text that both sides cut alone as they do inside it, each without the space before it."""
