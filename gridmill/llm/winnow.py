@@ -29,22 +29,23 @@ def worded(rows: DataFrame, text_col: str, *columns: Column) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Winnowed fingerprints of the words ``w``: the keys, span, print, and the first and last window that has it.
+    """Winnowed fingerprints of the words ``w``: the keys, span, print, at (the first window that has it) and t, the words of all windows in a row that have it.
 
     Hashes of k words are taken at every place, k being half of the span; of the hashes inside each window of ``span`` words the smallest is
     kept.  Windows in a row with the same smallest hash give one row.
     """
     k = (span + 1) // 2
     width = span - k + 1
-    long = rows.where(F.size("w") >= span).select(*keys, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    long = rows.where(F.size("w") >= span).select(*keys, "w", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     grams = F.transform(F.sequence(F.lit(0), F.size("h") - k), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(k))))
     least = lambda i: F.least(*(F.get("g", i + j) for j in range(width))) if width > 1 else F.get("g", i)
     smallest = F.transform(F.sequence(F.lit(0), F.size("g") - width), least)
     starts = F.filter(F.sequence(F.lit(0), F.size("m") - 1), lambda i: (i == 0) | (F.get("m", i) != F.get("m", i - 1)))
+    windows = lambda at, i: F.coalesce(F.get("s", i + 1), F.size("m")) - at
     runs = F.transform("s", lambda at, i: F.struct(
-        F.get("m", at).alias("print"), at.alias("first"), (F.coalesce(F.get("s", i + 1), F.size("m")) - 1).alias("last")))
-    out = long.select(*keys, grams.alias("g")).select(*keys, smallest.alias("m")).select(*keys, "m", starts.alias("s"))
-    return out.select(*keys, F.lit(span).alias("span"), F.explode(runs).alias("r")).select(*keys, "span", "r.print", "r.first", "r.last")
+        F.get("m", at).alias("print"), at.alias("at"), F.array_join(F.slice("w", at + 1, windows(at, i) + (span - 1)), " ").alias("t")))
+    out = long.select(*keys, "w", grams.alias("g")).select(*keys, "w", smallest.alias("m")).select(*keys, "w", "m", starts.alias("s"))
+    return out.select(*keys, F.lit(span).alias("span"), F.explode(runs).alias("r")).select(*keys, "span", "r.print", "r.at", "r.t")
 
 
 def windows_at(rows: DataFrame, keys: list[str], places: Column, span: Column) -> DataFrame:
@@ -70,8 +71,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     of a document are hashed as its sorted ids with commas between them.  Rows with equal texts are compared once; without
     documents there are no rows, without items no hits.
 
-    Texts are known by a 128-bit digest of their bytes.  Fingerprints of documents meet the distinct fingerprints of the items, so no pairs arise; only texts with a
-    hit are read again.  Which items a document holds is looked up once per distinct set of items.
+    Texts are known by a 128-bit digest of their bytes.  Fingerprints of documents, each with the words of its windows, meet the distinct fingerprints of the
+    items: no pairs arise, no text is read again, and nothing of the documents is shuffled but hits while Spark can broadcast
+    the fingerprints.  Which items a document holds is looked up once per distinct set of items.
     """
     windows = staged(item_windows(items, item_id, item_text, window), "windows")
     spans = sorted(r["span"] for r in windows.select("span").distinct().collect())  # at most ``window`` values
@@ -81,7 +83,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = None
     for span in spans:
         known = fingerprints(of_items.where(F.size("w") == span), [], span).select("span", "print").distinct()
-        found = fingerprints(of_docs, ["key"], span).join(known, ["span", "print"], "left_semi").select("key", "span", "first", "last")
+        found = fingerprints(of_docs, ["key"], span).join(known, ["span", "print"], "left_semi").select("key", "span", "at", "t")
         hits = found if hits is None else hits.union(found)
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("key"),
                        F.size(words_of(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("n_words"),
@@ -95,14 +97,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                            F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), *kept)
     hits = staged(hits.distinct(), "hits")
     # A hit is extended to the windows around it; each is compared with the windows of the items as a whole.
-    touched = texts.join(hits.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
-    places = hits.groupBy("key", "span").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    around = worded(touched, "text", F.col("key")).join(places, "key").select(
-        "key", "span", "w", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))).alias("places"))
+    around = hits.select("key", "span", F.col("at").alias("from"), F.split("t", " ").alias("w"))
+    around = windows_at(around, ["key", "from"], F.sequence(F.lit(0), F.size("w") - F.col("span")), F.col("span")).select(
+        "key", "span", (F.col("from") + F.col("at")).alias("at"), "t")
     sets = windows.groupBy("span", "t").agg(F.concat_ws(
         ":", F.count("item"), F.bit_xor(F.xxhash64("item")), F.bit_xor(F.xxhash64("item", F.lit(1)))).alias("set"))
     sets = staged(sets, "sets")
-    occurring = windows_at(around, ["key"], F.col("places"), F.col("span")).join(sets, ["span", "t"])
+    occurring = around.join(sets, ["span", "t"])
     per_text = occurring.groupBy("key").agg(
         F.collect_set(F.struct("at", "span")).alias("windows"),
         F.array_sort(F.collect_set("set")).alias("sets"))
