@@ -13,7 +13,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,8 @@ class Sides:
         b = [b"" if self.b.is_control(i) or self.b.is_unknown(i) else bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i)
              else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         self.texts = a, b
+        self.sizes = [len(t) for t in a], [len(t) for t in b]
+        self.numbers = [str(i) for i in range(max(len(a), len(b)))]
         # Texts are cut at spaces only if no token of either side runs over such a place.
         self.cuts = not any(re.search(f"{SOLID} ", t.decode("utf-8", "replace")) for side in self.texts for t in side)
 
@@ -73,22 +75,33 @@ class Sides:
         """For each unit, with a space before it: tokens of A and of B, groups, their text, the linked pairs; None if bytes are lost."""
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         ids_b = self.b.encode(units, num_threads=1)
+        (texts_a, texts_b), (sizes_a, sizes_b), number, join = self.texts, self.sizes, self.numbers, b"".join
         out = []
         for unit, a, b in zip(units, ids_a, ids_b):
             whole = (" " + unit).encode()
-            bytes_a, bytes_b = [self.texts[0][i] for i in a], [self.texts[1][i] for i in b]
-            if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            if join([texts_a[i] for i in a]) != whole or join([texts_b[i] for i in b]) != whole:
                 out.append(None)
                 continue
-            ends_a = {end: n for n, end in enumerate(accumulate(map(len, bytes_a)), 1)}
-            text, pairs, p, q = [], [], 0, 0
-            for n, end in enumerate(accumulate(map(len, bytes_b)), 1):
-                m = ends_a.get(end)
-                if m:
-                    text.append(",".join(map(str, a[p:m])) + "|" + ",".join(map(str, b[q:n])))
-                    pairs.append(a[m - 1] * NEXT + b[n - 1])
-                    p, q = m, n
-            out.append((len(a), len(b), len(pairs), ";".join(text), np.array(pairs, np.int64)))
+            text, pairs, p, q, i, j, end_a, end_b = [], [], 0, 0, 0, 0, sizes_a[a[0]], sizes_b[b[0]]
+            while True:
+                if end_a < end_b:
+                    i += 1
+                    end_a += sizes_a[a[i]]
+                elif end_b < end_a:
+                    j += 1
+                    end_b += sizes_b[b[j]]
+                else:
+                    i, j = i + 1, j + 1
+                    left = number[a[p]] if i - p == 1 else ",".join([number[x] for x in a[p:i]])
+                    right = number[b[q]] if j - q == 1 else ",".join([number[x] for x in b[q:j]])
+                    text.append(f"{left}|{right}")
+                    pairs.append(a[i - 1] * NEXT + b[j - 1])
+                    p, q = i, j
+                    if i == len(a):
+                        break
+                    end_a += sizes_a[a[i]]
+                    end_b += sizes_b[b[j]]
+            out.append((len(a), len(b), len(pairs), ";".join(text), pairs))
         return out
 
 
@@ -98,21 +111,27 @@ def sides(byte_model: str, piece_model: str) -> Sides:
 
 
 class Memory:
-    """Alignments of the units met so far, bounded in number and bytes."""
+    """Alignments of the units met lately: two generations of a bounded number and size; what is met again moves to the new one."""
 
     def __init__(self, both: Sides):
-        self.both, self.known, self.bytes = both, {}, 0
+        self.both, self.old, self.new, self.bytes = both, {}, {}, 0
 
     def of(self, units: list[str]) -> list[tuple]:
-        new = list(dict.fromkeys(u for u in units if u not in self.known))
-        if new:
-            size = sum(map(len, new))
-            if len(self.known) + len(new) > KNOWN_UNITS or self.bytes + size > KNOWN_BYTES:
-                new, self.known, self.bytes = list(dict.fromkeys(units)), {}, 0
-                size = sum(map(len, new))
-            self.bytes += size
-            self.known.update(zip(new, self.both.align(new)))
-        return [self.known[u] for u in units]
+        missing = []
+        for unit in set(units):
+            if unit not in self.new:
+                if unit in self.old:
+                    self.new[unit] = self.old[unit]
+                    self.bytes += len(unit)
+                else:
+                    missing.append(unit)
+        if missing:
+            self.new.update(zip(missing, self.both.align(missing)))
+            self.bytes += sum(map(len, missing))
+        out = [self.new[u] for u in units]
+        if len(self.new) > KNOWN_UNITS or self.bytes > KNOWN_BYTES:
+            self.old, self.new, self.bytes = self.new if self.bytes <= 2 * KNOWN_BYTES else {}, {}, 0
+        return out
 
 
 def containers(slots: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -217,7 +236,7 @@ def _indexed(rows: DataFrame, byte_model: str, piece_model: str) -> DataFrame:
                     bounds.append(len(units))
                 found = memory.of(units)
                 columns = {n: [] for n in ("n_a", "n_b", "n_groups", "groups_sha256")}
-                pairs, owners = [np.zeros(0, np.int64)], []
+                pairs, owners = [], []
                 for i, (x, y) in enumerate(zip(bounds, bounds[1:])):
                     mine = found[x:y]
                     mine = [] if None in mine else mine
@@ -231,7 +250,7 @@ def _indexed(rows: DataFrame, byte_model: str, piece_model: str) -> DataFrame:
                 yield batch_of(n, part=pa.array(["doc"] * n), block=pa.array(np.full(n, block)), kept=batch.column("kept").slice(lo, n),
                                slot=pa.array(np.arange(slot, slot + n)), n_links=pa.array(owners, pa.int64()),
                                **{k: pa.array(v, pa.string() if k == "groups_sha256" else pa.int64()) for k, v in columns.items()})
-                key = np.concatenate(pairs) * BLOCK_DOCS + np.repeat(np.arange(slot, slot + n), owners)
+                key = np.fromiter(chain.from_iterable(pairs), np.int64) * BLOCK_DOCS + np.repeat(np.arange(slot, slot + n), owners)
                 key, count = merged([key], [np.ones(len(key), np.int64)])
                 if len(key):
                     keys.append(key)
