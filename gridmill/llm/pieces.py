@@ -15,11 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridmill.llm.common import byte_view, kept_as, span_hashes, text_slices
+from gridmill.llm.common import byte_view, frugal, kept_as, span_hashes, text_slices
 from gridmill.llm.runindex import gathered, suffix_order
 
 BATCH_BYTES = 1 << 20  # text whose distinct words are encoded together
 INDEX_BYTES = 1 << 17  # words that are indexed at once
+WINDOW_BYTES = 1 << 18  # a longer word is indexed in parts, its lattice goes on across them
+LONG_WORD = 256        # longer words are cut where no piece can span
+KNOWN_WORDS = 1 << 18  # words whose encoding a task remembers
 DECODE_IDS = 1 << 17   # ids decoded together
 MARK = "▁"  # the model's sign for a space
 SPACE = 32       # stands for it in the index
@@ -141,11 +144,20 @@ class Lattice:
         self.depth = -(-int(self.sizes.max()) // 8) * 8
         self.words = np.frombuffer(b"".join(t.ljust(self.depth, b"\0") for t in texts), ">u8").reshape(len(texts), -1).astype(np.uint64)
         self.known, self.answer = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.joined = np.zeros((256, 256), bool)  # bytes that stand side by side in a piece
+        for t in texts:
+            pair = np.frombuffer(t, np.uint8)
+            self.joined[pair[:-1], pair[1:]] = True
+        # Words met lately: hash, number of the last batch that had it, and where its ids lie in the pool.
+        self.batch = 0
+        self.words_known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
 
     def occurrences(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start place and piece (its number among the usable ones) of every occurrence of every piece."""
-        order, _ = suffix_order(symbols, ends)
         n = len(symbols)
+        ends = np.minimum(ends, np.arange(n) + self.depth)  # no piece is longer
+        order, _ = suffix_order(symbols, ends)
         padded = np.concatenate((symbols, np.zeros(8, np.uint8)))
         words = np.zeros(n, np.uint64)
         for j in range(8):
@@ -200,30 +212,34 @@ class Lattice:
         unk = self.pieces.size
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        begin, which = self.occurrences(symbols, np.repeat(ends, ends - starts))
-        size, piece = self.sizes[which], self.ids[which].astype(np.int64)
-        lead = np.flatnonzero((symbols & 0xC0) != 0x80)
-        covered = np.zeros(len(symbols), bool)
-        covered[begin[self.single[which]]] = True
-        lone = lead[~covered[lead]]
-        width = np.append(lead[1:], len(symbols))[np.searchsorted(lead, lone)] - lone
-        begin, size, piece = np.concatenate((begin, lone)), np.concatenate((size, width)), np.concatenate((piece, np.full(len(lone), unk)))
-        base = np.repeat(starts, ends - starts)
-        stop = begin + size - base[begin]
-        order = np.argsort(stop, kind="stable")
-        begin, size, piece, stop = begin[order], size[order], piece[order], stop[order]
+        whole, starts, ends = (starts, *self.cut(symbols, starts, ends))
+        base, stops = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
         # A boundary is kept by the place before it, so that the end of a word and the start of the next are two.
         last, length = np.full(len(symbols) + 1, NONE, np.int64), np.ones(len(symbols) + 1, np.int64)
-        cuts = np.searchsorted(stop, np.arange(1, int((ends - starts).max()) + 2))
-        first = begin == base[begin]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            before = np.where(first[lo:hi], START, last[begin[lo:hi] - 1])
-            ok = before != NONE
-            ok[ok] = self.fits(before[ok], piece[lo:hi][ok])
-            at = begin[lo:hi][ok] + size[lo:hi][ok] - 1
-            last[at], length[at] = piece[lo:hi][ok], size[lo:hi][ok]
+        for low in range(0, len(symbols), WINDOW_BYTES):
+            high = min(low + WINDOW_BYTES, len(symbols))
+            far = min(high + self.depth, len(symbols))
+            begin, which = self.occurrences(symbols[low:far], np.minimum(stops[low:far], far) - low)
+            own = begin < high - low
+            begin, which = begin[own] + low, which[own]
+            size, piece = self.sizes[which], self.ids[which].astype(np.int64)
+            lead = np.flatnonzero((symbols[low:far] & 0xC0) != 0x80) + low
+            covered = np.zeros(far - low, bool)
+            covered[begin[self.single[which]] - low] = True
+            lone = lead[(lead < high) & ~covered[lead - low]]
+            width = np.append(lead[1:], len(symbols))[np.searchsorted(lead, lone)] - lone
+            begin, size, piece = np.concatenate((begin, lone)), np.concatenate((size, width)), np.concatenate((piece, np.full(len(lone), unk)))
+            stop = begin + size - base[begin]
+            order = np.argsort(stop, kind="stable")
+            begin, size, piece, stop = begin[order], size[order], piece[order], stop[order]
+            cuts = [0, *(np.flatnonzero(np.diff(stop)) + 1).tolist(), len(stop)]
+            first = begin == base[begin]
+            for lo, hi in zip(cuts, cuts[1:]):
+                before = np.where(first[lo:hi], START, last[begin[lo:hi] - 1])
+                ok = before != NONE
+                ok[ok] = self.fits(before[ok], piece[lo:hi][ok])
+                at = begin[lo:hi][ok] + size[lo:hi][ok] - 1
+                last[at], length[at] = piece[lo:hi][ok], size[lo:hi][ok]
         place, word = ends - 1, np.arange(len(starts))
         chain = []
         while len(place):
@@ -239,7 +255,56 @@ class Lattice:
         raw = np.flatnonzero(out == unk)
         nth = np.arange(len(out)) - np.repeat(np.cumsum(wide) - wide, wide)
         out[raw] = unk + symbols[(np.repeat(place - length[place] + 1, wide) + nth)[raw]].astype(np.int64)
-        return out, np.bincount(word, minlength=len(starts))
+        return out, np.add.reduceat(np.bincount(word, minlength=len(starts)), np.searchsorted(starts, whole))
+
+    def cut(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the words' parts: long words are cut between characters whose bytes stand side by side in no piece, so that no merge runs over a cut."""
+        places = [starts]
+        for lo, hi in zip(*(x[ends - starts > LONG_WORD].tolist() for x in (starts, ends))):
+            at = np.arange(lo + 1, hi)
+            places.append(at[((symbols[lo + 1:hi] & 0xC0) != 0x80) & ~self.joined[symbols[lo:hi - 1], symbols[lo + 1:hi]]])
+        parts = np.sort(np.concatenate(places))
+        return parts, np.append(parts[1:], len(symbols))
+
+    def encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words in these spans, each with a space before it: a pool of ids, and where each word's ids lie in it."""
+        pieces = self.pieces
+        hashes, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        known, used, head, count = self.words_known
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        new = known[at] != hashes if len(known) else np.ones(len(hashes), bool)
+        self.batch += 1
+        used[at[~new]] = self.batch
+        fresh = one[new]
+        size = ends[fresh] - starts[fresh]
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size + 1) // INDEX_BYTES)) + 1).tolist(), len(fresh)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = size[lo:hi]
+            place = np.cumsum(part + 1) - part - 1
+            symbols = np.full(int((part + 1).sum()), SPACE, np.uint8)
+            symbols[np.repeat(place + 1 - (np.cumsum(part) - part), part) + np.arange(part.sum())] = gathered(data, starts[fresh[lo:hi]], part)
+            parts.append(self.encode(symbols, place, place + part + 1))
+        tokens, counts = (np.concatenate(x) for x in zip(*parts))
+        tokens = np.concatenate((np.arange(pieces.size), pieces.byte_ids))[tokens].astype(np.int32)
+        known = np.concatenate((known, hashes[new]))
+        used = np.concatenate((used, np.full(len(fresh), self.batch)))
+        head = np.concatenate((head, len(self.pool) + np.cumsum(counts) - counts))
+        count = np.concatenate((count, counts))
+        order = np.argsort(known, kind="stable")
+        known, used, head, count = known[order], used[order], head[order], count[order]
+        pool = np.concatenate((self.pool, tokens))
+        at = np.searchsorted(known, hashes)
+        found = head[at][back], count[at][back]
+        if len(known) > KNOWN_WORDS or len(pool) > 4 * KNOWN_WORDS:  # the latest half stays
+            keep = used >= max(np.partition(used, len(used) // 2)[len(used) // 2], self.batch)
+            keep &= np.cumsum(np.where(keep, count, 0)) <= 2 * KNOWN_WORDS
+            kept = count[keep]
+            self.pool = gathered(pool, head[keep], kept)
+            self.words_known = known[keep], used[keep], np.cumsum(kept) - kept, kept
+        else:
+            self.pool, self.words_known = pool, (known, used, head, count)
+        return pool, *found
 
 
 def encode_texts(lattice: Lattice, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,25 +316,12 @@ def encode_texts(lattice: Lattice, data: np.ndarray, bounds: np.ndarray) -> tupl
     starts = np.flatnonzero(inside & (~np.append(False, inside[:-1]) | edge[:-1]))
     ends = np.flatnonzero(inside & (~np.append(inside[1:], False) | edge[1:])) + 1
     owner = np.searchsorted(bounds, starts, side="right") - 1
-    _, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    size = ends[one] - starts[one]
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size + 1) // INDEX_BYTES)) + 1).tolist(), len(one)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        part = size[lo:hi]
-        at = np.cumsum(part + 1) - part - 1   # every distinct word with one space before it
-        symbols = np.full(int((part + 1).sum()), SPACE, np.uint8)
-        symbols[np.repeat(at + 1 - (np.cumsum(part) - part), part) + np.arange(part.sum())] = gathered(data, starts[one[lo:hi]], part)
-        parts.append(lattice.encode(symbols, at, at + part + 1))
-    tokens, counts = (np.concatenate(x) for x in zip(*parts))
-    table = np.concatenate((np.arange(pieces.size), pieces.byte_ids))
-    tokens = table[tokens].astype(np.int32)
-    head = np.cumsum(counts) - counts
+    tokens, head, counts = lattice.encoded(data, starts, ends)
     bare = tokens[head] == pieces.runs[1][0] if len(head) else np.zeros(0, bool)  # the space has not merged with the word
     # Spaces before each word, and after the last one of a text; a text begins with one more.
     new = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
     gap = starts - np.where(new, bounds[owner] - 1, np.append(0, ends[:-1])) if len(owner) else starts
-    gap = gap - 1 + bare[back]
+    gap = gap - 1 + bare
     stop = bounds[:-1] - 1
     stop[owner] = ends  # the last word of a text stays
     tail = np.where(np.diff(bounds) > 0, bounds[1:] - stop, 0)
@@ -277,8 +329,8 @@ def encode_texts(lattice: Lattice, data: np.ndarray, bounds: np.ndarray) -> tupl
     part_owner = np.concatenate((owner, np.arange(texts)))
     order = np.argsort(part_owner, kind="stable")
     run = np.concatenate((gap, tail))[order]
-    source = np.concatenate((head[back] + bare[back], np.zeros(texts, np.int64)))[order]
-    n_word = np.concatenate((counts[back] - bare[back], np.zeros(texts, np.int64)))[order]
+    source = np.concatenate((head + bare, np.zeros(texts, np.int64)))[order]
+    n_word = np.concatenate((counts - bare, np.zeros(texts, np.int64)))[order]
     most = pieces.most
     n_run = run // most + np.array([len(x) for x in pieces.runs])[run % most]
     total = n_run + n_word
@@ -326,7 +378,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             lists = pc.if_else(empty, pa.scalar(None, lists.type), lists) if empty.true_count else lists
             yield pa.RecordBatch.from_arrays([batch.column("kept"), lists], ["kept", "ids"])
 
-    out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    out = rows.mapInArrow(frugal(run), T.StructType([rows.schema["kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.select(F.col(f"kept.{id_col}").alias("id"), "ids", *(F.col(f"kept.{c}").alias(kept_as(c, ["id", "ids"])) for c in keep))
 
 
@@ -347,5 +399,5 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
                 texts += decode_ids(shared.value, flat[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))], ["row", "text"])
 
-    out = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("text", T.StringType())]))
+    out = packed.mapInArrow(frugal(run), T.StructType([packed.schema["row"], T.StructField("text", T.StringType())]))
     return out.select("row.*", F.col("text").alias(out_col))
