@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from gridmill.llm.common import byte_view, kept_as, text_slices
+from gridmill.llm.common import byte_view, frugal, kept_as, text_slices
 
 WINDOW = 64            # bytes that a pass reads together; texts are cut into such windows from end to end
 HIDDEN = 8             # state size of each direction
@@ -218,6 +218,6 @@ def predict_languages(docs: DataFrame, network: Network, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(names[best].tolist(), pa.string()), pa.array(score)],
                                              ["kept", "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    out = rows.mapInArrow(frugal(run), T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     results = ["id", "lang_pred", "score"]
     return out.select(F.col(f"kept.{id_col}").alias("id"), *results[1:], *(F.col(f"kept.{c}").alias(kept_as(c, results)) for c in keep))

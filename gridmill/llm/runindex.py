@@ -20,7 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridmill.llm.common import BASE, INVERSE, byte_view, kept_as, mixed, powers, span_hashes, staged, text_slices
+from gridmill.llm.common import BASE, INVERSE, byte_view, frugal, kept_as, mixed, powers, span_hashes, staged, text_slices
 
 CHUNK_BYTES = 16 << 20   # text that a chunk holds; a longer text is a chunk of its own
 SLICE_BYTES = 1 << 20    # text whose anchors are found at once
@@ -308,7 +308,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ..
                 "digests": [digests], "blob": [squeeze(raw)], "rest": [squeeze(sink.getvalue().to_pybytes())]})
             number += 1
 
-    return staged(rows.mapInArrow(run, "chunk string, bytes long, ids binary, bounds binary, digests binary, blob binary, rest binary"), "chunks")
+    return staged(rows.mapInArrow(frugal(run), "chunk string, bytes long, ids binary, bounds binary, digests binary, blob binary, rest binary"), "chunks")
 
 
 def later_copies(chunks: DataFrame, length: int) -> DataFrame:
@@ -323,7 +323,7 @@ def later_copies(chunks: DataFrame, length: int) -> DataFrame:
                     [digests.take(pa.array(no)).cast(pa.binary()), pa.array(unpack(row["ids"], np.int64)[no]), pa.array([row["chunk"]] * len(no), pa.string()),
                      pa.array(no.astype(np.int32))], ["digest", "id", "chunk", "no"])
 
-    texts = chunks.select("chunk", "ids", "bounds", "digests").mapInArrow(run, "digest binary, id long, chunk string, no int")
+    texts = chunks.select("chunk", "ids", "bounds", "digests").mapInArrow(frugal(run), "digest binary, id long, chunk string, no int")
     first = staged(texts.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
     return staged(texts.join(first, "digest").where("id > first").groupBy("chunk").agg(F.collect_list("no").alias("copies")), "copies")
 
@@ -344,7 +344,7 @@ def beside_chunks(chunks: DataFrame, other: DataFrame, run, schema) -> DataFrame
     def call(left: pa.Table, right: pa.Table) -> pa.Table:
         return run(left.to_pylist()[0], right)
 
-    return chunks.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(call, schema)
+    return chunks.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(frugal(call), schema)
 
 
 def send_anchors(chunks: DataFrame, copies: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
@@ -375,7 +375,7 @@ def shared_anchors(sent: DataFrame, hot: int, most: int) -> DataFrame:
         parts = np.split(flags, np.cumsum(table["n"].to_numpy())[:-1])
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "flags": pa.array([pack(x) for x in parts], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(run, "chunk string, bucket int, flags binary")
+    return sent.groupBy("bucket").applyInArrow(frugal(run), "chunk string, bucket int, flags binary")
 
 
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("ids", pa.binary()), ("docs", pa.binary()),
@@ -518,7 +518,7 @@ def match_contexts(sent: DataFrame, length: int) -> DataFrame:
         return pa.table({"chunk": pa.array(list(per_chunk), pa.string()),
                          "marks": pa.array([pack_marks(*np.concatenate(m, axis=1)) for m in per_chunk.values()], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(run, "chunk string, marks binary")
+    return sent.groupBy("bucket").applyInArrow(frugal(run), "chunk string, marks binary")
 
 
 def marks_in(rows: list[dict], length: int) -> list[tuple[str, np.ndarray]]:

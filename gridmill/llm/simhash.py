@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridmill.llm.common import staged, text_slices
+from gridmill.llm.common import frugal, staged, text_slices
 from gridmill.llm.graph import components, join_roots
 
 SHARD_ROWS = 400_000  # fingerprints indexed at once in a task
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(found)], ["id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, fp long")
+    return rows.mapInArrow(frugal(run), f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 class Forest:
@@ -155,7 +155,7 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
         if count:
             yield links(pa.Table.from_batches(held))
 
-    return routed.mapInArrow(run, "a long, b long")
+    return routed.mapInArrow(frugal(run), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2,
