@@ -10,8 +10,9 @@ from itertools import accumulate
 import numpy as np
 import pytest
 from edge import SCHEMA, SHARED, frame, words
+from pyspark.sql import functions as F
 
-from gridmill.llm import align, repair, winnow
+from gridmill.llm import align, pieces, repair, winnow
 from gridmill.llm.queries import BYTE_MODEL, PIECE_MODEL, QUERIES, SQL
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -311,3 +312,34 @@ def test_bitmaps_keep_their_members():
 def test_queries_are_registered():
     assert {"op11_token_alignment", "op12_winnowed_overlap", "op13_conversation_repair"} <= set(QUERIES)
     assert {"op12_winnowed_overlap", "op13_conversation_repair"} <= set(SQL)
+
+
+# ---- pieces of long words, remembered words, corpora without labels ----
+
+def test_long_words_and_remembered_words_match_the_library(spark, models, monkeypatch):
+    draw = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(draw.choice(letters) for _ in range(40_000)), "a" * 3_000, "the" * 2_000, "日本語" * 900 + " é" * 5, "x" + "😀" * 400,
+             "".join(draw.choice("theandingo") for _ in range(6_000))] + [words(i, 50) for i in range(200)] * 2
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(pieces, "BATCH_BYTES", 20_000)
+    for window, known in ((1 << 18, 1 << 18), (1_000, 500)):
+        monkeypatch.setattr(pieces, "WINDOW_BYTES", window)
+        monkeypatch.setattr(pieces, "KNOWN_WORDS", known)
+        got = {r["id"]: r["ids"] for r in pieces.encode(table, PIECE_MODEL).collect()}
+        assert all(got[i] == models[1].encode(t) for i, t in enumerate(texts))
+
+
+def test_a_word_of_many_megabytes(spark):
+    lattice = pieces.Lattice(pieces.load(PIECE_MODEL))
+    word = np.random.default_rng(3).integers(48, 58, 9 << 20).astype(np.uint8)
+    ids, bounds = pieces.encode_texts(lattice, word, np.array([0, len(word)]))
+    assert bounds.tolist() == [0, len(word) + 1] and len(set(ids.tolist())) == 11
+
+
+def test_documents_without_labels_stay(spark):
+    import corpus_pipeline
+    docs = frame(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs, "")
+    want = [t for t in (r["text"] for r in docs.collect()) if t and any(c.isalpha() for c in t)]
+    assert kept.columns == docs.columns and Counter(r["text"] for r in kept.collect()) == Counter(want)
