@@ -24,10 +24,14 @@ def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the operator finds no language for: those without a letter."""
+    """Drop the documents that the operator rejects: those without a letter, null texts among them.
+
+    Without a labelled document nothing is learned and every text is unknown; then only those without a letter go.
+    """
     network = bigru.fit_languages(docs, ~held_out(F.col("doc_id")))
     found = bigru.predict_languages(_packed(docs), network, keep=("text", "_row")).withColumnRenamed("id", "doc_id")
-    return _unpacked(found.where(F.col("lang_pred") != bigru.UNKNOWN), docs.columns)
+    known = F.col("lang_pred") != bigru.UNKNOWN if network.languages else F.col("text").rlike(r"\p{L}")
+    return _unpacked(found.where(known), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
