@@ -8,7 +8,7 @@ from gridmill.registry.base import query
 from gridmill.registry.files import PAYLOAD_ROWS
 from gridmill.registry.relations import FAILURES, STREAK_SQL
 from gridmill.session import scratch_path
-from gridmill.streaming import jobs as J
+from gridmill.streaming import jobs as J, keyed as K
 
 
 def _events(t, table="events"):
@@ -96,3 +96,58 @@ def _(t):
     known = J.enrich(_events(t, "documents").select("doc_id"), t.labels.select("doc_id").distinct(), "doc_id", "left_semi")
     J.run_available(J.append(known, out, checkpoint))
     return t.spark.read.parquet(out)
+
+
+# The events as a log of eight files: five days a file, every seventh event one file late, every fiftieth three.
+LOG_FILES, DELAY = 8, "2 days"
+LOG = """
+    a AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t,
+                 least(date_diff('day', DATE '2024-01-01', ts::DATE) // 5
+                       + CASE WHEN event_id % 50 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, 7) AS b FROM events),
+    h AS (SELECT b, max(max(t)) OVER (ORDER BY b) AS high FROM a GROUP BY b),
+    told AS (SELECT a.*, coalesce(t <= ((SELECT max(high) FROM h WHERE h.b <= a.b - 2) // 1000 - 172800000) * 1000, FALSE) AS late FROM a),
+    kept AS (SELECT * FROM told WHERE NOT late),
+    passed AS (SELECT (max(t) // 1000 - 172800000) * 1000 AS m FROM a)"""
+
+
+def _log(t):
+    """The events as files in the order of arrival, one file a batch."""
+    path = scratch_path(t.spark, "log")
+    delay = F.when(F.col("event_id") % 50 == 0, 3).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    home = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 5)
+    events = t.events.withColumn("_b", F.least(home + delay, F.lit(LOG_FILES - 1)))
+    for n in range(LOG_FILES):
+        events.filter(F.col("_b") == n).drop("_b").coalesce(1).write.mode("append").parquet(path)
+    return J.read_stream(t.spark, path, t.events.schema, files_per_batch=1)
+
+
+@query("stream_rate_unordered", "STR04 STR03", f"""
+    WITH {LOG},
+    c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 43199999999 PRECEDING AND 1 PRECEDING) AS n FROM kept)
+    SELECT event_id, n AS current_count, n < 3 AS is_allowed, CAST(greatest(0, 3 - n - 1) AS BIGINT) AS remaining FROM c, passed WHERE t <= m""")
+def _(t):
+    out, checkpoint = _paths(t, "rate")
+    J.run_available(K.keyed_rates(_log(t), "user_id", "ts", 43_200, 3, DELAY, ["event_id"], out, checkpoint))
+    return t.spark.read.parquet(out).drop("user_id")
+
+
+@query("stream_streak_unordered", "STR05 STR03", f"""
+    WITH {LOG},
+    f AS (SELECT *, event_type IN ({", ".join(f"'{k}'" for k in FAILURES)}) AS failed FROM kept),
+    g AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM f),
+    s AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, g ORDER BY t, event_id) AS n FROM g)
+    SELECT event_id, n AS failure_count, n >= 20 AS auto_disable FROM s, passed WHERE t <= m""")
+def _(t):
+    out, checkpoint = _paths(t, "streak")
+    failed = F.col("event_type").isin(FAILURES)
+    J.run_available(K.keyed_streaks(_log(t), "user_id", "ts", "event_id", failed, DELAY, out, checkpoint))
+    return t.spark.read.parquet(out).drop("user_id")
+
+
+@query("stream_late_rows", "STR03", f"WITH {LOG} SELECT event_id, b AS batch, late FROM told")
+def _(t):
+    out, checkpoint = _paths(t, "late")
+    J.run_available(K.late_rows(_log(t), "ts", 172_800, out, checkpoint))
+    parts = [t.spark.read.parquet(f"{out}/{name}").select("event_id", F.col("batch").cast("bigint").alias("batch"), F.lit(late).alias("late"))
+             for name, late in (("on_time", False), ("late", True))]
+    return parts[0].union(parts[1])

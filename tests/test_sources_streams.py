@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridmill.functions import filemeta
 from gridmill.operators.ordered import failure_streak, rate_window
 from gridmill.sources import files, ingest, payloads, sinks
-from gridmill.streaming import jobs
+from gridmill.streaming import jobs, keyed
 
 
 @pytest.fixture()
@@ -157,3 +157,54 @@ def test_tumbling_across_batches(spark, tables, split_events, folder):
     got = jobs.latest_updates(spark, f"{folder}/out", ["window_start"])
     want = tables.events.groupBy(F.date_trunc("day", "ts").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
+
+
+@pytest.fixture(scope="module")
+def unordered_log(spark, tables):
+    """The events as eight files in the order of arrival, some rows one or three files late; and the rows with their file."""
+    path = tempfile.mkdtemp(prefix="gridmill-log-")
+    home = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 5)
+    delay = F.when(F.col("event_id") % 50 == 0, 3).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    told = tables.events.withColumn("_b", F.least(home + delay, F.lit(7)))
+    for n in range(8):
+        told.filter(F.col("_b") == n).drop("_b").coalesce(1).write.mode("append").parquet(path)
+    rows = [(r["event_id"], int(r["t"]), r["_b"]) for r in told.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "_b").collect()]
+    high = [max(t for _, t, b in rows if b <= n) for n in range(8)]
+    late = {i for i, t, b in rows if b > 1 and t <= (high[b - 2] // 1000 - 172_800_000) * 1000}
+    passed = (high[7] // 1000 - 172_800_000) * 1000
+    return path, late, {i for i, t, _ in rows if i not in late and t <= passed}
+
+
+def test_rates_of_rows_out_of_order(spark, tables, unordered_log, folder):
+    path, late, final = unordered_log
+    stream = jobs.read_stream(spark, path, tables.events.schema, files_per_batch=1)
+    query = keyed.keyed_rates(stream, "user_id", "ts", 86_400, 3, "2 days", ["event_id"], f"{folder}/out", f"{folder}/cp")
+    jobs.run_available(query)
+    assert len(jobs.progress(query)) >= 8 and keyed.dropped(query) == len(late) > 0
+    timely = tables.events.filter(~F.col("event_id").isin(list(late))).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    want = {r["event_id"]: (r["current_count"], r["is_allowed"], r["remaining"]) for r in rate_window(timely, "user_id", "t", 86_400, 3).collect() if r["event_id"] in final}
+    got = {r["event_id"]: (r["current_count"], r["is_allowed"], r["remaining"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == want and set(got) == final
+
+
+def test_streaks_of_rows_out_of_order(spark, tables, unordered_log, folder):
+    path, late, final = unordered_log
+    stream = jobs.read_stream(spark, path, tables.events.schema, files_per_batch=1)
+    failed = F.col("event_type") != "view"
+    jobs.run_available(keyed.keyed_streaks(stream, "user_id", "ts", "event_id", failed, "2 days", f"{folder}/out", f"{folder}/cp", disable_at=3))
+    want, streak = {}, {}
+    for r in sorted(tables.events.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        if r["event_id"] not in late:
+            streak[r["user_id"]] = n = streak.get(r["user_id"], 0) + 1 if r["event_type"] != "view" else 0
+            want[r["event_id"]] = (n, n >= 3)
+    got = {r["event_id"]: (r["failure_count"], r["auto_disable"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {i: x for i, x in want.items() if i in final}
+
+
+def test_late_rows_are_stored_and_counted(spark, tables, unordered_log, folder):
+    path, late, _ = unordered_log
+    jobs.run_available(keyed.late_rows(jobs.read_stream(spark, path, tables.events.schema, files_per_batch=1), "ts", 172_800, f"{folder}/out", f"{folder}/cp"))
+    stored = {name: [r["event_id"] for r in spark.read.parquet(f"{folder}/out/{name}").collect()] for name in ("late", "on_time")}
+    assert sorted(stored["late"]) == sorted(late) and len(stored["late"]) + len(stored["on_time"]) == tables.events.count()
+    marks = spark.read.parquet(f"{folder}/out/marks").agg(F.sum("late"), F.sum("on_time"), F.count("batch")).first()
+    assert tuple(marks) == (len(late), len(stored["on_time"]), 8)
