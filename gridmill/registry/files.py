@@ -235,6 +235,19 @@ def _(t):
     return K.read_records(t.spark, path, "org").select("dataset_id", "c_custkey")
 
 
+@query("record_empty_reload", "SNK02", """
+    SELECT 'd2' AS dataset_id, c_custkey FROM customer UNION ALL SELECT 'd3', c_custkey FROM customer WHERE c_acctbal <= 0""")
+def _(t):
+    path = scratch_path(t.spark, "reloaded")
+    df = t.customer.select("c_custkey", "c_acctbal")
+    for dataset in ("d1", "d2", "d3"):
+        K.append_records(_records(t, "org", dataset, df), path)
+    K.replace_dataset(_records(t, "org", "d1", df.filter("c_custkey < 0")), path, [("org", "d1")])
+    K.replace_dataset(_records(t, "org", "d3", df.filter("c_custkey < 0")), path, [("org", "d3")])
+    K.append_records(_records(t, "org", "d3", df.filter("c_acctbal <= 0")), path)
+    return K.read_records(t.spark, path, "org").select("dataset_id", "c_custkey")
+
+
 @query("ingest_records", "PIP07 SNK01 SNK02 NRM01", """
     SELECT c_custkey AS customer_key, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, 'org' AS organization_id, TRUE AS is_valid
     FROM customer""")

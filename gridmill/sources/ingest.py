@@ -51,7 +51,7 @@ def ingest_csv(spark: SparkSession, source: str, target: str, organization_id: s
             found = {c: kind for c, kind in found.items() if failed[c] == 0}
         cleaned = convert_types(cleaned, found, "coerce")
     renamed = normalize_names(cleaned)
-    sinks.replace_dataset(sinks.envelope(renamed, organization_id, dataset_id), target)
+    sinks.replace_dataset(sinks.envelope(renamed, organization_id, dataset_id), target, [(organization_id, dataset_id)])
     return Ingested(sinks.read_records(spark, target, organization_id, dataset_id), rejected, types, checks)
 
 
