@@ -1,5 +1,6 @@
 """Every registered query against its SQL twin on the small tables."""
 
+import sys
 import math
 import os
 import re
@@ -57,3 +58,14 @@ def test_every_operator_has_a_query():
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 5 and [r["label"] for r in rows] == sorted(r["label"] for r in rows)
+
+
+def test_a_missing_library_leaves_the_other_queries(monkeypatch):
+    import __spark_entry__ as registered
+    whole = len(registered.queries())
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("gridmill.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    left = registered.queries()
+    assert registered.FLAGSHIP in left and len(left) <= whole and not any(n.startswith("op") and n[2:3].isdigit() for n in left)
