@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridmill.functions.numbers import as_number
 from gridmill.operators.profile import columns_of_kind, kind_of, long_stats
-from gridmill.operators.quantiles import percentile_table
+from gridmill.operators.quantiles import percentile_rows
 
 
 def schema_frame(df: DataFrame) -> DataFrame:
@@ -36,9 +36,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     narrow = df.select(*[as_number(df, c).alias(c) for c in columns])
     stats = long_stats(narrow, columns, lambda c: [
         F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")])
-    long = narrow.unpivot([], columns, "column", "_v") if len(columns) > 1 else narrow.select(
-        F.lit(columns[0]).alias("column"), F.col(columns[0]).alias("_v"))
-    medians = percentile_table(long, "_v", [0.5], ["column"]).select("column", F.col("value").alias("median"))
+    medians = percentile_rows(narrow, {c: F.col(c) for c in columns}, [0.5]).select("column", F.col("value").alias("median"))
     return stats.drop("position").join(medians, "column", "left")
 
 

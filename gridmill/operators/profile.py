@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gridmill.functions.numbers import as_number, is_numeric, missing, percent
-from gridmill.operators.quantiles import percentile_table
+from gridmill.operators.quantiles import percentile_rows
 from gridmill.operators.stats import with_scalar
 
 # fixed values
@@ -169,9 +169,7 @@ def dataset_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     if numeric:
         cols = [c for c in names if c in numeric]
         narrow = df.select(*[as_number(df, c).alias(c) for c in cols])
-        long = narrow.unpivot([], cols, "column", "_v") if len(cols) > 1 else narrow.select(
-            F.lit(cols[0]).alias("column"), F.col(cols[0]).alias("_v"))
-        medians = percentile_table(long, "_v", [0.5], ["column"]).select("column", F.col("value").alias("median"))
+        medians = percentile_rows(narrow, {c: F.col(c) for c in cols}, [0.5]).select("column", F.col("value").alias("median"))
         out = out.join(medians, "column", "left")
     else:
         out = out.withColumn("median", F.lit(None).cast("double"))
@@ -205,7 +203,7 @@ def numeric_column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     long = narrow.unpivot([], columns, "column", "_v") if len(columns) > 1 else narrow.select(
         F.lit(columns[0]).alias("column"), F.col(columns[0]).alias("_v"))
     names = {0.25: "percentile_25", 0.5: "median", 0.75: "percentile_75", 0.9: "percentile_90", 0.95: "percentile_95"}
-    table = percentile_table(long, "_v", list(names), ["column"])
+    table = percentile_rows(narrow, {c: F.col(c) for c in columns}, list(names))
     wide = table.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                          for p, n in names.items()])
     # one hash aggregate on (column, value) replaces one expansion per distinct count

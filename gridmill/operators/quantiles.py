@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridmill.session import written
+
 BINS_PER_OCTAVE = 64
 FINE_BINS = 4096
 
@@ -75,17 +79,108 @@ def _match(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return left.join(right, F.struct(*names) == F.col("_right")).drop("_right")
 
 
+def percentiles_by_column(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[tuple[str, float], float | None]:
+    """The percentiles of some numeric expressions, by name and probability; None where there is no value.  Nulls and NaN are ignored.
+
+    The values are written once; see ``Ranks``.
+    """
+    return Ranks(df, columns).percentiles(probs)
+
+
+class Ranks:
+    """Order statistics of a few named columns.  Their values are written once, without a shuffle.
+
+    Each round is one aggregate over the written values, whose counts per bin come to the driver: first bins by magnitude, then ``FINE_BINS`` bins of
+    equal width (and one for each bound) inside each bin that holds a wanted rank, until all values of such a bin are equal.  The least and the largest value of a bin
+    are its bounds, so a round narrows the range by a factor of ``FINE_BINS`` at least; the number of bins does not depend on the rows.
+    """
+
+    def __init__(self, df: DataFrame, columns: dict[str, Column]):
+        self.names = list(columns)
+        narrow = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())])
+        self.values = written(narrow, "values")
+
+    def percentiles(self, probs: list[float], away_from: dict[str, float] | None = None) -> dict[tuple[str, float], float | None]:
+        """Percentiles of the values, or of their distances from a centre per column (columns without one are left out)."""
+        chosen = [(i, n) for i, n in enumerate(self.names) if away_from is None or away_from.get(n) is not None]
+        wanted = list(dict.fromkeys(float(p) for p in probs))
+        out: dict[tuple[str, float], float | None] = {(n, p): None for n in self.names for p in wanted}
+        if not chosen:
+            return out
+        x = {i: F.col(f"x{i}") if away_from is None else F.abs(F.col(f"x{i}") - F.lit(float(away_from[n]))) for i, n in chosen}
+        long = self.values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), v.alias("v")) for i, v in x.items()])))
+        long = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+        size = F.abs("v")
+        # clamped where the logarithm has no value (0) or is infinite; it never falls as the value grows
+        octave = F.floor(F.log2(F.greatest(F.least(size, F.lit(1.7e308)), F.lit(1e-300))) * BINS_PER_OCTAVE) + 1_000_000
+        bins = _counted(long.withColumn("b", F.when(F.col("v") > 0, octave).when(F.col("v") < 0, -octave).otherwise(F.lit(0)).cast("bigint")), ["c"])
+        sizes = {i: sum(r["n"] for r in bins.get((i,), [])) for i, _ in chosen}
+        # (column, rank) -> bounds, and the rank among the values between them
+        open_ = {(i, rank): _rung(bins[i,], rank) for i, n in sizes.items() if n
+                 for rank in {f(p * (n - 1)) for p in wanted for f in (math.floor, math.ceil)}}
+        found: dict[tuple, float] = {}
+        while open_:
+            found |= {k: low for k, (low, high, _) in open_.items() if low == high}
+            open_ = {k: x for k, x in open_.items() if x[0] != x[1]}
+            if not open_:
+                break
+            ranges = sorted({(i, low, high) for (i, _), (low, high, _) in open_.items()})
+            table = long.sparkSession.createDataFrame([(t, *r) for t, r in enumerate(ranges)], "t int, c int, low double, high double")
+            inside = long.join(F.broadcast(table), "c").filter(F.col("v").between(F.col("low"), F.col("high")))  # a few rows a column
+            # halved before they are subtracted: the distance of two doubles may have no value
+            share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+            fine = F.when(F.col("v") == F.col("high"), FINE_BINS).when(F.col("v") == F.col("low"), -1).otherwise(F.least(F.floor(share * FINE_BINS), F.lit(FINE_BINS - 1)))
+            bins = _counted(inside.withColumn("b", fine.cast("bigint")), ["t"])
+            number = {r: t for t, r in enumerate(ranges)}
+            open_ = {(i, rank): _rung(bins[(number[i, low, high],)], left) for (i, rank), (low, high, left) in open_.items()}
+        for i, name in chosen:
+            for p in wanted if sizes[i] else ():
+                spot = p * (sizes[i] - 1)
+                low, high = found[i, math.floor(spot)], found[i, math.ceil(spot)]
+                out[name, p] = low if low == high else low + (high - low) * (spot - math.floor(spot))
+        return out
+
+
+def _counted(rows: DataFrame, group: list[str]) -> dict[tuple, list]:
+    """Per group its bins ``b`` in order, with their number of values and least and largest value; bins are few."""
+    out: dict[tuple, list] = {}
+    found = rows.groupBy(*group, "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    for r in sorted(found, key=lambda r: r["b"]):
+        out.setdefault(tuple(r[g] for g in group), []).append(r)
+    return out
+
+
+def _rung(ladder: list, rank: int) -> tuple[float, float, int]:
+    """Bounds of the bin that holds a rank, and the rank inside it."""
+    for r in ladder:
+        if rank < r["n"]:
+            return r["low"], r["high"], rank
+        rank -= r["n"]
+    raise ValueError("rank beyond the values")
+
+
 def percentile_columns(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """One row with each alias holding the percentile of a numeric expression."""
-    by_expr: dict[str, tuple[Column, list]] = {}
-    for alias, (expr, p) in wanted.items():
-        by_expr.setdefault(str(expr), (expr, []))[1].append((alias, p))
-    names = [f"_x{i}" for i in range(len(by_expr))]
-    narrow = df.select(*[e.cast("double").alias(n) for n, (e, _) in zip(names, by_expr.values())])
-    long = narrow.unpivot([], names, "_col", "_v") if len(names) > 1 else narrow.select(
-        F.lit(names[0]).alias("_col"), F.col(names[0]).alias("_v"))
-    probs = sorted({p for _, items in by_expr.values() for _, p in items})
-    table = percentile_table(long, "_v", probs, ["_col"])
-    return table.agg(*[
-        F.max(F.when((F.col("_col") == n) & (F.col("p") == float(p)), F.col("value"))).alias(a)
-        for n, (_, items) in zip(names, by_expr.values()) for a, p in items])
+    by_expr: dict[str, Column] = {}
+    for expr, _ in wanted.values():
+        by_expr.setdefault(str(expr), expr)
+    found = percentiles_by_column(df, by_expr, sorted({p for _, p in wanted.values()}))
+    return one_row(df, {alias: found[str(expr), float(p)] for alias, (expr, p) in wanted.items()})
+
+
+def percentile_rows(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> DataFrame:
+    """``column, p, value`` for named expressions: a table of a few rows."""
+    found = percentiles_by_column(df, columns, probs)
+    return df.sparkSession.createDataFrame([(n, p, v) for (n, p), v in found.items() if v is not None], "column string, p double, value double")
+
+
+def median_deviation(df: DataFrame, x: Column) -> DataFrame:
+    """One row: ``center``, the median, and ``mad``, the median distance from it, both from the same written values."""
+    ranks = Ranks(df, {"x": x})
+    center = ranks.percentiles([0.5])["x", 0.5]
+    return one_row(df, {"center": center, "mad": ranks.percentiles([0.5], {"x": center})["x", 0.5]})
+
+
+def one_row(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    """Numbers as a table, which plans take for literals."""
+    return df.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"`{n}` double" for n in values))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridmill.functions.numbers import as_number
-from gridmill.operators.quantiles import percentile_columns
+from gridmill.operators.quantiles import median_deviation, percentile_columns
 
 # fixed values
 WEAK, MODERATE = 0.3, 0.7
@@ -127,10 +127,7 @@ def score_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: f
                           (F.col("center") + cut * F.col("unit")).alias("upper"))
     elif method == "modified_z":
         cut = MODIFIED_Z_LIMIT if threshold is None else threshold
-        med = percentile_columns(df, {"center": (x, 0.5)})
-        off = with_scalar(df, med, "_m")
-        mad = percentile_columns(off, {"mad": (F.abs(x - F.col("_m.center")), 0.5)})
-        both = one_row_join(med, mad).select("center", (F.col("mad") / MAD_SCALE).alias("unit"))
+        both = median_deviation(df, x).select("center", (F.col("mad") / MAD_SCALE).alias("unit"))
         limits = both.select("center", "unit", (F.col("center") - cut * F.col("unit")).alias("lower"),
                              (F.col("center") + cut * F.col("unit")).alias("upper"))
     else:

@@ -437,3 +437,45 @@ def test_correlations_of_many_columns(spark):
         both = data[[a, b]].dropna()
         want = both.corr().iloc[0, 1]
         assert n == len(both) and abs(r - (0.0 if np.isnan(want) else want)) < 1e-9
+
+
+# ---- order statistics by rounds ----
+
+def test_ranks_of_awkward_values(spark):
+    draw = random.Random(5)
+    columns = {
+        "a": [draw.choice([0.0, -0.0, 1.0, 1e308, -1e308, 1e-320, 5e-324, 3.5, None, float("nan")]) for _ in range(400)],
+        "b": [draw.gauss(0, 1e6) for _ in range(400)],
+        "c": [1e15 + draw.randint(0, 50) / 8 for _ in range(400)],
+        "d": [None] * 400,
+        "e": [7.25] * 400,
+        "f": [float(i % 3) for i in range(400)],
+        "g": [draw.choice([float("-inf"), 1.0, 2.0, 3.0]) for _ in range(400)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{n} double" for n in columns))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    ranks = quantiles.Ranks(df, {n: F.col(n) for n in columns})
+    got = ranks.percentiles(probs)
+    for n, values in columns.items():
+        known = sorted(v for v in values if v is not None and v == v)
+        for p in probs:
+            if not known:
+                assert got[n, p] is None
+                continue
+            spot = p * (len(known) - 1)
+            low, high = known[int(spot)], known[min(int(spot) + (spot > int(spot)), len(known) - 1)]
+            want = low if low == high else low + (high - low) * (spot - int(spot))
+            assert got[n, p] == want or (got[n, p] != got[n, p] and want != want), (n, p)
+    center = {n: got[n, 0.5] for n in columns}
+    away = ranks.percentiles([0.5], center)
+    for n in ("b", "c", "e", "f"):
+        known = sorted(abs(v - center[n]) for v in columns[n])
+        assert away[n, 0.5] == (known[199] + known[200]) / 2
+    assert away["d", 0.5] is None
+
+
+def test_plans_of_order_statistics_stay_short(spark, tables):
+    from gridmill.operators import stats
+    for method in ("iqr", "zscore", "modified_z"):
+        plan = stats.detect_outliers(tables.orders, "o_totalprice", method, row_number="o_orderkey")._jdf.queryExecution().toString()
+        assert plan.count("\n") < 200, method
