@@ -15,15 +15,14 @@ FINE_BINS = 4096
 def percentile_table(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None) -> DataFrame:
     """``keys..., p, value`` for each probability; null values and NaN are ignored.
 
-    Values are counted first, so equal ones are one row from there on.  Then a rank is narrowed down in three steps, each a count per bin and a
+    Values are counted and written first, so equal ones are one row from there on and no row is read again.  Then a rank is narrowed down in three steps, each a count per bin and a
     running sum over the bins of one group:
 
     1. bins by magnitude, a fixed number per doubling;
     2. equal-width bins between the least and the largest value of the bin that holds the rank;
     3. the values of that narrow bin.
 
-    The bins only decide where a value is looked for, not what the answer is.  No buffer holds the values of a group, and building the
-    plan runs no job.
+    The bins only decide where a value is looked for, not what the answer is.  No buffer holds the values of a group.
     """
     keys = keys or []
     group = [*keys, "_all"]  # a key that is always present lets keyed and global percentiles share one plan
@@ -31,7 +30,7 @@ def percentile_table(df: DataFrame, value: str, probs: list[float], keys: list[s
     size = F.abs("_v")
     # clamped where the logarithm has no value (0) or is infinite; it never falls as the value grows
     octave = F.floor(F.log2(F.greatest(F.least(size, F.lit(1.7e308)), F.lit(1e-300))) * BINS_PER_OCTAVE) + 1_000_000
-    counted = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+    counted = written(rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")), "counted").withColumn(
         "_b", F.when(F.col("_v") > 0, octave).when(F.col("_v") < 0, -octave).otherwise(F.lit(0)).cast("bigint"))
 
     spot = F.col("_w.p") * (F.col("_n") - 1)
