@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridmill.functions import filemeta as fm
+from gridmill.session import written
+from gridmill.sources.quoted import MARK, SPLITTABLE, read_records
 
 # fixed values: delimiters a file may use, in order of preference
 DELIMITERS = [",", ";", "\t", "|"]
@@ -101,17 +104,41 @@ def _field_count(record: Column, delimiter: str) -> Column:
     return F.regexp_count(F.concat(F.lit(delimiter), record), F.lit(f'{sep}(?:"[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}]*+)'))
 
 
-def _parse(spark: SparkSession, paths: list[str], names: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD]])
-    # with pruning the parser sees only the wanted fields and cannot tell that a line has too many
-    options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "columnPruning": "false", "escape": '"'}
-    raw = spark.read.options(**options).schema(schema).csv(paths)
+def _parted(raw: DataFrame, names: list[str], delimiter: str) -> tuple[DataFrame, DataFrame]:
+    """Well-formed records, and the text of those with too many fields."""
     # Spark refuses plans that read nothing but the corrupt-record column, hence the first field
-    first = F.coalesce(F.length(names[0]), F.lit(0)) >= 0
+    first = F.coalesce(F.length(raw.columns[0]), F.lit(0)) >= 0
     # an empty field after a trailing delimiter is none
-    fields = _field_count(F.col(BAD), options["sep"]) - F.col(BAD).endswith(options["sep"]).cast("int")
+    fields = _field_count(F.col(BAD), delimiter) - F.col(BAD).endswith(delimiter).cast("int")
     broken = F.col(BAD).isNotNull() & (fields > len(names)) & first
-    return raw.filter(~broken).drop(BAD), raw.filter(broken).select(F.col(BAD).alias("line"))
+    return raw.filter(~broken).drop(BAD).toDF(*names), raw.filter(broken).select(F.col(BAD).alias("line"))
+
+
+# with pruning the parser sees only the wanted fields and cannot tell that a line has too many
+_PARSER = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "columnPruning": "false", "escape": '"'}
+
+
+def _parse(spark: SparkSession, paths: list[str], names: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD]])
+    return _parted(spark.read.options(**options, **_PARSER).schema(schema).csv(paths), names, options["sep"])
+
+
+def _parse_records(records: DataFrame, names: list[str], delimiter: str) -> tuple[DataFrame, DataFrame]:
+    schema = ", ".join(f"{n} string" for n in [*(f"_f{i}" for i in range(len(names))), BAD])
+    fields = F.from_csv("record", schema, {**_PARSER, "sep": delimiter, "multiLine": "true"})
+    # through a generator, so that filters on fields do not parse a second time
+    return _parted(records.select(F.inline(F.array(fields))), names, delimiter)
+
+
+def _names(header: str, delimiter: str) -> tuple[str, ...]:
+    """Field names of a header; an empty one after a trailing delimiter is none, other empty ones are numbered."""
+    names = next(csv.reader(io.StringIO(header.removeprefix(MARK), newline=""), delimiter=delimiter), [])
+    names = names[:-1] if len(names) > 1 and names[-1] == "" else names
+    return tuple(n or f"_c{i}" for i, n in enumerate(names))
+
+
+def _concat(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    return reduce(lambda a, b: (a[0].unionByName(b[0], allowMissingColumns=True), a[1].unionByName(b[1])), parts)
 
 
 def headers(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> dict[tuple[str, ...], list[str]]:
@@ -122,29 +149,44 @@ def headers(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "place").alias("line"))
     found: dict[tuple[str, ...], list[str]] = {}
     for file, line in sorted(tuple(r) for r in first.collect()):  # one row per file
-        names = next(csv.reader([line.removeprefix("\ufeff")], delimiter=delimiter), [])
-        names = names[:-1] if len(names) > 1 and names[-1] == "" else names
-        found.setdefault(tuple(n or f"_c{i}" for i, n in enumerate(names)), []).append(file)
+        found.setdefault(_names(line, delimiter), []).append(file)
     return found
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
-             multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", multiline: bool = True,
+             split: bool = True) -> tuple[DataFrame, DataFrame]:
     """String columns of the well-formed records, and ``line`` of the records with too many fields.
 
     Quotes inside quoted fields are doubled.  Every file's own header names its fields, so files may order or lack columns; short
-    records are padded with nulls.  ``multiline=False`` lets big files be split, for texts without line breaks in fields.
+    records are padded with nulls.  Big files are read by many tasks, whether or not fields hold line breaks, and their lines are
+    written once to the shared folder; ``split=False`` reads each file in one task instead, as do encodings of several bytes a
+    letter other than UTF-8.  ``multiline=False`` splits without writing, for texts without line breaks in fields.
     """
+    if multiline and split and encoding.lower() in SPLITTABLE:
+        records = read_records(spark, [path], delimiter, encoding)
+        files = written(records.filter("is_first").select("path", F.col("record").alias("header")), "headers")
+        lines = [r[0] for r in files.select("header").distinct().collect()]  # one row per distinct header
+        if lines:
+            rows = records.filter("NOT is_first")
+            if len(lines) > 1:
+                rows = rows.join(files, "path")
+            by_names: dict[tuple[str, ...], list[str]] = {}
+            for line in sorted(lines):
+                by_names.setdefault(_names(line, delimiter), []).append(line)
+            return _concat([_parse_records(rows.filter(F.col("header").isin(same)) if len(lines) > 1 else rows, list(names), delimiter)
+                            for names, same in by_names.items()])
     options = {"header": "true", "sep": delimiter, "encoding": encoding, "multiLine": str(multiline).lower()}
     parts = [_parse(spark, files, list(names), options) for names, files in headers(spark, path, delimiter, encoding).items()]
     if not parts:
         return _parse(spark, [path], spark.read.options(**options).csv(path).columns or ["_c0"], options)
-    return reduce(lambda a, b: (a[0].unionByName(b[0], allowMissingColumns=True), a[1].unionByName(b[1])), parts)
+    return _concat(parts)
 
 
 def parse_lines(spark: SparkSession, path: str, names: list[str], delimiter: str = ",", encoding: str = "utf-8",
-                multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+                multiline: bool = True, split: bool = True) -> tuple[DataFrame, DataFrame]:
     """The same for files without a header, whose names are given."""
+    if multiline and split and encoding.lower() in SPLITTABLE:
+        return _parse_records(read_records(spark, [path], delimiter, encoding), names, delimiter)
     return _parse(spark, [path], names, {"header": "false", "sep": delimiter, "encoding": encoding, "multiLine": str(multiline).lower()})
 
 
