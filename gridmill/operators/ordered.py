@@ -69,6 +69,16 @@ def dense_positions(df: DataFrame, position: str, name: str = "row_number", chun
             .withColumn(name, F.col("_offset") + F.col("_in")).drop(_RUN, "_in", "_offset"))
 
 
+def sorted_runs(df: DataFrame, keys: list[str], order_by: list, chunk: int = CHUNK) -> DataFrame:
+    """Add ``_g``, a struct of the keys and a run of at most ``chunk`` neighbouring rows in the order of keys and columns.
+
+    Rows are sorted by range over keys *and* order, so a key with most of the rows lies in many partitions; they are written to the
+    checkpoint folder once, so that a recomputed task cannot move rows between runs.
+    """
+    placed = cut_lineage(df.orderBy(*keys, *order_by)).withColumn("_mark", F.monotonically_increasing_id())
+    return placed.withColumn("_g", F.struct(*keys, _run("_mark", chunk).alias(_RUN))).drop("_mark")
+
+
 def _carried(df: DataFrame, values: dict[str, Column], position: str, keys: list[str], forward: bool,
              chunk: int) -> DataFrame:
     """Add ``alias`` = nearest non-null of each value at or before (after) the row."""
@@ -161,32 +171,35 @@ def failure_streak(df: DataFrame, key: str, position: str, failed: Column, healt
         (F.col("failure_count") >= disable_at).alias("auto_disable"))
 
 
-def rate_window(df: DataFrame, key: str, micros: str, window_seconds: int, limit: int,
-                span_seconds: int = 86_400) -> DataFrame:
+def rate_window(df: DataFrame, key: str, micros: str, window_seconds: int, limit: int, chunk: int = CHUNK) -> DataFrame:
     """Requests of the same key in the open window before each row, and whether the row is allowed.
 
-    Each row enters at its time and leaves one window later, so the count is a
-    running sum that costs the same for any number of rows in the window.  A key
-    is split into time spans; rows in the last window of a span enter the next
-    span too, without their other columns.
+    Each row enters at its time and leaves one window later, so the count is a running sum that costs the same for any number of rows
+    in the window.  The moves of a key are cut into runs of at most ``chunk`` rows, however many of them share a day or a moment; what
+    a run needs from earlier ones is their sum, less the moves at the run's own first moment.  Rows without a time have no window: 0.
     """
     width = window_seconds * 1_000_000
-    span = max(span_seconds * 1_000_000, width)
     t = F.col(micros)
-    slot = F.floor(t / F.lit(span))
-
-    def moves(where: Column, is_row: bool) -> list[Column]:
-        # at equal times leaving (even) comes before entering (odd)
-        return [F.struct(where.alias("_slot"), at.alias("_at"), F.lit(step).alias("_step"), F.lit(kept).alias("_row"))
-                for at, step, kept in ((t * 2 + 1, 1, is_row), ((t + width) * 2, -1, False))]
-
-    own, ahead = moves(slot, True), moves(slot + 1, False)
-    in_tail = t > (slot + 1) * span - width
-    spread = df.withColumn("_m", F.explode(F.when(in_tail, F.array(*own, *ahead)).otherwise(F.array(*own))))
-    spread = spread.select(F.col(key).alias("_key"), "_m.*", *[
-        F.when(F.col("_m._row"), F.col(c)).alias(c) for c in df.columns])
-    earlier = Window.partitionBy("_key", "_slot").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
-    counted = spread.withColumn("current_count", F.coalesce(F.sum("_step").over(earlier), F.lit(0))).filter("_row")
+    # at equal times leaving (even) comes before entering (odd)
+    moves = [F.struct(at.alias("_at"), F.lit(step).alias("_step"), F.lit(kept).alias("_row"))
+             for at, step, kept in ((t * 2 + 1, 1, True), ((t + width) * 2, -1, False))]
+    # without a time: a row that is counted nowhere
+    untimed = F.struct(F.lit(None).cast("bigint").alias("_at"), F.lit(0).alias("_step"), F.lit(True).alias("_row"))
+    spread = df.withColumn("_m", F.explode(F.when(t.isNull(), F.array(untimed)).otherwise(F.array(*moves))))
+    spread = spread.select(F.col(key).alias("_key"), "_m.*", *[F.when(F.col("_m._row"), F.col(c)).alias(c) for c in df.columns])
+    runs = sorted_runs(spread, ["_key"], ["_at"], chunk)
+    totals = runs.groupBy("_g", "_at").agg(F.sum("_step").alias("_step")).groupBy("_g").agg(
+        F.sum("_step").alias("_sum"), F.max("_at").alias("_last"), F.max_by("_step", "_at").alias("_tie"))
+    order = Window.partitionBy("_g._key").orderBy(f"_g.{_RUN}")
+    ties = Window.partitionBy("_g._key", "_last").orderBy(f"_g.{_RUN}").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("_tie", F.sum("_tie").over(ties)).select(
+        "_g", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lag("_last").over(order).alias("_last"), F.lag("_tie").over(order).alias("_tie"))
+    earlier = Window.partitionBy("_g").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    inside = runs.withColumn("_in", F.coalesce(F.sum("_step").over(earlier), F.lit(0))).filter("_row").join(totals, "_g")
+    tied = F.when(F.col("_at") == F.col("_last"), F.col("_tie")).otherwise(0)
+    count = F.when(F.col("_at").isNull(), 0).otherwise(F.col("_before") + F.col("_in") - tied).cast("bigint")
+    counted = inside.withColumn("current_count", count)
     return counted.select(
         *df.columns, "current_count", (F.col("current_count") < limit).alias("is_allowed"),
         F.greatest(F.lit(0), limit - F.col("current_count") - 1).cast("bigint").alias("remaining"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridmill.functions.delivery import retry_delay, should_retry, succeeded
 from gridmill.functions.filemeta import gigabytes
+from gridmill.operators.ordered import CHUNK, sorted_runs
 
 METRICS = ("users", "datasets", "storage_gb", "api_calls")
 
@@ -95,20 +96,18 @@ def activity_feed(feeds: list[DataFrame], at: str, tie_break: str, limit: int) -
     return both.orderBy(*newest).limit(limit)
 
 
-def quota_check(files: DataFrame, limits: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def quota_check(files: DataFrame, limits: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Admit files in time order while the tenant's total stays within its limit.
 
-    ``files(organization_id, file_id, size, created_at)``, ``limits(organization_id, limit_bytes)``.
-    Totals run inside day slots; the slots of a tenant are summed up separately,
-    so a tenant with most of the files is spread over its days.
+    ``files(organization_id, file_id, size, created_at)``, ``limits(organization_id, limit_bytes)``.  A tenant's files are cut into runs
+    of at most ``chunk`` rows, whatever their days; the sums of its runs are added up separately.  Unknown sizes count nothing.
     """
-    slot = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(chunk_seconds * 1_000_000))
-    tagged = files.withColumn("_g", F.struct("organization_id", slot.alias("slot")))
-    sums = tagged.groupBy("_g").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_g.organization_id").orderBy("_g.slot").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sorted_runs(files, ["organization_id"], ["created_at", "file_id"], chunk)
+    sums = runs.groupBy("_g").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_g.organization_id").orderBy("_g._run").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_g", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_g").orderBy("created_at", "file_id").rowsBetween(Window.unboundedPreceding, 0)
-    running = tagged.withColumn("_in", F.sum("size").over(within)).join(sums, "_g")
+    running = runs.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, "_g")
     out = running.withColumn("total_bytes", F.col("_before") + F.col("_in")).drop("_before", "_in", "_g")
     return out.join(limits, "organization_id").withColumn("within_quota", F.col("total_bytes") <= F.col("limit_bytes"))
 

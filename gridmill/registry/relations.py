@@ -110,7 +110,7 @@ def _(t):
            CAST(floor((t + 43200000000) / 1000000) AS BIGINT) AS reset_time FROM w""")
 def _(t):
     timed = t.events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return O.rate_window(timed, "user_id", "t", 43200, 3).select(
+    return O.rate_window(timed, "user_id", "t", 43200, 3, chunk=2000).select(
         "event_id", "current_count", "is_allowed", "remaining", "reset_time")
 
 
@@ -178,7 +178,7 @@ def _(t):
     files = t.orders.select(F.col("o_custkey").alias("organization_id"), F.col("o_orderkey").alias("file_id"),
                             F.floor("o_totalprice").alias("size"), F.col("o_orderdate").alias("created_at"))
     limits = files.select("organization_id").distinct().withColumn("limit_bytes", F.lit(3000000))
-    return R.quota_check(files, limits, 30 * 86_400).select("file_id", "total_bytes", "within_quota")
+    return R.quota_check(files, limits, chunk=2000).select("file_id", "total_bytes", "within_quota")
 
 
 @query("tenant_stats", "AGG35", """
