@@ -79,6 +79,27 @@ def sorted_runs(df: DataFrame, keys: list[str], order_by: list, chunk: int = CHU
     return placed.withColumn("_g", F.struct(*keys, _run("_mark", chunk).alias(_RUN))).drop("_mark")
 
 
+def sorted_bin(df: DataFrame, order_by: list, skip: int, limit: int) -> DataFrame:
+    """Rows ``skip + 1`` to ``skip + limit`` in the given order; only the bins that hold them are sorted.
+
+    Bins are the partitions of a cut by range, written to the checkpoint folder; their number is Spark's shuffle partitions.
+    """
+    bins = cut_lineage(df.repartitionByRange(*order_by)).withColumn("_bin", F.shiftright(F.monotonically_increasing_id(), 33))
+    upto = 0
+    first = before = None
+    # one row per partition
+    for at, n in sorted(tuple(r) for r in bins.groupBy("_bin").count().collect()):
+        if first is None and upto + n > skip:
+            first, before = at, upto
+        upto += n
+        if upto >= skip + limit:
+            break
+    if first is None:
+        return df.limit(0)
+    held = bins.filter(F.col("_bin").between(first, at)).drop("_bin")
+    return held.orderBy(*order_by).offset(skip - before).limit(limit)
+
+
 def _carried(df: DataFrame, values: dict[str, Column], position: str, keys: list[str], forward: bool,
              chunk: int) -> DataFrame:
     """Add ``alias`` = nearest non-null of each value at or before (after) the row."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridmill.functions.numbers import is_numeric, parse_number, percent
-from gridmill.operators.ordered import dense_positions
+from gridmill.operators.ordered import dense_positions, sorted_bin
 from gridmill.operators.predicates import apply_filters, search_any, search_document
 
+DEEP = 100_000
 ERROR_ARRAY = "array<struct<field:string,error:string>>"
 
 
@@ -33,11 +34,32 @@ def filter_records(df: DataFrame, filters=None, search: str | None = None, only_
     return df
 
 
+def deep_page(rows: DataFrame, sort: list[tuple[str, str]], tie_break: str, skip: int, limit: int) -> DataFrame:
+    """The page at any offset by rank search; ``tie_break`` is unique.
+
+    Only the sort columns are cut into bins by range and written; the bins' counts tell which of them hold the offset, and only those are
+    sorted.  The page's keys, at most ``limit``, then fetch its rows.
+    """
+    names = list(dict.fromkeys([*(n for n, _ in sort), tie_break]))
+    order = sort_keys(sort, tie_break)
+    keys = sorted_bin(rows.select(*names), order, skip, limit)
+    same = F.struct(*names)
+    wanted = keys.select(F.struct(*names).alias("_wanted"))
+    return rows.join(wanted, same == F.col("_wanted"), "left_semi").orderBy(*order).limit(limit)
+
+
 def query_records(df: DataFrame, filters=None, search=None, only_valid=None, sort=None, skip: int = 0,
                   limit: int = 100, row_number: str = "row_number", totals: bool = False) -> DataFrame:
-    """One page.  ``totals`` adds ``total`` and ``has_more`` from a count of the same filtered plan."""
+    """One page.  ``totals`` adds ``total`` and ``has_more`` from a count of the same filtered plan.
+
+    Spark gathers ``skip + limit`` rows in one task; pages deeper than ``DEEP`` rows are found by rank search instead.
+    """
     rows = filter_records(df, filters, search, only_valid)
-    page = rows.orderBy(*sort_keys(sort or [(row_number, "asc")], row_number)).offset(skip).limit(limit)
+    sort = sort or [(row_number, "asc")]
+    if skip > DEEP:
+        page = deep_page(rows, sort, row_number, skip, limit)
+    else:
+        page = rows.orderBy(*sort_keys(sort, row_number)).offset(skip).limit(limit)
     if not totals:
         return page
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -72,7 +94,11 @@ def record_stats(df: DataFrame, valid_column: str = "is_valid") -> DataFrame:
 def catalog_page(df: DataFrame, page: int, page_size: int, created: str, tie_break: str) -> DataFrame:
     """Newest first with total rows and page count."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(F.col(created).desc(), F.col(tie_break)).offset((page - 1) * page_size).limit(page_size)
+    skip = (page - 1) * page_size
+    if skip > DEEP:
+        rows = deep_page(df, [(created, "desc")], tie_break, skip, page_size)
+    else:
+        rows = df.orderBy(F.col(created).desc(), F.col(tie_break)).offset(skip).limit(page_size)
     return rows.withColumn("total", total).withColumn(
         "total_pages", F.ceil(F.col("total") / F.lit(page_size)).cast("bigint"))
 

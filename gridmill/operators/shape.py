@@ -168,9 +168,15 @@ def inverse_scale(df: DataFrame, params: DataFrame, columns: list[str], method:
 
 # --- encoding ----------------------------------------------------------------
 
-def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values, the names of new columns.  They make up the plan, so the long form suits columns with very many."""
-    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
+def categories(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """Sorted distinct values, the names of new columns; no more than ``most`` and one reach the driver.
+
+    Names make up the plan, so a column with more raises; ``onehot_long`` and ``pivot_long`` have no such bound.
+    """
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values: name those wanted, or use the long form")
+    return sorted(r[0] for r in found)
 
 
 def encode_onehot(df: DataFrame, column: str, drop_first: bool = False, values: list | None = None) -> DataFrame:
@@ -225,6 +231,18 @@ def decode(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 
 # --- reshaping ---------------------------------------------------------------
 
+def _cell(values: str, aggfunc: str, row_number: str | None) -> Column:
+    x = F.col(values)
+    if aggfunc in ("first", "last"):
+        if row_number is None:
+            raise ValueError("first and last need the row number column")
+        by = F.when(x.isNotNull(), F.col(row_number))
+        return F.min_by(x, by) if aggfunc == "first" else F.max_by(x, by)
+    if aggfunc not in FUNCTIONS:
+        raise ValueError(f"unknown aggregate {aggfunc!r}")
+    return FUNCTIONS[aggfunc](x)
+
+
 def pivot(df: DataFrame, index: list[str], columns: str, values: str, aggfunc: str = "mean", fill_value=None,
           pivot_values: list | None = None, row_number: str | None = None) -> DataFrame:
     """One row per index, one column per value of ``columns``; null keys are dropped.
@@ -232,22 +250,23 @@ def pivot(df: DataFrame, index: list[str], columns: str, values: str, aggfunc: s
     ``first``/``last`` follow ``row_number``.
     """
     names = categories(df, columns) if pivot_values is None else pivot_values
-    x = F.col(values)
-    if aggfunc in ("first", "last"):
-        if row_number is None:
-            raise ValueError("first and last need the row number column")
-        by = F.when(x.isNotNull(), F.col(row_number))
-        agg = F.min_by(x, by) if aggfunc == "first" else F.max_by(x, by)
-    elif aggfunc in FUNCTIONS:
-        agg = FUNCTIONS[aggfunc](x)
-    else:
-        raise ValueError(f"unknown aggregate {aggfunc!r}")
+    agg = _cell(values, aggfunc, row_number)
     rows = df.dropna(subset=[*index, columns])
     out = rows.groupBy(*index).pivot(columns, names).agg(agg)
     out = out.toDF(*index, *[f"{values}_{n}" for n in names])
     return out if fill_value is None else out.fillna(fill_value, subset=out.columns[len(index):])
 
 
+def pivot_long(df: DataFrame, index: list[str], columns: str, values: str, aggfunc: str = "mean",
+               row_number: str | None = None) -> DataFrame:
+    """The cells of a pivot of any width: ``index..., feature, value``, one row per index and name that occur together.
+
+    Neither the names nor the cells reach the driver, and no row holds more than one cell.  ``feature`` is the name ``pivot`` gives the column.
+    """
+    cells = df.dropna(subset=[*index, columns]).groupBy(*index, columns).agg(_cell(values, aggfunc, row_number).alias("value"))
+    return cells.select(*index, F.concat_ws("_", F.lit(values), F.col(columns).cast("string")).alias("feature"), "value")
+
+
 def unpivot(df: DataFrame, id_vars: list[str], value_vars: list[str] | None = None, var_name: str = "variable",
             value_name: str = "value") -> DataFrame:
     """Melt; nulls stay; columns of different types are read as text."""

@@ -143,6 +143,13 @@ def _(t):
         sort=[("event_type", "asc"), ("value", "desc")], skip=100, limit=50, row_number="event_id", totals=True)
 
 
+@query("record_page_deep", "REC01 SRT03", f"""
+    SELECT event_id, v, kind FROM ({EVENTS_NULL}) ORDER BY v DESC NULLS LAST, event_id LIMIT 300 OFFSET (SELECT count(*) // 2 FROM events)""")
+def _(t):
+    rows = events_null(t).select("event_id", "v", "kind")
+    return R.deep_page(rows, [("v", "desc")], "event_id", rows.count() // 2, 300)
+
+
 @query("record_page_desc", "REC01 SRT01", f"""
     SELECT event_id, v FROM ({EVENTS_NULL}) ORDER BY v DESC NULLS LAST, event_id LIMIT 100""")
 def _(t):

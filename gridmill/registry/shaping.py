@@ -187,6 +187,14 @@ def _pivot(fn, sql_fn, fill=None):
         return rounded(out, 4, *out.columns[1:])
 
 
+@query("pivot_long", "AGG31 NRM14", """
+    SELECT l_returnflag, 'l_quantity_' || l_partkey AS feature, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem
+    WHERE l_returnflag IS NOT NULL AND l_partkey IS NOT NULL GROUP BY l_returnflag, l_partkey""")
+def _(t):
+    out = S.pivot_long(t.lineitem, ["l_returnflag"], "l_partkey", "l_quantity", "sum")
+    return out.withColumn("value", F.col("value").cast("double"))
+
+
 _pivot("mean", "avg")
 _pivot("sum", "sum", 0.0)
 _pivot("min", "min")
