@@ -332,17 +332,81 @@ def _(t):
 FIELD_NAMES = ["red_widget", "widget_blue", "SmallRing", "large bolt", "green_part", "qty", "name"]
 
 
-@query("map_fuzzy", "MAP06 FN08")
+DOCUMENT_NAMES = ["web_page", "news", "forum_name", "code"]
+
+
+def _matching_key(name: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower({name}), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')"
+
+
+def likeness_sql(names: str, targets: list[str]) -> str:
+    """``WITH`` list whose ``scored`` holds every name of ``names`` against every target: the blocks that match are found by recursion, the
+    longest first, then what lies left and right of it."""
+    def has(side, word):
+        return f"contains(lower({side}), '{word}')"
+
+    words = " OR ".join(f"({has('source', a)} AND {has('target', f)}) OR ({has('source', f)} AND {has('target', a)})" for a, f in M.ABBREVIATIONS)
+    bare = " OR ".join(f"(replace(lower(source), '{x}', '') = replace(lower(target), '{x}', '') AND replace(lower(source), '{x}', '') <> '')"
+                       for x in M.AFFIXES)
+    goals = ", ".join(f"({i}, '{t}')" for i, t in enumerate(targets))
+    return f"""
+    WITH RECURSIVE goals AS (SELECT * FROM (VALUES {goals}) AS v(place, target)),
+    pairs AS (SELECT *, {_matching_key('source')} AS a, {_matching_key('target')} AS b,
+                     row_number() OVER (ORDER BY source, place) AS pair FROM ({names}) CROSS JOIN goals),
+    cells AS (SELECT pair, a, b, i, unnest(range(1, length(b) + 1)) AS j
+              FROM (SELECT pair, a, b, unnest(range(1, length(a) + 1)) AS i FROM pairs)),
+    runs AS (SELECT pair, i, j, len(list_filter(range(1, least(length(a) - i, length(b) - j) + 2),
+                    lambda k: substr(a, i, k) = substr(b, j, k))) AS l FROM cells WHERE substr(a, i, 1) = substr(b, j, 1)),
+    blocks AS (
+        SELECT pair, 1 AS i0, CAST(length(a) + 1 AS BIGINT) AS i1, 1 AS j0, CAST(length(b) + 1 AS BIGINT) AS j1, 0 AS size FROM pairs
+        UNION ALL
+        SELECT pair, part.i0, part.i1, part.j0, part.j1, part.size FROM (
+            SELECT pair, unnest([{{'i0': i0, 'i1': -m.i, 'j0': j0, 'j1': -m.j, 'size': m.l}},
+                                 {{'i0': m.l - m.i, 'i1': i1, 'j0': m.l - m.j, 'j1': j1, 'size': 0}}]) AS part
+            FROM (SELECT pair, i0, i1, j0, j1, max({{'l': least(l, i1 - i, j1 - j), 'i': -i, 'j': -j}}) AS m
+                  FROM blocks JOIN runs USING (pair) WHERE i >= i0 AND i < i1 AND j >= j0 AND j < j1 GROUP BY ALL))),
+    scored AS (
+        SELECT source, target, place, least(1.0::DOUBLE,
+            CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * matched / (length(a) + length(b)) END
+            + CASE WHEN {words} THEN {M.ABBREVIATION_BONUS}::DOUBLE WHEN {bare} THEN {M.AFFIX_BONUS}::DOUBLE ELSE 0 END) AS confidence
+        FROM pairs JOIN (SELECT pair, sum(size) AS matched FROM blocks GROUP BY pair) USING (pair))"""
+
+
+def suggestions_sql(names: str, targets: list[str], top_n: int = M.TOP, least: float = M.MIN_CONFIDENCE) -> str:
+    return likeness_sql(names, targets) + f"""
+    SELECT source, rank, target, confidence FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY confidence DESC, place) AS INTEGER) AS rank
+        FROM scored WHERE confidence >= {least}) WHERE rank <= {top_n}"""
+
+
+def auto_sql(names: str, targets: list[str]) -> str:
+    return likeness_sql(names, targets) + f""",
+    exact AS (SELECT source, arg_min(target, place) AS target FROM pairs WHERE a = b GROUP BY source),
+    close AS (
+        SELECT source, target, confidence FROM scored WHERE source NOT IN (SELECT source FROM exact) AND confidence >= {M.MIN_CONFIDENCE}
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, place) = 1)
+    SELECT source, target, 1.0::DOUBLE AS confidence, 'exact' AS how FROM exact
+    UNION ALL
+    SELECT source, target, confidence, 'similar' FROM (
+        SELECT * FROM close WHERE confidence > {M.AUTO_CONFIDENCE} AND target NOT IN (SELECT target FROM exact)
+        QUALIFY row_number() OVER (PARTITION BY target ORDER BY source) = 1)"""
+
+
+PART_NAMES = "SELECT DISTINCT p_name AS source FROM part WHERE p_name IS NOT NULL"
+
+
+@query("map_fuzzy", "MAP06 FN08", suggestions_sql(PART_NAMES, FIELD_NAMES))
 def _(t):
     return M.suggest_mappings(t.part, "p_name", FIELD_NAMES)
 
 
-@query("map_fuzzy_documents", "MAP06 FN08")
+@query("map_fuzzy_documents", "MAP06 FN08", suggestions_sql(
+    "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL", DOCUMENT_NAMES, 2, 0.1))
 def _(t):
-    return M.suggest_mappings(t.documents, "source", ["web_page", "news", "forum_name", "code"], 2, 0.1)
+    return M.suggest_mappings(t.documents, "source", DOCUMENT_NAMES, 2, 0.1)
 
 
-@query("map_auto", "MAP07 FN07")
+@query("map_auto", "MAP07 FN07", auto_sql(PART_NAMES, FIELD_NAMES))
 def _(t):
     return M.auto_mapping(t.part, "p_name", FIELD_NAMES)
 

@@ -343,6 +343,30 @@ def test_suggestions_equal_brute_force(spark):
     assert all(c >= 0.3 for v in got.values() for _, c in v)
 
 
+def test_indexed_targets_equal_scoring_all():
+    words = ["customer", "order", "qty", "quantity", "date", "dt", "id", "is", "name", "total", "amt", "amount", "x1", "city"]
+    targets = [a + sep + b for a in words for b in words for sep in ("_", "", " ")] + ["", "q" * 90, "qty" * 30]
+    goals = mapping.Goals(targets)
+
+    def all_scored(name, top, least):
+        low, out = name.lower(), []
+        for place, target in enumerate(targets):
+            other, ratio = target.lower(), SequenceMatcher(None, goals.key(name), goals.key(target)).ratio()
+            if any((a in low and f in other) or (f in low and a in other) for a, f in mapping.ABBREVIATIONS):
+                ratio += mapping.ABBREVIATION_BONUS
+            elif any(low.replace(x, "") == other.replace(x, "") != "" for x in mapping.AFFIXES):
+                ratio += mapping.AFFIX_BONUS
+            out.append((min(1.0, ratio), place))
+        return sorted((o for o in out if o[0] >= least), key=lambda o: (-o[0], o[1]))[:top]
+
+    names = ["CustOrder", "is_total", "date dt", "", "___", "qty" * 25, "q" * 70, "zzz", "amount_x1", "identifier", "ytic", "name_id"]
+    for top, least in ((5, 0.3), (1, 0.9), (3, 0.0), (len(targets), 0.0)):
+        goals.scored = 0
+        for name in names:
+            assert goals.best(name, goals.key(name), top, least) == all_scored(name, top, least), (name, top, least)
+        assert top > 5 or goals.scored < 0.1 * len(names) * len(targets)
+
+
 def test_auto_mapping(spark):
     df = spark.createDataFrame([(0, "Order-Date"), (1, "customer_ids"), (2, "customer_idx"), (3, "???")], "p int, name string")
     out = mapping.auto_mapping(df, "name", ["orderdate", "customer_id"], "p")
