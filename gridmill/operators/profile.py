@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridmill.functions.numbers import as_number, is_numeric, missing, percent
 from gridmill.operators.quantiles import percentile_rows
 from gridmill.operators.stats import with_scalar
+from gridmill.session import written
 
 # fixed values
 BINS = 10
@@ -14,6 +15,8 @@ BINS = 10
 CATEGORICAL_VALUES, CATEGORICAL_SHARE = 50, 0.05
 # columns per aggregate: keeps generated code small on wide tables
 BATCH = 50
+# longer texts are counted by their SHA-256 (64 characters, so that it equals no short text)
+SHORT_TEXT = 48
 
 _TIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -43,12 +46,65 @@ def long_stats(df: DataFrame, columns: list[str], metrics) -> DataFrame:
     return out
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, value, n`` over all columns: one shuffle serves distinct counts, modes and top values."""
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value`` with one row per cell that is not null, as text."""
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = texts.unpivot([], columns, "column", "value") if len(columns) > 1 else texts.select(
         F.lit(columns[0]).alias("column"), F.col(columns[0]).alias("value"))
-    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.filter(F.col("value").isNotNull())
+
+
+def _long(value: str) -> Column:
+    return F.octet_length(value) > SHORT_TEXT
+
+
+def _key(value: str) -> Column:
+    return F.when(_long(value), F.sha2(value, 256)).otherwise(F.col(value))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, key, lead, n`` over all columns: one shuffle serves distinct counts, modes and top values.
+
+    The key is the text itself or, for a long text, its digest: no row of the shuffle exceeds some hundred bytes, however long the
+    texts are.  ``lead`` is the start of the text, which orders most ties without it.
+    """
+    lead = F.substring("value", 1, SHORT_TEXT).alias("lead")
+    return _cells(df, columns).groupBy("column", _key("value").alias("key"), lead).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(df: DataFrame, columns: list[str], name: str = "unique_count") -> DataFrame:
+    """``column, <name>, rows``: exact distinct values and the rows that are not null."""
+    counts = _cells(df, columns).groupBy("column", _key("value").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("column").agg(F.count(F.lit(1)).alias(name), F.sum("n").alias("rows"))
+
+
+def _may_be_long(df: DataFrame, columns: list[str]) -> list[str]:
+    return [c for c in columns if not is_numeric(df.schema[c].dataType)
+            and not isinstance(df.schema[c].dataType, (*_TIME, T.BooleanType))]
+
+
+def leading_values(df: DataFrame, columns: list[str], counts: DataFrame, limit: int) -> DataFrame:
+    """``column, rank, value, n`` of the most frequent values; ties by the smallest value.
+
+    Keys are ranked by count and lead, keys that tie in both all stay.  Only when a digest is among them are the texts read again, and only
+    those whose digest is wanted go on; the wanted keys are a written table, whose size decides how Spark joins it.
+    """
+    order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("lead"))
+    ahead = counts.withColumn("_r", F.rank().over(order)).filter(F.col("_r") <= limit).drop("_r")
+    named = ahead.withColumn("value", F.col("key"))
+    texts = _may_be_long(df, columns)
+    if texts:
+        ahead = written(ahead, "leading-values")
+        named = ahead.withColumn("value", F.col("key"))
+        # a digest is longer than any short text
+        wanted = ahead.filter(F.octet_length("key") > SHORT_TEXT)
+        if not wanted.isEmpty():
+            found = _cells(df, texts).filter(_long("value")).select("column", _key("value").alias("key"), "value")
+            found = found.join(wanted, ["column", "key"]).groupBy("column", "key").agg(
+                F.min("value").alias("value"), F.first("n").alias("n"))
+            named = named.filter(F.octet_length("key") <= SHORT_TEXT).select("column", "key", "value", "n").unionByName(found)
+    final = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
+    return named.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= limit).select("column", "rank", "value", "n")
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS, clamp: bool = True) -> DataFrame:
@@ -85,15 +141,16 @@ def frequency_table(df: DataFrame, column: str, limit: int | None = None) -> Dat
     return top.withColumn("percentage", percent(F.col("count"), total))
 
 
-def mode_rows(counts: DataFrame) -> DataFrame:
-    """``column, unique_values, mode, mode_count`` from value counts; ties go to the smallest value."""
-    rank = F.struct(-F.col("n"), F.col("value"))
-    return counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_values"), F.min_by("value", rank).alias("mode"), F.max("n").alias("mode_count"))
+def mode_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, unique_values, mode, mode_count``; ties go to the smallest value."""
+    counts = value_counts(df, columns)
+    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
+    modes = leading_values(df, columns, counts, 1)
+    return distinct.join(modes, "column").select("column", "unique_values", F.col("value").alias("mode"), F.col("n").alias("mode_count"))
 
 
 def categorical_stats(df: DataFrame, column: str) -> DataFrame:
-    return mode_rows(value_counts(df, [column]))
+    return mode_rows(df, [column])
 
 
 def missing_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -140,8 +197,7 @@ def profile_contract(df: DataFrame, columns: list[str] | None = None) -> DataFra
     if not texts:
         return base.select("position", "column", F.col("kind").alias("category"),
                            F.lit(None).cast("bigint").alias("unique_values"))
-    counts = value_counts(df, texts).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_values"), F.sum("n").alias("rows"))
+    counts = distinct_counts(df, texts, "unique_values")
     few = (F.col("unique_values") <= CATEGORICAL_VALUES) | (
         F.col("unique_values") <= F.col("rows") * CATEGORICAL_SHARE)
     return base.join(counts, "column", "left").select(
@@ -174,7 +230,7 @@ def dataset_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     else:
         out = out.withColumn("median", F.lit(None).cast("double"))
     if others:
-        out = out.join(mode_rows(value_counts(df, others)), "column", "left")
+        out = out.join(mode_rows(df, others), "column", "left")
     else:
         out = out.select("*", F.lit(None).cast("bigint").alias("unique_values"),
                          F.lit(None).cast("string").alias("mode"), F.lit(None).cast("bigint").alias("mode_count"))
@@ -221,7 +277,7 @@ def text_column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = long_stats(texts, columns, lambda c: [
         F.count(c).alias("non_null_count"), F.max(F.length(c)).alias("max_length"), F.min(F.length(c)).alias("min_length"),
         F.avg(F.length(c)).alias("avg_length")])
-    distinct = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    distinct = distinct_counts(df, columns)
     return stats.join(distinct, "column", "left").select(
         "column", "non_null_count", "max_length", "min_length", "avg_length",
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
@@ -230,16 +286,14 @@ def text_column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """``column, rank, value, count``; the rank limit is applied before the shuffle."""
-    order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.select("column", "rank", "value", F.col("n").alias("count"))
+    return leading_values(df, columns, value_counts(df, columns), limit).withColumnRenamed("n", "count")
 
 
 def datetime_column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     stamps = df.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in columns])
     stats = long_stats(stamps, columns, lambda c: [
         F.count(c).alias("non_null_count"), F.min(c).alias("min_date"), F.max(c).alias("max_date")])
-    distinct = value_counts(stamps, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    distinct = distinct_counts(stamps, columns)
     # whole days of the difference, not calendar days crossed
     days = F.floor((F.unix_micros(F.col("max_date").cast("timestamp"))
                     - F.unix_micros(F.col("min_date").cast("timestamp"))) / 86_400_000_000)
@@ -264,7 +318,7 @@ def schema_of(df: DataFrame, mark_all_required: bool = False, exact: bool = True
 
     out = long_stats(df, df.columns, metrics)
     if exact:
-        distinct = value_counts(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+        distinct = distinct_counts(df, df.columns).drop("rows")
         out = out.join(distinct, "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
     required = F.lit(True) if mark_all_required else ~F.col("nullable")
     return out.select("position", "column", "type", "nullable", required.alias("required"), "unique_count")

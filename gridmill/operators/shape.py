@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from itertools import chain, count
 
 import pandas as pd
@@ -199,8 +200,30 @@ def dictionary(df: DataFrame, column: str, order: list | None = None) -> DataFra
     if order is not None:
         return spark.createDataFrame([(v, i) for i, v in enumerate(order)], T.StructType([
             T.StructField("value", df.schema[column].dataType), T.StructField("code", T.LongType())]))
-    distinct = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return assign_positions(distinct, ["value"], "_n").select("value", (F.col("_n") - 1).alias("code"))
+    return dictionaries(df, [column])[column]
+
+
+def dictionaries(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """``value, code`` for each column, from one sort of all distinct values of all columns.
+
+    The sorted values are written once, by one job that runs when this is called.  Values lie in one field per type, the other fields are
+    null, so that every column is sorted by its own type.
+    """
+    types = list(dict.fromkeys(df.schema[c].dataType for c in columns))
+    fields = [f"v{i}" for i in range(len(types))]
+    cells = [F.struct(F.lit(at).alias("place"), *[
+        (F.col(c) if df.schema[c].dataType == kind else F.lit(None).cast(kind)).alias(f) for f, kind in zip(fields, types)])
+        for at, c in enumerate(columns)]
+    if not cells:
+        return {}
+    distinct = df.select(F.inline(F.array(*cells))).filter(
+        reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields]))
+    placed = assign_positions(distinct.distinct(), ["place", *fields], "_n")
+    first = placed.groupBy("place").agg(F.min("_n").alias("_first"))
+    coded = placed.join(F.broadcast(first), "place")  # one row per column
+    return {c: coded.filter(F.col("place") == at).select(
+        F.col(fields[types.index(df.schema[c].dataType)]).alias("value"), (F.col("_n") - F.col("_first")).alias("code"))
+        for at, c in enumerate(columns)}
 
 
 def encode_label(df: DataFrame, column: str, mapping: DataFrame | None = None) -> DataFrame:
@@ -212,9 +235,9 @@ def encode_label(df: DataFrame, column: str, mapping: DataFrame | None = None) -
 
 
 def encode_labels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Label codes for many columns; every dictionary comes from the input."""
+    """Label codes for many columns; every dictionary comes from the input, all from one sort."""
     out = df
-    for c, mapping in [(c, dictionary(df, c)) for c in columns]:
+    for c, mapping in dictionaries(df, columns).items():
         out = encode_label(out, c, mapping)
     return out
 

@@ -374,6 +374,30 @@ def test_auto_mapping(spark):
         ("Order-Date", "orderdate", "exact"), ("customer_ids", "customer_id", "similar")]
 
 
+def test_long_texts_are_counted_by_digest(spark):
+    head = "h" * profile.SHORT_TEXT
+    values = [head + "b" * 9_000, head + "a" * 9_000, head, head + "a" * 9_000, head + "b" * 9_000, head, "short", "", None, "\u00e9" * 40]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    top = [(r["rank"], r["value"], r["count"]) for r in profile.top_values(df, ["v"], 4).orderBy("rank").collect()]
+    assert top == [(1, head, 2), (2, head + "a" * 9_000, 2), (3, head + "b" * 9_000, 2), (4, "", 1)]
+    tied = df.filter("length(v) > 60")
+    assert rows(profile.categorical_stats(tied, "v")) == [("v", 2, head + "a" * 9_000, 2)]
+    assert rows(profile.distinct_counts(df, ["v", "i"])) == [("i", 10, 10), ("v", 6, 9)]
+    assert rows(profile.categorical_stats(df.filter("v IS NULL"), "v")) == []
+
+
+def test_codes_of_many_columns_come_from_one_sort(spark):
+    df = spark.createDataFrame([(3, "b", 1.5, "b"), (1, None, 0.5, "a"), (2, "a", 1.5, None), (None, "c", None, "c"), (10, "b", -2.0, "b")],
+                               "k long, s string, d double, t string")
+    assert rows(shape.encode_labels(df, ["k", "s", "d", "t"])) == sorted(
+        [(2, 1, 2, 1), (0, None, 1, 0), (1, 0, 2, None), (None, 2, None, 2), (3, 1, 0, 1)], key=repr)
+    books = shape.dictionaries(df, ["k", "s", "d"])
+    assert [r["value"] for r in books["k"].orderBy("code").collect()] == [1, 2, 3, 10]
+    assert rows(books["d"]) == [(-2.0, 0), (0.5, 1), (1.5, 2)]
+    assert rows(shape.encode_labels(df.limit(0), ["k", "s"])) == []
+    assert shape.encode_labels(df, []).count() == 5
+
+
 def test_mapping_strict(people):
     with pytest.raises(ValueError):
         mapping.validate_mapping(people, {"nope": "x"}, {"x": {"type": "string"}}, strict=True)
