@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations, islice, repeat
+import math
+from functools import reduce
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridmill.llm.common import frugal, staged, text_slices
 from gridmill.llm.graph import components, join_roots
 
+TREE = 256            # fingerprints of a shard tree, on average
+MOST = 20_000         # larger shards are cut again
 SHARD_ROWS = 400_000  # fingerprints indexed at once in a task
 FRONTIER = 2_000_000  # (query, node) pairs compared at once
 
@@ -118,20 +122,55 @@ def shard_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.n
     return values[tied], values[labels[tied]]
 
 
-def block_keys(fp: str, radius: int) -> Column:
-    """Keys of the shard trees that a fingerprint belongs to.
+def _bits(c: Column, lo: int, hi: int) -> Column:
+    """Bits lo to hi (without hi), counted from the lowest, as a number."""
+    return c if hi - lo >= 64 else F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
 
-    Cut into radius + 2 blocks, two fingerprints within the radius agree on two blocks at least: one key for each pair of blocks.
+
+def _without(c: Column, lo: int, hi: int) -> Column:
+    """What is left of a number when bits lo to hi are taken out and those above move down."""
+    low = c.bitwiseAND(F.lit((1 << lo) - 1))
+    return low if hi >= 64 else F.shiftleft(F.shiftrightunsigned(c, hi), lo).bitwiseOR(low)
+
+
+def routed(rows: DataFrame, width: int, radius: int, used: int) -> tuple[DataFrame, int]:
+    """Rows ``fp, path, rest`` by the shard trees that they belong to: ``fp, key, path, rest``, and the bits left in ``rest``.
+
+    The ``width`` bits of ``rest`` are cut into radius + 1 blocks: two values within the radius agree on a whole block, so that they meet
+    where rows go by block.  ``key`` looks at ``used`` bits of the block and names the tree; ``path`` looks at all of them, and ``rest``
+    has the other blocks, for shards that have to be cut once more.
     """
-    parts = radius + 2
-    bounds = [64 * i // parts for i in range(parts + 1)]
-    block = [F.shiftrightunsigned(F.shiftleft(F.col(fp), 64 - hi), 64 - hi + lo) for lo, hi in zip(bounds, bounds[1:])]
-    return F.array(*(F.xxhash64(F.lit(k), block[i], block[j]) for k, (i, j) in enumerate(combinations(range(parts), 2))))
+    parts = radius + 1
+    bounds = [width * i // parts for i in range(parts + 1)]
+    ways = [F.struct(
+        F.xxhash64("path", F.lit(i), _bits(F.col("rest"), lo, min(hi, lo + used))).alias("key"),
+        F.xxhash64("path", F.lit(i), _bits(F.col("rest"), lo, hi)).alias("path"),
+        _without(F.col("rest"), lo, hi).alias("rest")) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))]
+    return rows.select("fp", F.inline(F.array(*ways))), width - width // parts
+
 
+def fingerprint_links(distinct: DataFrame, radius: int, tree: int = TREE, most: int = MOST) -> DataFrame:
+    """Links ``a``, ``b`` that connect all fingerprints (column ``fp``, distinct) within the radius of each other, not all pairs.
 
-def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links ``a``, ``b`` that connect all fingerprints (column ``fp``, distinct) within the radius of each other, not all pairs."""
-    routed = distinct.select("fp", F.explode(block_keys("fp", radius)).alias("key")).repartition("key").sortWithinPartitions("key")
+    A shard is the fingerprints that agree on some bits of one block, as many bits as give shards of about ``tree`` fingerprints; its BK-tree
+    finds those within the radius.  Shards of more than ``most`` are cut again by blocks of the bits that are left, at most twice: then
+    radius 2 leaves 20 bits, which bound a shard.
+    """
+    rows, width = distinct.select("fp", F.lit(0).cast("long").alias("path"), F.col("fp").alias("rest")), 64
+    rows, width = routed(rows, width, radius, max(0, math.ceil(math.log2(max(1, distinct.count()) / tree))))
+    links = []
+    for _ in range(2):
+        large = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "large")
+        if width < 1 or large.isEmpty():
+            break
+        links.append(tree_links(rows.join(large, "key", "left_anti"), radius))
+        rows, width = routed(rows.join(large, "key", "left_semi"), width, radius, 64)
+    return reduce(DataFrame.unionByName, [*links, tree_links(rows, radius)])
+
+
+def tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links among the fingerprints of every ``key``, whose rows meet in one task."""
+    sharded = rows.select("fp", "key").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -155,15 +194,15 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
         if count:
             yield links(pa.Table.from_batches(held))
 
-    return routed.mapInArrow(frugal(run), "a long, b long")
+    return sharded.mapInArrow(frugal(run), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2,
                    seed: int = 42) -> DataFrame:
     """Group documents whose fingerprints link, directly or through others, at ``radius`` differing bits or fewer.
 
-    Equal fingerprints are one node.  Nodes are routed to shard trees by pairs of their bit blocks, so that any two within the radius
-    meet in one shard and no tree needs to be sent to all tasks; a shard follows only edges within the radius and
+    Equal fingerprints are one node.  Nodes are routed to shard trees by bits of each of their blocks, so that any two within the radius
+    meet in one shard and no tree needs to be sent to all tasks; a shard's BK-tree follows only edges within the radius and
     returns links that span its groups.
 
     Returns one row per row of ``docs``: id, text_hash, fp (signed long), component (smallest id of the group) and root (a fingerprint that

@@ -351,6 +351,40 @@ def test_forest_links_everything_within_the_radius():
                      if group[i] == group[j] and (int(values[i]) ^ int(values[j])).bit_count() <= 2}
 
 
+@pytest.mark.parametrize("radius,tree,most", [(2, 256, 20_000), (2, 8, 12), (2, 1_000_000, 12), (0, 4, 3), (3, 16, 10)])
+def test_shards_link_everything_within_the_radius(spark, radius, tree, most):
+    rng = np.random.default_rng(radius)
+    flip = lambda v, bits: v ^ sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
+    centre = [int(x) for x in rng.integers(0, 2 ** 64, 12, dtype=np.uint64)]
+    # close to one another, apart by one more than the radius, and a crowd that shares 44 bits
+    values = {flip(c, k) for c in centre for k in (0, 1, 1, 2, 2, radius, radius + 1)} | {0, 2 ** 64 - 1}
+    values |= {centre[0] ^ int(x) for x in rng.integers(0, 2 ** 20, 150)}
+    values = sorted(values)
+    labels = list(range(len(values)))
+
+    def root(i):
+        while labels[i] != i:
+            i = labels[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= radius:
+                labels[root(i)] = root(j)
+    wanted = {frozenset(values[j] for j in range(len(values)) if root(j) == r) for r in set(map(root, range(len(values))))}
+    signed = lambda v: v - 2 ** 64 if v >= 2 ** 63 else v
+    frame = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    links = simhash.fingerprint_links(frame, radius, tree, most).collect()
+    groups = {v: {v} for v in values}
+    for link in links:
+        a, b = link["a"] % 2 ** 64, link["b"] % 2 ** 64
+        if groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for v in groups[b]:
+                groups[v] = groups[a]
+    assert {frozenset(g) for g in groups.values()} == wanted
+
+
 # ---- learned models ----
 
 def test_gradients_of_the_network():
