@@ -35,7 +35,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates."""
+    """Keep the smallest id of each group of near duplicates.
+
+    Null, empty and blank texts are one group.  Null ids count as larger than all others.  Of rows with equal id and text one stays, any of
+    them where they differ in other columns.  Extra columns stay whatever their names; no rows in, no rows out.
+    """
     return simhash.one_of_each(docs, words=3, radius=2)
 
 
@@ -48,13 +52,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit each document as often as the mix of sources takes it."""
+    """Emit each document as often as the mix of sources takes it.
+
+    A source without words gives nothing; in other sources a document without words (null text among them) is mixed like any other.  A null
+    source is a source of its own, repeated rows are mixed each on its own.  Extra columns stay whatever their names; no rows in, no rows out.
+    """
     mixed = mixing.mix(_packed(docs), carry=("text", "_row")).withColumnRenamed("id", "doc_id").where("copies > 0")
     return _unpacked(mixed.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document: doc_id, lang, source, n_pieces, ids.
+
+    An empty text has no ids, a null text null; repeated rows repeat.  Other columns are not returned.
+    """
     rows = pieces.encode(_packed(docs), PIECE_MODEL, keep=("_row",))
     return rows.select(F.col("id").alias("doc_id"), F.col("_row.lang").alias("lang"), F.col("_row.source").alias("source"),
                        F.size("ids").alias("n_pieces"), "ids")
