@@ -72,10 +72,10 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return _cells(df, columns).groupBy("column", _key("value").alias("key"), lead).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(df: DataFrame, columns: list[str], name: str = "unique_count") -> DataFrame:
-    """``column, <name>, rows``: exact distinct values and the rows that are not null."""
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, unique_count, rows``: exact distinct values and the rows that are not null."""
     counts = _cells(df, columns).groupBy("column", _key("value").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("column").agg(F.count(F.lit(1)).alias(name), F.sum("n").alias("rows"))
+    return counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("rows"))
 
 
 def _may_be_long(df: DataFrame, columns: list[str]) -> list[str]:
@@ -197,7 +197,9 @@ def profile_contract(df: DataFrame, columns: list[str] | None = None) -> DataFra
     if not texts:
         return base.select("position", "column", F.col("kind").alias("category"),
                            F.lit(None).cast("bigint").alias("unique_values"))
-    counts = distinct_counts(df, texts, "unique_values")
+    # the same shuffle as that of the modes
+    counts = value_counts(df, texts).groupBy("column").agg(
+        F.count(F.lit(1)).alias("unique_values"), F.sum("n").alias("rows"))
     few = (F.col("unique_values") <= CATEGORICAL_VALUES) | (
         F.col("unique_values") <= F.col("rows") * CATEGORICAL_SHARE)
     return base.join(counts, "column", "left").select(
