@@ -58,7 +58,12 @@ def normal_names(names: list[str], case: str = "snake", remove_special: bool = T
 
 def normalize_names(df: DataFrame, case: str = "snake", remove_special: bool = True,
                     max_length: int | None = None) -> DataFrame:
-    return df.toDF(*normal_names(df.columns, case, remove_special, max_length))
+    """``normal_names`` as column names.  Spark can't write or read names that differ in case alone unless its session tells cases apart
+    (``spark.sql.caseSensitive``); where such names come out, that is set."""
+    names = normal_names(df.columns, case, remove_special, max_length)
+    if len({n.lower() for n in names}) < len(names):
+        df.sparkSession.conf.set("spark.sql.caseSensitive", "true")
+    return df.toDF(*names)
 
 
 _TYPES = {"int": "bigint", "integer": "bigint", "float": "double", "str": "string", "string": "string",

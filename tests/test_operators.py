@@ -260,6 +260,20 @@ def test_names():
     assert shape.normal_names(["order-ID 2"], remove_special=False) == ["order_id_2"]
 
 
+@pytest.mark.parametrize("case, names", [("camel", ["fullname", "fullName"])])
+def test_names_that_differ_in_case_alone_can_be_written(spark, tmp_path, case, names):
+    spark.conf.unset("spark.sql.caseSensitive")
+    try:
+        named = shape.normalize_names(spark.createDataFrame([("a", 1)], "`fullName!` string, full_name long"), case)
+        named.write.parquet(f"{tmp_path}/out")
+        assert spark.read.parquet(f"{tmp_path}/out").select(*names).collect() == [("a", 1)]
+        spark.conf.unset("spark.sql.caseSensitive")
+        shape.normalize_names(named.toDF("a b", "c d"), case)
+        assert spark.conf.get("spark.sql.caseSensitive") == "false"
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
 def test_flatten_example(spark):
     docs = ['{"a": {"b": 1, "c": 2}, "d": 3}', '{"l": [{"x": 1}, [5]], "p": [1, "z"], "e": {}, "n": []}', "[7, {}]", "5", "bad"]
     df = spark.createDataFrame(list(enumerate(docs)), "i int, doc string")
