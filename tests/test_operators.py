@@ -260,7 +260,7 @@ def test_names():
     assert shape.normal_names(["order-ID 2"], remove_special=False) == ["order_id_2"]
 
 
-@pytest.mark.parametrize("case, names", [("camel", ["fullname", "fullName"])])
+@pytest.mark.parametrize("case, names", [("camel", ["fullname", "fullName"]), ("pascal", ["Fullname", "FullName"])])
 def test_names_that_differ_in_case_alone_can_be_written(spark, tmp_path, case, names):
     spark.conf.unset("spark.sql.caseSensitive")
     try:
