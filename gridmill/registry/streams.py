@@ -12,7 +12,8 @@ from gridmill.streaming import jobs as J, keyed as K
 
 
 def _events(t, table="events"):
-    return J.read_stream(t.spark, t.folder, getattr(t, table).schema, glob=f"{table}.parquet")
+    # a path with a pattern may be one file or a folder of files
+    return J.read_stream(t.spark, f"{t.folder}/{table}[.]parquet", getattr(t, table).schema)
 
 
 def _paths(t, label):

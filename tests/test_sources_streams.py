@@ -159,6 +159,15 @@ def test_tumbling_across_batches(spark, tables, split_events, folder):
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_tables_of_many_files(spark, tmp_path, files):
+    import __spark_entry__ as entry
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    docs.repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.filter("doc_id % 2 = 0").select("doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["doc_id"] for r in entry.queries()["stream_check"](spark, str(tmp_path)).collect()} == set(range(0, 40, 2))
+
+
 @pytest.fixture(scope="module")
 def unordered_log(spark, tables):
     """The events as eight files in the order of arrival, some rows one or three files late; and the rows with their file."""
