@@ -23,16 +23,22 @@ def sign(payload: Column, secret: str | bytes) -> Column:
     return F.sha2(F.concat(outer_pad, inner), 256)
 
 
+def _masked(c: Column, mask: int) -> Column:
+    """Every byte of a binary column XOR one byte, as a translation of Latin-1 letters.  ``translate`` drops what becomes letter 0, so 256 stands for it."""
+    masked = "".join(chr(b ^ mask or 256) for b in range(256))
+    letters = F.translate(F.decode(c, "ISO-8859-1"), "".join(map(chr, range(256))), masked)
+    return F.encode(F.replace(letters, F.lit(chr(256)), F.lit("\0")), "ISO-8859-1")
+
+
 def sign_each(payload: Column | str, secret: Column | str) -> Column:
-    """HMAC-SHA256 where every row brings its own secret, from the built-in digests; null where either is null."""
+    """HMAC-SHA256 where every row brings its own secret, from the built-in digests; null where the payload is null.  A null secret leaves
+    both pads empty: the result is no signature, but it is not null."""
     payload, secret = (F.col(c) if isinstance(c, str) else c for c in (payload, secret))
     raw = secret.cast("binary")
-    digits = F.rpad(F.hex(F.when(F.length(raw) > _BLOCK, F.unhex(F.sha2(raw, 256))).otherwise(raw)), 2 * _BLOCK, "0")
+    key = F.when(F.length(raw) > _BLOCK, F.unhex(F.sha2(raw, 256))).otherwise(raw)
 
     def pad(mask: int) -> Column:
-        byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-        masked = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK - 1)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(mask))), 2, "0"))
-        return F.unhex(F.array_join(masked, ""))
+        return F.coalesce(F.rpad(_masked(key, mask), _BLOCK, bytes([mask])), F.lit(b""))
 
     inner = F.unhex(F.sha2(F.concat(pad(0x36), payload.cast("binary")), 256))
     return F.sha2(F.concat(pad(0x5C), inner), 256)

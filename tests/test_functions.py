@@ -86,3 +86,12 @@ def test_hmac_equals_the_standard_library(spark, secret):
     assert values(spark, items, lambda c: signing.sign(c, secret)) == want
     assert values(spark, items, lambda c: signing.sign_each(c, F.lit(secret))) == want
     assert values(spark, items, lambda c: signing.verified(c, F.lit(want[1]), secret)) == [False, True, False]
+
+
+def test_own_secrets_of_any_bytes_are_masked_at_once(spark):
+    keys = [bytes(range(256))[i:i + n] for i in range(0, 256, 5) for n in (1, 33, 64, 65)] + [b"", b"6" * 64, b"\\" * 64, b"\0" * 3]
+    rows = spark.createDataFrame([(bytearray(k), "ü") for k in keys], "k binary, p string")
+    signed = rows.select("k", signing.sign_each("p", "k").alias("s"))
+    assert [r["s"] for r in signed.collect()] == [hmac.new(k, "ü".encode(), hashlib.sha256).hexdigest() for k in keys]
+    # no step per byte of the key: those took 64 interpreted calls a pad and row
+    assert "lambda" not in signed._jdf.queryExecution().optimizedPlan().toString()
