@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridmill.registry.base import query
 from gridmill.registry.files import PAYLOAD_ROWS
 from gridmill.registry.relations import FAILURES, STREAK_SQL
-from gridmill.session import scratch_path
+from gridmill.session import scratch_path, written
 from gridmill.streaming import jobs as J, keyed as K
 
 
@@ -116,9 +116,10 @@ def _log(t):
     path = scratch_path(t.spark, "log")
     delay = F.when(F.col("event_id") % 50 == 0, 3).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
     home = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 5)
-    events = t.events.withColumn("_b", F.least(home + delay, F.lit(LOG_FILES - 1)))
+    # parted by tasks in one pass; then only a batch's own rows go through the task that writes its file
+    staged = written(t.events.withColumn("_b", F.least(home + delay, F.lit(LOG_FILES - 1)).cast("int")), "parted", "_b")
     for n in range(LOG_FILES):
-        events.filter(F.col("_b") == n).drop("_b").coalesce(1).write.mode("append").parquet(path)
+        staged.filter(F.col("_b") == n).drop("_b").coalesce(1).write.mode("append").parquet(path)
     return J.read_stream(t.spark, path, t.events.schema, files_per_batch=1)
 
 

@@ -43,10 +43,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/gridmill/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write the frame as a table in the shared folder and continue from it; later steps plan from the files."""
+def written(df: DataFrame, label: str, *parts: str) -> DataFrame:
+    """Write the frame as a table in the shared folder, in folders by the columns in ``parts``, and continue from it; later steps plan from the files."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

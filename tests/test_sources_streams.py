@@ -210,6 +210,34 @@ def test_streaks_of_rows_out_of_order(spark, tables, unordered_log, folder):
     assert got == {i: x for i, x in want.items() if i in final}
 
 
+@pytest.fixture()
+def many_keys(spark, folder):
+    """Four files, a day each, of 400 keys (one null, some above 2 ** 53); as a stream, and as rows of (key, day, position, failed)."""
+    rows = [(None if k == 7 else (1 << 60) + k, d, None if d == 3 and k % 5 == 0 else (1 << 58) + 4 * k + d, None if k % 11 == d else k % 3 != d) for k in range(400) for d in range(4)]
+    frame = spark.createDataFrame(rows, "k long, d int, p long, failed boolean").withColumn("ts", F.timestamp_micros(F.col("d").cast("long") * 86_400_000_000 + 1))
+    for d in range(4):
+        frame.filter(F.col("d") == d).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return jobs.read_stream(spark, f"{folder}/in", frame.schema, files_per_batch=1), rows
+
+
+def state_rows(query):
+    return max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators)
+
+
+def test_streaks_share_states_of_many_keys(spark, many_keys, folder, monkeypatch):
+    monkeypatch.setattr(keyed, "GROUPS", 4, raising=False)
+    stream, rows = many_keys
+    query = keyed.keyed_streaks(stream, "k", "ts", "p", F.col("failed"), "1 second", f"{folder}/out", f"{folder}/cp", disable_at=2)
+    jobs.run_available(query)
+    want, streak = [], {}
+    for k, d, p, failed in sorted(rows, key=lambda r: r[1]):
+        streak[k] = n = streak.get(k, 0) + 1 if failed else 0
+        if d < 3:  # the last day has not been passed
+            want.append((k, p, n, n >= 2))
+    assert sorted(map(repr, map(tuple, spark.read.parquet(f"{folder}/out").collect()))) == sorted(map(repr, want))
+    assert state_rows(query) <= 40
+
+
 def test_late_rows_are_stored_and_counted(spark, tables, unordered_log, folder):
     path, late, _ = unordered_log
     jobs.run_available(keyed.late_rows(jobs.read_stream(spark, path, tables.events.schema, files_per_batch=1), "ts", 172_800, f"{folder}/out", f"{folder}/cp"))
