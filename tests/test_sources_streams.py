@@ -238,6 +238,17 @@ def test_streaks_share_states_of_many_keys(spark, many_keys, folder, monkeypatch
     assert state_rows(query) <= 40
 
 
+def test_rates_share_states_of_many_keys(spark, many_keys, folder, monkeypatch):
+    monkeypatch.setattr(keyed, "GROUPS", 4, raising=False)
+    stream, rows = many_keys
+    query = keyed.keyed_rates(stream, "k", "ts", 2 * 86_400, 2, "1 second", ["p", "failed"], f"{folder}/out", f"{folder}/cp")
+    jobs.run_available(query)
+    # the window is open: it leaves out the row two days before
+    want = [(k, p, failed, min(d, 1), d < 2 or min(d, 1) < 2, 2 - min(d, 1) - 1) for k, d, p, failed in rows if d < 3]
+    assert sorted(map(repr, map(tuple, spark.read.parquet(f"{folder}/out").collect()))) == sorted(map(repr, want))
+    assert state_rows(query) <= 40
+
+
 def test_late_rows_are_stored_and_counted(spark, tables, unordered_log, folder):
     path, late, _ = unordered_log
     jobs.run_available(keyed.late_rows(jobs.read_stream(spark, path, tables.events.schema, files_per_batch=1), "ts", 172_800, f"{folder}/out", f"{folder}/cp"))
