@@ -8,10 +8,12 @@ document and link counts; the postings then carry the counts back to the documen
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -33,6 +35,8 @@ NEXT = 1 << 16          # above all ids of either side: a pair is a * NEXT + b
 # A single space between two of these is where a token of either side begins, in any context.
 SOLID = "[!-~À-ÖØ-öø-ÿ]"
 CUT = re.compile(f"(?<={SOLID}) (?={SOLID})")
+SOLIDS = frozenset(c for c in map(chr, range(256)) if re.match(SOLID, c))
+JOINED_UNITS = 256      # units that A encodes as one text
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,9 +75,30 @@ class Sides:
         """Parts of a text that both sides cut alone as they do inside it, each without the space before it."""
         return CUT.split(text) if self.cuts else [text]
 
+    def ids_a(self, units: list[str]) -> list[list[int]]:
+        """Tokens of A for each unit, with a space before it.  Units that may stand beside others, as in a text before it was cut, are encoded many at once;
+        the sizes of the tokens tell them apart."""
+        solid = [i for i, u in enumerate(units) if self.cuts and u and u[0] in SOLIDS and u[-1] in SOLIDS]
+        parts = [solid[lo:lo + JOINED_UNITS] for lo in range(0, len(solid), JOINED_UNITS)]
+        out: list[list[int] | None] = [None] * len(units)
+        encode, sizes = self.a.encode_batch_fast, self.sizes[0]
+        for part, e in zip(parts, encode([" " + " ".join([units[i] for i in part]) for part in parts], add_special_tokens=False)):
+            ids = e.ids
+            ends = np.cumsum([len(units[i].encode()) + 1 for i in part])
+            upto = np.cumsum([sizes[x] for x in ids])
+            at = np.searchsorted(upto, ends)
+            if len(upto) and upto[-1] == ends[-1] and (upto[at] == ends).all():
+                lo = 0
+                for i, hi in zip(part, (at + 1).tolist()):
+                    out[i], lo = ids[lo:hi], hi
+        alone = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(alone, encode([" " + units[i] for i in alone], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def align(self, units: list[str]) -> list[tuple]:
         """For each unit, with a space before it: tokens of A and of B, groups, their text, the linked pairs; None if bytes are lost."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        ids_a = self.ids_a(units)
         ids_b = self.b.encode(units, num_threads=1)
         (texts_a, texts_b), (sizes_a, sizes_b), number, join = self.texts, self.sizes, self.numbers, b"".join
         out = []
@@ -110,6 +135,18 @@ def sides(byte_model: str, piece_model: str) -> Sides:
     return Sides(byte_model, piece_model)
 
 
+@contextmanager
+def uncollected():
+    """Without the search for cycles: a task remembers hundreds of thousands of small objects, none of them in a cycle, and each search visits them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Memory:
     """Alignments of the units met lately: two generations of a bounded number and size; what is met again moves to the new one."""
 
@@ -199,6 +236,10 @@ def _indexed(rows: DataFrame, byte_model: str, piece_model: str) -> DataFrame:
                            T.StructField("docs", T.BinaryType()), T.StructField("planes", T.ArrayType(T.BinaryType()))])
 
     def run(batches):
+        with uncollected():
+            yield from indexed(batches)
+
+    def indexed(batches):
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -283,6 +283,27 @@ def test_alignment_by_brute_force(spark, models, monkeypatch, size):
     assert align.sides(BYTE_MODEL, PIECE_MODEL).cuts
 
 
+def test_units_are_encoded_many_at_once():
+    both, given = align.Sides(BYTE_MODEL, PIECE_MODEL), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.model.encode_batch_fast(texts, **options)
+
+    draw = random.Random(5)
+    odd = ["a", "x\n", " lead", "tail ", "日本", "<|endoftext|>", "don't", "s'", "a  b", "é", "▁", "\U0001f600!"]
+    units = [u for u in odd + ["".join(draw.choice("ab's\té.1ß日") for _ in range(draw.randrange(1, 9))) for _ in range(600)] for u in both.units(u)]
+    want = [e.ids for e in both.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+    both.a = Counted(both.a)
+    assert both.ids_a(units) == want and both.ids_a([]) == []
+    solid = sum(u[0] in align.SOLIDS and u[-1] in align.SOLIDS for u in units)
+    assert solid > align.JOINED_UNITS and len(given) == len(units) - solid + -(-solid // align.JOINED_UNITS)
+
+
 def test_alignment_of_an_empty_table(spark):
     found, linked = align.align(spark.createDataFrame([], SCHEMA), BYTE_MODEL, PIECE_MODEL)
     assert found.count() == 0 and linked.count() == 0
