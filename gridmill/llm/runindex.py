@@ -31,6 +31,7 @@ HASH_BITS = 48           # an anchor's hash as it is sent; equal hashes of unequ
 HOT = 4_096              # an anchor with more occurrences is split by the bytes beside it
 GROUP_BYTES = 3 << 20    # an anchor whose contexts may hold more bytes is not indexed: its strings are sent as hashes, each on its own
 STRINGS = 1 << 20        # strings of such anchors hashed at once
+PARTS = 4                # parts of the starts of an anchor's strings, to tell which contexts can match
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than every other
 
 
@@ -121,7 +122,9 @@ class RunIndex:
     """
     n: int
     less: np.ndarray
+    run_of: np.ndarray  # per row, its run
     key: np.ndarray
+    symbol: np.ndarray
     start: np.ndarray
     size: np.ndarray
     before: np.ndarray
@@ -153,14 +156,16 @@ class RunIndex:
         size = np.diff(np.append(start, n))
         symbol = previous[start].astype(np.int64)
         first, last = order[start], order[start + size - 1]
-        up, down = np.argsort(first, kind="stable"), np.argsort(last, kind="stable")
+        up, down = np.argsort(first), np.argsort(last)
         above = first[up], np.append(-1, last[:-1])[up]
         below = last[down], np.append(first[1:], -1)[down]
-        by = np.argsort(symbol * (n + 1) + start, kind="stable")
+        by = np.argsort(symbol * (n + 1) + start)
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
         total = np.cumsum(size[by]) - size[by]
         new = np.append(True, symbol[by][1:] != symbol[by][:-1])
         counts = np.bincount(symbols, minlength=256)
-        return cls(n, np.cumsum(counts) - counts, (symbol * (n + 1) + start)[by], start[by], size[by],
+        return cls(n, np.cumsum(counts) - counts, np.repeat(rank, size), (symbol * (n + 1) + start)[by], symbol[by], start[by], size[by],
                    total - total[np.flatnonzero(new)][np.cumsum(new) - 1], first[by], last[by], above, below, group)
 
     def rank(self, symbol: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,17 +177,29 @@ class RunIndex:
 
     def step(self, symbol, lo, hi, row, place):
         """Extend matches to the left: rows [lo, hi), and one of them with its text place."""
+        run = self.run_of[lo]
+        moved = self.less[symbol] + self.before[run] - self.start[run]
+        out = moved + lo, moved + hi, moved + row, place - 1
+        # only matches whose rows are not all in one run of the symbol need a search
+        at = np.flatnonzero((self.symbol[run] != symbol) | (hi > self.start[run] + self.size[run]))
+        if len(at):
+            for whole, part in zip(out, self.search(symbol[at], lo[at], hi[at], row[at], place[at])):
+                whole[at] = part
+        return out
+
+    def search(self, symbol, lo, hi, row, place):
+        """``step`` for matches whose rows are in several runs."""
         base = self.less[symbol]
         new_lo, _ = self.rank(symbol, lo)
         new_hi, run = self.rank(symbol, hi)
-        held, own = self.rank(symbol, row + 1)
-        stays = (own >= 0) & (row < self.start[own] + self.size[own])
+        own = self.run_of[row]
+        stays = self.symbol[own] == symbol
         end = self.start[run] + self.size[run] - 1
         at_end = end < hi  # else the run goes on below, so it starts among the rows
         jump = np.where(at_end, end, self.start[run])
         sample = np.where(at_end, self.last[run], self.first[run])
         jumped = self.before[run] + jump - self.start[run]
-        row = base + np.where(stays, held - 1, jumped)
+        row = base + np.where(stays, self.before[own] + row - self.start[own], jumped)
         place = np.where(stays, place, sample) - 1
         return base + new_lo, base + new_hi, row, place
 
@@ -204,12 +221,13 @@ def earliest(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: n
     context_of = np.repeat(np.arange(len(starts)), ends + 1 - starts)
     sizes = ends - starts
     order = np.argsort(-sizes, kind="stable")
+    longest = -sizes[order]
     top = int(sizes.max(initial=0))
     lo, hi = np.zeros(len(order), np.int64), np.full(len(order), index.n, np.int64)
     row, place = np.zeros(len(order), np.int64), np.full(len(order), index.first[np.argmin(index.start)], np.int64)
     found = []
     for t in range(top):
-        live = np.searchsorted(-sizes[order], -t, side="left")
+        live = np.searchsorted(longest, -t, side="left")
         who = order[:live]
         lo, hi, row, place = lo[:live], hi[:live], row[:live], place[:live]
         if t >= length:
@@ -379,7 +397,7 @@ def shared_anchors(sent: DataFrame, hot: int, most: int) -> DataFrame:
 
 
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("ids", pa.binary()), ("docs", pa.binary()),
-                      ("starts", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("n", pa.int32()), ("marks", pa.binary()),
+                      ("starts", pa.binary()), ("sizes", pa.binary()), ("offsets", pa.binary()), ("bytes", pa.binary()), ("n", pa.int32()), ("marks", pa.binary()),
                       ("strings", pa.int32())])
 
 
@@ -425,12 +443,12 @@ def contexts_of(chunk: Chunk, returned: list[dict], buckets: int, length: int, k
     # A string with a hot anchor holds all of the ``side`` bytes left of it, or right of it: its starts are parted by which.
     side = (length - k) // 2
     left, right = hot & (first <= place - side), hot & (last > place - side)
-    parts = [(hashes[~hot], first[~hot], last[~hot])]
+    parts = [(hashes[~hot], first[~hot], last[~hot], place[~hot])]
     for which, lo, hi, beside in ((left, first, np.minimum(last, place - side), place - side), (right, np.maximum(first, place - side + 1), last, place + k)):
         at = np.flatnonzero(which)
         near = sliced_hashes(chunk.data, beside[at], beside[at] + side)
-        parts.append((mixed(hashes[at] ^ near ^ np.uint64(which is right)) >> np.uint64(64 - HASH_BITS), lo[at], hi[at]))
-    keys, first, last = (np.concatenate(x) for x in zip(*parts))
+        parts.append((mixed(hashes[at] ^ near ^ np.uint64(which is right)) >> np.uint64(64 - HASH_BITS), lo[at], hi[at], place[at]))
+    keys, first, last, place = (np.concatenate(x) for x in zip(*parts))
     sizes = last - first + length
     docs = np.searchsorted(chunk.bounds, first, side="right") - 1
     texts = sliced_hashes(chunk.data, first, first + sizes)
@@ -444,7 +462,7 @@ def contexts_of(chunk: Chunk, returned: list[dict], buckets: int, length: int, k
         at = order[cuts[b]:cuts[b + 1]]
         text = gathered(chunk.data, first[at], sizes[at])
         out.append({"bucket": b, "chunk": chunk.name, "keys": pack(keys[at]), "ids": pack(chunk.ids[docs[at]]), "docs": pack(docs[at].astype(np.int32)),
-                    "starts": pack(starts[at]), "sizes": pack(sizes[at].astype(np.int32)),
+                    "starts": pack(starts[at]), "sizes": pack(sizes[at].astype(np.int32)), "offsets": pack((place[at] - first[at]).astype(np.int32)),
                     "bytes": zstandard.ZstdCompressor(1).compress(text.tobytes()), "n": len(at), "marks": None})
     if len(later):
         out.append({"bucket": int(keys[later[0]] % np.uint64(buckets)), "chunk": chunk.name, "n": 0, "marks": pack_marks(*marks)})
@@ -496,11 +514,11 @@ def send_contexts(chunks: DataFrame, copies: DataFrame, flags: DataFrame, bucket
     return beside_chunks(chunks, other, run, ", ".join(f"{f.name} {kinds[f.type]}" for f in CONTEXTS))
 
 
-def match_contexts(sent: DataFrame, length: int) -> DataFrame:
+def match_contexts(sent: DataFrame, length: int, k: int) -> DataFrame:
     """Marks per chunk: strings that a smaller id holds, found by the index of the bucket's contexts.
 
-    Equal contexts are indexed once, for the least id; other ids that hold them are marked whole.  A context whose anchor stands
-    in no other context of the bucket has nothing to match and is left out of the index.  Strings that were sent as hashes are compared
+    Equal contexts are indexed once, for the least id; other ids that hold them are marked whole.  A context has nothing to match and is left
+    out of the index if no other context of its anchor has the same bytes beside the anchor (``may_match``).  Strings that were sent as hashes are compared
     as such.
     """
     def run(table: pa.Table) -> pa.Table:
@@ -511,7 +529,7 @@ def match_contexts(sent: DataFrame, length: int) -> DataFrame:
             done += marks_of_strings(strings, length)
         rows = [r for r in rows if r["n"]]
         if rows:
-            done += marks_in(rows, length)
+            done += marks_in(rows, length, k)
         per_chunk: dict[str, list[np.ndarray]] = {}
         for chunk, marks in done:
             per_chunk.setdefault(chunk, []).append(marks)
@@ -521,10 +539,27 @@ def match_contexts(sent: DataFrame, length: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(frugal(run), "chunk string, marks binary")
 
 
-def marks_in(rows: list[dict], length: int) -> list[tuple[str, np.ndarray]]:
+def may_match(data: np.ndarray, keys: np.ndarray, begin: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Whether a context can share a string with another one of its key.  Equal strings hold their anchor at the same place.  Their starts are
+    parted by how far left of the anchor they are: what all strings of a part hold has to be the same in both contexts.
+    """
+    out = np.zeros(len(keys), bool)
+    room = length - k  # bytes of a string beside its anchor
+    cuts = np.unique(np.linspace(0, room + 1, PARTS + 1).astype(np.int64))
+    for least, most in zip(cuts.tolist(), (cuts[1:] - 1).tolist()):
+        reach = k + room - most  # from the anchor on
+        at = np.flatnonzero((offsets >= least) & (offsets + reach <= sizes))
+        place = begin[at] + offsets[at]
+        held = mixed(keys[at] ^ sliced_hashes(data, place - least, place + reach))
+        _, back, times = np.unique(held, return_inverse=True, return_counts=True)
+        out[at[times[back] > 1]] = True
+    return out
+
+
+def marks_in(rows: list[dict], length: int, k: int) -> list[tuple[str, np.ndarray]]:
     column = lambda name, kind: np.concatenate([unpack(r[name], kind) for r in rows])
     keys, ids, docs = column("keys", np.uint64), column("ids", np.int64), column("docs", np.int32).astype(np.int64)
-    starts, sizes = column("starts", np.int64), column("sizes", np.int32).astype(np.int64)
+    starts, sizes, offsets = column("starts", np.int64), column("sizes", np.int32).astype(np.int64), column("offsets", np.int32).astype(np.int64)
     chunk = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
     data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["bytes"]) for r in rows), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -533,9 +568,7 @@ def marks_in(rows: list[dict], length: int) -> list[tuple[str, np.ndarray]]:
     found = [(later, starts[later], starts[later] + sizes[later])]
 
     one = order[new]                       # a place of each distinct context, by key
-    alone = np.bincount(np.unique(keys[one], return_inverse=True)[1])
-    many = np.repeat(alone > 1, alone)
-    kept = np.flatnonzero(many)            # numbers of the contexts that are indexed
+    kept = np.flatnonzero(may_match(data, keys[one], begin[one], sizes[one], offsets[one], length, k))  # numbers of the contexts that are indexed
     holders, holder_of = order[least], number[least]
     begin_of = np.searchsorted(holder_of, np.arange(len(one) + 1))
     lo = 0
@@ -640,5 +673,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = later_copies(chunks, length)
     most = group_bytes // (2 * length - anchor + 1)  # contexts with their closing symbols
     flags = shared_anchors(send_anchors(chunks, copies, buckets, length, anchor), hot, most)
-    marks = match_contexts(send_contexts(chunks, copies, flags, buckets, length, anchor), length)
+    marks = match_contexts(send_contexts(chunks, copies, flags, buckets, length, anchor), length, anchor)
     return cut_marks(chunks, copies, marks, [docs.schema[c] for c in keep])

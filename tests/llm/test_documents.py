@@ -161,6 +161,40 @@ def test_contexts_of_a_common_anchor_are_spread():
     assert strings.sum() > 400 and strings.max() < 2 * strings.mean()
 
 
+def sent_contexts(texts, length, k):
+    """All contexts of the texts, each text a chunk of its own, in one bucket."""
+    out = []
+    for i, t in enumerate(texts):
+        chunk = runindex.Chunk(str(i), np.array([i]), np.array([0, len(t)]), np.frombuffer(t, np.uint8), np.zeros(1, bool))
+        flags = np.ones(len(runindex.anchor_counts(chunk, length, k)[0]), np.uint8)
+        out += runindex.contexts_of(chunk, [{"bucket": 0, "flags": runindex.pack(flags)}], 1, length, k)
+    return [r for r in out if r["n"]]
+
+
+def test_contexts_that_share_an_anchor_alone_are_not_indexed(monkeypatch):
+    indexed = []
+    earliest = runindex.earliest
+    monkeypatch.setattr(runindex, "earliest", lambda symbols, starts, *rest: indexed.append(len(starts)) or earliest(symbols, starts, *rest))
+    shared = words(1, 3)[:24]
+    apart = [(words(100 + i, 12) + " " + shared + " " + words(200 + i, 12)).encode() for i in range(6)]
+    assert runindex.marks_in(sent_contexts(apart, 50, 16), 50, 16) == [] and not indexed
+    assert runindex.marks_in(sent_contexts([*apart, b"x" + apart[0][20:] + b"y"], 50, 16), 50, 16) and sum(indexed) > 0
+
+
+@pytest.mark.parametrize("length,k", [(9, 4), (10, 4), (7, 6), (6, 6), (12, 5)])
+def test_no_match_is_left_out_of_the_index(length, k):
+    draw = random.Random(length * k)
+    for _ in range(40):
+        texts = [bytes(draw.choice(b"abc") for _ in range(draw.randint(length, 40))) for _ in range(12)]
+        gone = [set() for _ in texts]
+        for chunk, marks in runindex.marks_in(sent_contexts(texts, length, k), length, k):
+            for _, first, last in marks.T.tolist():
+                gone[int(chunk)].update(range(first, last))
+        # repeats inside a text are no matter of ids, so all that is wanted comes from earlier texts
+        want = [{j for s in range(len(t) - length + 1) if any(t[s:s + length] in u for u in texts[:i]) for j in range(s, s + length)} for i, t in enumerate(texts)]
+        assert gone == want
+
+
 def test_removal_of_short_strings(spark):
     draw = random.Random(3)
     made = [(i, "".join(draw.choice("ab") for _ in range(draw.randint(0, 60)))) for i in range(60)]
