@@ -16,6 +16,7 @@ SAMPLE_ROWS = 8_192     # vectors that the quantisers are fitted on; every vecto
 LIST_ROWS = 256         # vectors of a class that a list should hold, on average
 MAX_LISTS = 4_096
 TILE_ROWS = 2_048       # queries and list members compared in one task at once
+QUERY_ROWS = 256        # queries whose tables are looked up together
 SUBSPACES, CODES = 8, 256
 SLACK = 1e-6            # rounding allowed for in the bounds
 
@@ -63,23 +64,38 @@ class Quantiser:
         off = sum(((p - b[c]) ** 2).sum(1) for p, b, c in zip(self.parts(rest), self.books, codes.T))
         return codes, np.sqrt(off)
 
-    def distances(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances: one table per query and subspace, looked up by the members' codes."""
-        out = np.zeros((len(rest), len(codes)))
-        for p, b, c in zip(self.parts(rest), self.books, codes.T):
-            out += squared(p, b)[:, c]
-        return out
+    def close(self, rest: np.ndarray, codes: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) pairs whose asymmetric squared distance is within the member's limit.
 
-    def probes(self, unit: np.ndarray, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, list) pairs that suffice to meet every vector within the radius.
-
-        A vector of another list lies beyond the plane half-way between the two centroids, so a list can be left out
-        when that plane is farther away than the radius.
+        One table per query and subspace, looked up by the members' codes; the later half only for pairs that the first leaves open.
+        """
+        looked = [(squared(p, b), c) for p, b, c in zip(self.parts(rest), self.books, codes.T)]
+        first = (len(looked) + 1) // 2
+        far = sum(table[:, c] for table, c in looked[:first])
+        q, m = np.nonzero(far <= limit)
+        far = far[q, m]
+        for table, c in looked[first:]:
+            far += table[q, c[m]]
+            open_ = far <= limit[m]
+            q, m, far = q[open_], m[open_], far[open_]
+        return q, m
+
+    def probes(self, far: np.ndarray, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, other list) pairs that suffice for one of any two vectors within the radius to meet the other in its list.
+
+        ``far`` holds squared distances to the centroids.  Vectors of two lists lie on either side of the plane half-way between the two
+        centroids, and together no farther from it than from each other: one of them has the plane within half the radius, and only that
+        one has to be sent across.
         """
-        far = squared(unit, self.coarse)
-        gap = np.sqrt(squared(self.coarse, self.coarse))[own]
-        beyond = far - far[np.arange(len(unit)), own][:, None]
-        return np.nonzero(beyond <= 2 * radius * gap + SLACK)
+        beyond = far - far[np.arange(len(own)), own][:, None]
+        size = np.sqrt((self.coarse ** 2).sum(1))
+        row, cell = np.nonzero(beyond <= radius * (size[own][:, None] + size) + SLACK)  # no gap exceeds the sum of the sizes
+        keep = cell != own[row]
+        for lo in range(0, len(row), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            gap = np.sqrt(((self.coarse[own[row[part]]] - self.coarse[cell[part]]) ** 2).sum(1))
+            keep[part] &= beyond[row[part], cell[part]] <= radius * gap + SLACK
+        return row[keep], cell[keep]
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -93,25 +109,59 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def tile_links(q_ids, q_unit, m_ids, m_unit, m_weight, codes, off, quantiser: Quantiser, centre: int, bound: float):
-    """Links of a tile: for each query the vectors it links (copies counted), and for every linked node a node that spans its group."""
-    radius = math.sqrt(max(0.0, 2 - 2 * bound))
-    close = quantiser.distances(q_unit - quantiser.coarse[centre], codes) <= (radius + off[None, :] + SLACK) ** 2
-    q, m = np.nonzero(close)
-    keep = np.empty(len(q), bool)
-    for lo in range(0, len(q), 1 << 17):  # exact cosine of the candidates, in double precision
-        part = slice(lo, lo + (1 << 17))
-        keep[part] = np.einsum("ij,ij->i", q_unit[q[part]], m_unit[m[part]]) >= bound
-    keep &= q_ids[q] != m_ids[m]
-    q, m = q[keep], m[keep]
-    links = np.bincount(q, m_weight[m], len(q_ids)).astype(np.int64)
-    ids, place = np.unique(np.concatenate((q_ids, m_ids)), return_inverse=True)
-    roots = join_roots(np.arange(len(ids)), place[:len(q_ids)][q], place[len(q_ids):][m])
-    while not np.array_equal(up := roots[roots], roots):
-        roots = up
-    total = np.bincount(place[:len(q_ids)], links, len(ids)).astype(np.int64)
-    linked = np.zeros(len(ids), bool)
-    linked[place[:len(q_ids)][q]] = linked[place[len(q_ids):][m]] = True
+@dataclass
+class Side:
+    """Queries or members of a tile; members have codes, and the lists they are sent to (places and numbers)."""
+    ids: np.ndarray
+    unit: np.ndarray
+    weight: np.ndarray
+    home: np.ndarray
+    codes: np.ndarray | None = None
+    off: np.ndarray | None = None
+    sent: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def of(cls, table: pa.Table, member: bool) -> Side:
+        side = cls(table["node"].to_numpy(), unit_rows(as_matrix(table["vector"].combine_chunks())), table["weight"].to_numpy(), table["home"].to_numpy())
+        if member:
+            side.codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(table), -1)
+            side.off = table["off"].to_numpy()
+            lists = table["probes"].combine_chunks()
+            side.sent = (np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy())
+        return side
+
+
+def tile_links(queries: Side | None, members: Side, quantiser: Quantiser, centre: int, bound: float, inside: bool):
+    """Links of a tile, those among its members too when ``inside``: for each node the vectors it links (copies counted), and
+    for every linked node a node that spans its group.
+
+    Each link counts for both of its ends.  Two vectors that are sent to each other's lists meet twice; the list with the smaller number counts.
+    """
+    limit = (math.sqrt(max(0.0, 2 - 2 * bound)) + members.off + SLACK) ** 2
+    lists, (place, other) = len(quantiser.coarse), members.sent
+    counted = (place * lists + other)[other < centre]
+    sides = ([queries] if queries else []) + ([members] if inside else [])
+    ids = np.unique(np.concatenate([members.ids] + [s.ids for s in sides]))
+    roots, total, linked = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    at_m = np.searchsorted(ids, members.ids)
+    for side in sides:
+        at_q = np.searchsorted(ids, side.ids)
+        for lo in range(0, len(side.ids), QUERY_ROWS):
+            skip = lo if side is members else 0  # pairs of members are compared once
+            q, m = quantiser.close(side.unit[lo:lo + QUERY_ROWS] - quantiser.coarse[centre], members.codes[skip:], limit[skip:])
+            q, m = q + lo, m + skip
+            keep = side.ids[q] != members.ids[m]
+            keep &= q < m if side is members else ~np.isin(m * lists + side.home[q], counted)
+            q, m = q[keep], m[keep]
+            keep = np.empty(len(q), bool)
+            for low in range(0, len(q), 1 << 17):  # exact cosine of the candidates, in double precision
+                part = slice(low, low + (1 << 17))
+                keep[part] = np.einsum("ij,ij->i", side.unit[q[part]], members.unit[m[part]]) >= bound
+            q, m = q[keep], m[keep]
+            total += np.bincount(at_q[q], members.weight[m], len(ids)).astype(np.int64)
+            total += np.bincount(at_m[m], side.weight[q], len(ids)).astype(np.int64)
+            linked[at_q[q]] = linked[at_m[m]] = True
+            roots = join_roots(roots, at_q[q], at_m[m])
     return ids[linked], total[linked], ids[roots[linked]]
 
 
@@ -120,8 +170,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """Links between vectors of one label with cosine ``bound`` or more: id, n_links, component (smallest id reachable), kept.
 
     Equal vectors of a label are one node with a weight.  A node stands in the inverted list of its nearest centroid, with the residual's
-    subspace codes and their exact error; as a query it goes to every list that can hold a vector within the radius, so
-    no link is missed.  There the table distances, less the members' errors, bound the true distances from below; what is left is compared
+    subspace codes and their exact error; as a query it goes to every list whose border lies within half the radius.  Of two vectors
+    within the radius at least one goes to the other's list, so no link is missed; one that is met twice counts once, for both ends.
+    There the table distances, less the members' errors, bound the true distances from below; what is left is compared
     exactly.  Lists are cut into tiles of members and queries, so a label, list or group of near copies of any size is spread over
     tasks; a tile returns counts and spanning links, never all pairs.
 
@@ -172,43 +223,53 @@ def _links(spark, nodes: DataFrame, n: int, bound: float, list_rows: int) -> Dat
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 unit = unit_rows(as_matrix(part.column("vector")))
-                own = nearest(unit, quantiser.coarse)
+                far = squared(unit, quantiser.coarse)
+                own = far.argmin(1)
                 codes, off = quantiser.encode(unit, own)
-                row, cell = quantiser.probes(unit, own, radius)
+                row, cell = quantiser.probes(far, own, radius)
                 here = np.arange(len(own))
                 at = pa.array(np.concatenate((here, row)))
                 member = np.concatenate((np.ones(len(own), bool), np.zeros(len(row), bool)))
                 packed = pa.array([c.tobytes() for c in codes] + [None] * len(row), pa.binary())
+                cuts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(own)))))
+                sent = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(cell.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("label").take(at), pa.array(np.concatenate((own, row * 0 + cell)).astype(np.int32)), pa.array(member),
+                    [part.column("label").take(at), pa.array(np.concatenate((own, cell)).astype(np.int32)), pa.array(member),
                      part.column("node").take(at), part.column("weight").take(at), part.column("vector").take(at), packed,
-                     pa.array(np.concatenate((off, np.zeros(len(row)))))],
-                    ["label", "cell", "member", "node", "weight", "vector", "codes", "off"])
+                     pa.array(np.concatenate((off, np.zeros(len(row))))), pa.array(np.concatenate((own, own[row])).astype(np.int32)),
+                     pa.concat_arrays([sent, pa.nulls(len(row), sent.type)])],
+                    columns)
 
+    columns = ["label", "cell", "member", "node", "weight", "vector", "codes", "off", "home", "probes"]
     routed = staged(nodes.select("label", "node", "weight", "vector").mapInArrow(
-        route, f"label {kind}, cell int, member boolean, node {id_kind}, weight long, vector {values}, codes binary, off double"), "routed")
-    tiles = lambda c: F.ceil(F.count(F.when(c, 1)) / F.lit(TILE_ROWS)).cast("int")
-    sizes = staged(routed.groupBy("label", "cell").agg(tiles(F.col("member")).alias("members"), tiles(~F.col("member")).alias("queries")), "sizes")
+        route, f"label {kind}, cell int, member boolean, node {id_kind}, weight long, vector {values}, codes binary, off double, "
+               "home int, probes array<int>"), "routed")
+    tiles = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
+    n_members, n_queries = F.count(F.when(F.col("member"), 1)), F.count(F.when(~F.col("member"), 1))
+    # Members of a list in several tiles are queries of its other tiles.
+    own_queries = F.when(n_members > TILE_ROWS, n_members).otherwise(0)
+    sizes = staged(routed.groupBy("label", "cell").agg(
+        tiles(n_members).alias("members"), tiles(n_queries + own_queries).alias("queries")), "sizes")
     slot = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
     spread = routed.join(sizes, ["label", "cell"])
-    columns = ["label", "cell", "member", "node", "weight", "vector", "codes", "off"]
     as_member = spread.where("member").select(*columns, slot(F.col("members")).alias("i"), every(F.col("queries")).alias("j"))
-    as_query = spread.where("NOT member").select(*columns, slot(F.col("queries")).alias("j"), every(F.col("members")).alias("i"))
+    # Members and queries are dealt by different hashes, else the queries from a tile of members would share a tile.
+    query_slot = F.pmod(F.xxhash64("node", F.lit("query")), F.greatest("queries", F.lit(1))).cast("int")
+    as_query = spread.where("NOT member").select(*columns, query_slot.alias("j"), every(F.col("members")).alias("i"))
+    within = spread.where("member AND members > 1").withColumn("own", slot(F.col("members"))).where("own > 0")
+    within = within.withColumn("member", F.lit(False)).select(*columns, query_slot.alias("j"), every(F.col("own")).alias("i"))
 
     def compare(table: pa.Table) -> pa.Table:
         member = table["member"].to_numpy()
         m, q = table.filter(pa.array(member)), table.filter(pa.array(~member))
-        if not len(m) or not len(q):
+        inside = table["j"][0].as_py() == 0
+        if not len(m) or not (len(q) or inside):
             return schema.empty_table()
-        quantiser = shared.value
-        codes = np.frombuffer(b"".join(m["codes"].to_pylist()), np.uint8).reshape(len(m), -1)
-        whole = lambda t: unit_rows(as_matrix(t["vector"].combine_chunks()))
-        node, links, root = tile_links(q["node"].to_numpy(), whole(q), m["node"].to_numpy(), whole(m), m["weight"].to_numpy(), codes,
-                                       m["off"].to_numpy(), quantiser, table["cell"][0].as_py(), bound)
+        node, links, root = tile_links(Side.of(q, False) if len(q) else None, Side.of(m, True), shared.value, table["cell"][0].as_py(), bound, inside)
         return pa.table({"node": node, "links": links, "root": root}).cast(schema)
 
     id_type = {"bigint": pa.int64(), "int": pa.int32()}[id_kind]
     schema = pa.schema([("node", id_type), ("links", pa.int64()), ("root", id_type)])
-    both = as_member.unionByName(as_query.select(*as_member.columns))
+    both = as_member.unionByName(as_query).unionByName(within)
     return both.groupBy("label", "cell", "i", "j").applyInArrow(compare, f"node {id_kind}, links long, root {id_kind}")

@@ -64,6 +64,42 @@ def test_tiles_part_a_large_list(spark, monkeypatch):
     assert sorted(((r["id"], r["n_links"], r["component"]) for r in got), key=str) == brute_force_links(rows, 0.98)
 
 
+def test_links_across_the_tiles_of_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(pq, "TILE_ROWS", 7)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 6))
+    rows = [(i % 230, [float(x) for x in np.float32(base[i % 12] + rng.normal(size=6) * 0.25)], i % 2) for i in range(260)]  # 30 ids stand twice
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    unit = pq.unit_rows(np.array([v for _, v, _ in rows], np.float32))
+    ids, labels = np.array([i for i, _, _ in rows]), np.array([x for _, _, x in rows])
+    near = (unit @ unit.T >= 0.98) & (labels[:, None] == labels) & (ids[:, None] != ids)
+    links = {i: int(near[ids == i].sum()) for i in range(230)}  # an id's rows share their links
+    component = {i: c for i, _, c in brute_force_links(rows, 0.98)}
+    for list_rows in (200, 13):
+        got = pq.near_vectors(df, list_rows=list_rows).collect()
+        assert sorted((r["id"], r["n_links"], r["component"]) for r in got) == sorted((i, links[i], component[i]) for i, _, _ in rows)
+
+
+def test_lists_are_probed_in_proportion(spark, monkeypatch):
+    routed, staged = [], pq.staged
+
+    def watched(df, label):
+        out = staged(df, label)
+        if label == "routed":
+            routed.append(out.count())
+        return out
+
+    monkeypatch.setattr(pq, "staged", watched)
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(1000, 64))
+    points = np.float32(np.concatenate((points, points + rng.normal(size=points.shape) * 0.14, points + rng.normal(size=points.shape) * 0.14)))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(points)], "vec_id long, embedding array<float>, label int")
+    got = {r["id"]: r["n_links"] for r in pq.near_vectors(df, list_rows=75).collect()}  # 40 lists
+    unit = pq.unit_rows(points)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.98).sum(1) - 1).tolist())) and sum(got.values()) > 1000
+    assert routed[0] <= 6 * len(points)  # 10 and more for every vector when all lists within the radius are probed
+
+
 def test_embeddings_of_the_tables(spark):
     rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "embeddings").select("vec_id", "embedding", "label").collect()]
     got = pq.near_vectors(table(spark, "/root/testdata/sf0.001", "embeddings")).collect()
