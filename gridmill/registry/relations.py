@@ -245,7 +245,7 @@ NAMED = """SELECT page_id, length(html) * 20000 AS size, 'upload_' || page_id ||
 def _named(t):
     k = F.col("page_id") % 6
     ext = F.when(k == 0, ".csv").when(k == 1, ".XLSX").when(k == 2, ".json").when(k == 3, ".png").when(k == 4, "").otherwise(".txt")
-    return t.pages.select("page_id", (F.length("html") * 20000).alias("size"),
+    return t.pages.select("page_id", (F.length("html").cast("long") * 20000).alias("size"),
                           F.concat(F.lit("upload_"), F.col("page_id").cast("string"), ext).alias("name"))
 
 

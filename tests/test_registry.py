@@ -44,6 +44,25 @@ def test_same_as_sql(spark, duck, name):
     assert got == bag(want.columns, want.fetchall())
 
 
+def on_pages(spark, folder, name, lengths):
+    """Rows of a query over pages of the given lengths, each with every kind of file name, by page_id; they equal those of its SQL."""
+    html = [None if n is None else "ü" * n for n in lengths for _ in range(6)]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    df = QUERIES[name](spark, str(folder))
+    rows = df.orderBy("page_id").collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+        want = con.sql(SQL[name])
+        assert bag(df.columns, rows) == bag(want.columns, want.fetchall())
+    return rows
+
+
+def test_admission_of_files_whose_size_is_beyond_32_bits(spark, tmp_path):
+    rows = on_pages(spark, tmp_path, "file_admission", [None, 0, 5242, 5243, 107_374, 107_375, 250_000])
+    assert [r["reason"] for r in rows[::6]] == [None, None, None, *["too large"] * 4]
+    assert {r["reason"] for r in rows[2::6]} == {"type not allowed"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
