@@ -63,6 +63,13 @@ def test_admission_of_files_whose_size_is_beyond_32_bits(spark, tmp_path):
     assert {r["reason"] for r in rows[2::6]} == {"type not allowed"}
 
 
+def test_names_of_files_whose_size_is_beyond_32_bits(spark, tmp_path):
+    rows = on_pages(spark, tmp_path, "file_names", [None, 0, 4, 4096, 107_375, 250_001])
+    assert [(r["size_kb"], r["size_mb"]) for r in rows[::6]] == [
+        (None, None), (0.0, 0.0), (78.13, 0.08), (80000.0, 78.13), (2097167.97, 2048.02), (4882832.03, 4768.39)]
+    assert [r["extension"] for r in rows[-6:]] == ["csv", "xlsx", "json", "png", "", "txt"]
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
